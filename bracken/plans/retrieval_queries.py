@@ -100,7 +100,7 @@ def rank_swap(spark, sf):
 
 def _evidence(spark, sf) -> DataFrame:
     s = _selected(spark, sf)
-    return s.select("query_id", F.col("rank").alias("pos"), (F.col("doc") % 3 == 0).alias("inferred"), "source", F.substring("text", 1, 300).alias("text"), F.substring("text", 301, 40).alias("tail"))
+    return s.select("query_id", F.col("rank").alias("pos"), (F.col("doc") % 3 == 0).alias("inferred"), "source", F.regexp_replace("text", "[.!?]$", "").alias("text"), F.concat(F.lit(" and "), F.left("source", F.lit(4)), F.lit(". ")).alias("tail"))
 
 
 def numbering_two_series(spark, sf):
@@ -164,7 +164,7 @@ qt AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text)
 rr AS (SELECT fr.*, d.source, d.text, CASE WHEN rrf_rank >= 3 THEN round(len(list_filter(terms, lambda t: contains(lower(substr(d.text, 1, 500)), t))) / greatest(len(terms), 1), 6) END AS rerank FROM fr JOIN documents d USING (doc_id) JOIN qt USING (query_id) WHERE rrf_rank < 10),
 sel AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_rank >= 3, CASE WHEN rrf_rank < 3 THEN rrf_rank END, rerank DESC, rrf_rank) - 1 AS rank FROM rr),
 picked AS (SELECT * FROM sel WHERE rank < 6)"""
-_EVIDENCE = f"""{_SELECT}, ev AS (SELECT query_id, rank AS pos, doc_id % 3 = 0 AS inferred, source, substr(text, 1, 300) AS text, substr(text, 301, 40) AS tail FROM picked),
+_EVIDENCE = f"""{_SELECT}, ev AS (SELECT query_id, rank AS pos, doc_id % 3 = 0 AS inferred, source, regexp_replace(text, '[.!?]$', '') AS text, ' and ' || left(source, 4) || '. ' AS tail FROM picked),
 num AS (SELECT *, CASE WHEN inferred THEN '[G' ELSE '[' END || CAST(row_number() OVER (PARTITION BY query_id, inferred ORDER BY pos) AS VARCHAR) || ']' AS label FROM ev)"""
 _RT = r"regexp_replace(text, '\s+$', '')"
 _TAIL = r"regexp_replace(tail, '^\s+|\s+$', '', 'g')"

@@ -115,7 +115,7 @@ def entity_keys(spark, sf):
 
 
 def continuation_need(spark, sf):
-    c = F.substring("text", 1, 300)
+    c = F.regexp_replace("text", "[^ ]*[aeiou.]$", "")
     return _docs(spark, sf).select("doc_id", T.needs_continuation(c, ".!?").alias("needs"), T.ends_sentence(c, ".!?;").alias("ends"))
 
 
@@ -229,7 +229,7 @@ ORACLES = {
     "sentence_split": f"WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])', '\\1' || chr(10), 'g'), chr(10)), lambda x: {_s('x')}), lambda x: x <> '') AS s FROM documents) SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM a",
     "index_tokens": r"WITH a AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '\S+') AS w FROM documents) SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM a",
     "entity_keys": "SELECT c_custkey, regexp_replace(lower(c_name || ' ' || c_mktsegment), '[^a-z0-9_]', '', 'g') AS key FROM customer",
-    "continuation_need": r"WITH a AS (SELECT doc_id, regexp_replace(substr(text, 1, 300), '\s+$', '') AS t FROM documents) SELECT doc_id, t <> '' AND NOT regexp_matches(t, '[.!?]$') AND regexp_matches(right(t, 8), '[\p{L}\p{N}]') AS needs, regexp_matches(t, '[.!?;]$') AS ends FROM a",
+    "continuation_need": r"WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^ ]*[aeiou.]$', ''), '\s+$', '') AS t FROM documents) SELECT doc_id, t <> '' AND NOT regexp_matches(t, '[.!?]$') AND regexp_matches(right(t, 8), '[\p{L}\p{N}]') AS needs, regexp_matches(t, '[.!?;]$') AS ends FROM a",
     "query_budget": f"SELECT doc_id, CASE WHEN length(text) <= 450 THEN text ELSE substr(text, 1, 223) || '...' || right(text, 224) END AS query, '- ' || {_s(chr(39).join(['regexp_replace(substr(text, 1, 150), ', chr(92) + 's+', ', ', ' ', ', ', 'g', ')']))} AS bullet FROM documents",
     "joined_lines": f"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_s('x')}), lambda x: x <> ''), ' ')) AS joined_md5 FROM documents",
     "triple_lines": "SELECT c_custkey, c_name AS h, CASE c_custkey % 3 WHEN 0 THEN 'person' ELSE '' END AS ht, CASE c_custkey % 3 WHEN 0 THEN 'buys in' ELSE 'lives' END AS r, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment ELSE CAST(c_nationkey AS VARCHAR) END AS t, CASE c_custkey % 3 WHEN 0 THEN 'concept' ELSE '' END AS tt, CASE c_custkey % 3 WHEN 0 THEN 'row||' || CAST(c_custkey AS VARCHAR) ELSE 'a|b' END AS e FROM customer WHERE c_custkey % 3 < 2",
