@@ -152,6 +152,8 @@ class Message:
         data = self.rest + data
         self.rest, at = b"", 0
         while at < len(data):
+            if self.state == "done":
+                raise ValueError("data after the last chunk")
             if self.state == "plain":
                 self._body(data[at:])
                 return
@@ -178,11 +180,8 @@ class Message:
                 if line:
                     raise ValueError("a chunk is longer than its size")
                 self.state = "size"
-            elif self.state == "trailer":
-                if not line:
-                    self.state = "done"
-            else:
-                raise ValueError("data after the last chunk")
+            elif not line:  # the end of the trailer
+                self.state = "done"
 
     def close(self) -> tuple[int, str]:
         if self.rest or self.state not in ("plain", "done"):
