@@ -9,7 +9,7 @@ touches no token and a reader of few documents only their pages.
 
 Texts are dealt by id ranges before they are encoded, so that each is shuffled and encoded once and each
 file written once. Encoding uses that byte-level pre-tokenization always cuts before a space that follows
-a non-space: pieces between such cuts are encoded once and remembered in a bounded table per worker.
+a non-space: words between such cuts are encoded once and remembered in a bounded table per worker.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows with equal ids
 follow each other in order of their texts' hashes; an empty table gives an empty token set.
@@ -18,7 +18,6 @@ follow each other in order of their texts' hashes; an empty table gives an empty
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,82 +34,122 @@ END = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
-#: Remembered pieces per worker, of at most PIECE characters: some 60 MB.
+#: Remembered words per worker, of at most PIECE characters: some 60 MB.
 REMEMBER = 300_000
 PIECE = 48
-#: Characters that are encoded in one call.
-AT_ONCE = 1 << 18
+#: Words that are encoded in one call.
+WORDS_AT_ONCE = 20_000
 
-_SPACED = re.compile(r"\s ")
+
+def _symbols() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 ones for themselves,
+    the others in their order from 256 on."""
+    own = [chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD) for b in range(256)]
+    other = iter(range(256, 512))
+    return np.array([b if own[b] else next(other) for b in range(256)], np.uint16)
+
+
+_SYMBOLS = _symbols()
+_WHITE = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library with a memory of pieces."""
+    """A byte-level BPE of the tokenizers library with a memory of words.
+
+    ``memory`` has the ids of words with a space before them, by the word alone.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_space = Tokenizer(self.tokenizer.model)  # the same merges over words that are cut already
+        self.by_space.pre_tokenizer = pre_tokenizers.Split(chr(_SYMBOLS[32]), "merged_with_next")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)  # byte-level: one character per byte
         self.memory: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self.plain([",", "."])))
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that start with a space and end with another character, encoded in one text."""
-        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, np.uint32)
-        at = np.cumsum(self.bytes_of[ids])
-        ends = np.cumsum([len(p.encode()) for p in pieces])
-        cuts = np.searchsorted(at, ends, side="left") + 1
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each, encoded in one text. Words have no space inside."""
+        text = " " + " ".join(words)
+        if spaced(text, 1) or "<|" in text or text[-1].isspace():  # a word ends with white space, or may be a special token's part
+            return self.plain([" " + w for w in words])
+        return self._cut(text.encode(), self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters alone: as pre-tokenization cuts them only at the spaces, their bytes are
+        written in the vocabulary's symbols here and cut at the space's symbol."""
+        text = (" " + " ".join(words)).encode()
+        symbols = _SYMBOLS[np.frombuffer(text, np.uint8)].astype("<u2").tobytes().decode("utf-16-le")
+        return self._cut(text, self.by_space.encode_batch_fast([symbols], add_special_tokens=False)[0].ids)
+
+    def _cut(self, text: bytes, found: list[int]) -> list[bytes]:
+        ids = np.array(found, np.uint32)
+        ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32)[1:], len(text))
+        cuts = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1)).tolist()
         whole = ids.tobytes()
-        starts = [0, *(4 * cuts[:-1]).tolist()]
-        return [whole[a:b] for a, b in zip(starts, (4 * cuts).tolist())]
-
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        safe = [p for p in pieces if p[0] == " " and not p[-1].isspace() and "<|" not in p]
-        found, at, size = {}, 0, 0
-        for k, p in enumerate(safe):
-            size += len(p)
-            if size > AT_ONCE or k + 1 == len(safe):
-                found.update(zip(safe[at : k + 1], self.joined(safe[at : k + 1])))
-                at, size = k + 1, 0
-        rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self.plain(rest)))
-        return found
+        return [whole[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Puts words into the memory; those too long to stay. Of letters and one mark only the letters are encoded,
+        as the mark is cut off by pre-tokenization, which never cuts inside letters."""
+        memory, marks = self.memory, self.marks
+        stems = {w: w[:-1] for w in words if w[-1:] in marks and w[:-1].isalpha()}
+        bare = words.difference(stems).union(stems.values()).difference(memory)
+        long = [w for w in bare if len(w) > PIECE or " " in w]
+        memory.update(zip(long, self.plain([" " + w for w in long])))
+        bare.difference_update(long)
+        plain = [w for w in bare if w.isalpha()]
+        for encode, some in ((self.letters, plain), (self.joined, list(bare.difference(plain)))):
+            for at in range(0, len(some), WORDS_AT_ONCE):
+                part = some[at : at + WORDS_AT_ONCE]
+                memory.update(zip(part, encode(part)))
+        memory.update([(w, memory[stem] + marks[w[-1]]) for w, stem in stems.items()])
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        cut, memory = [pieces(t) for t in texts], self.memory
-        new = self.learn(list({p for c in cut for p in c if p not in memory}))
-        memory.update(new)
-        out = [b"".join([memory[p] for p in c]) for c in cut]
-        if len(memory) > REMEMBER:
-            memory.clear()
+        cut = [pieces(t) if spaced(t) else t.split(" ") for t in texts]
+        heads = self.plain([c.pop(0) for c in cut])
+        found = [list(map(self.memory.get, c)) for c in cut]
+        missing = [[i for i, x in enumerate(f) if x is None] for f in found]
+        long = self.learn({c[i] for c, m in zip(cut, missing) for i in m})
+        memory, out = self.memory, []
+        for head, c, f, m in zip(heads, cut, found, missing):
+            for i in m:
+                f[i] = memory[c[i]]
+            out.append(head + b"".join(f))
+        if len(memory) > REMEMBER:  # what this batch has are mostly the common words
+            self.memory = {w: x for c, f in zip(cut, found) for w, x in zip(c, f) if len(w) <= PIECE}
         else:
-            for p in new:
-                if len(p) > PIECE:
-                    del memory[p]
+            for w in long:
+                del memory[w]
         return out
 
 
+def spaced(text: str, start: int = 0) -> bool:
+    """Whether a space stands first or after white space."""
+    return text.startswith(" ", start) or any(text.find(w, start) >= 0 for w in _WHITE)
+
+
 def pieces(text: str) -> list[str]:
-    """The text cut before each space that follows a character other than white space."""
+    """The text cut at each space that follows a character other than white space, without that space."""
     parts = text.split(" ")
-    if not _SPACED.search(text):
-        return ([parts[0]] if parts[0] else []) + [" " + p for p in parts[1:]]
     out = [parts[0]]
     for p in parts[1:]:
         if out[-1] and not out[-1][-1].isspace():
-            out.append(" " + p)
+            out.append(p)
         else:
             out[-1] += " " + p
-    return [p for p in out if p]
+    return out
 
 
 def encoder(path: str) -> Encoder:
