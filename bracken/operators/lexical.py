@@ -15,11 +15,21 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc"), T.index_tokens(F.col(text_col)).alias("words"))
 
 
-def term_stats(toks: DataFrame, epsilon: float = P.BM25_EPSILON) -> DataFrame:
-    """DM-06, MTH-01: (term, df, idf). A negative idf becomes epsilon times the mean of all idf before."""
-    n = toks.agg(F.count("*").alias("n_docs"))
-    df = toks.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_counts(toks: DataFrame) -> DataFrame:
+    """(term, df, dl): documents of each term; the row without a term counts all documents and their words. One pass
+    over the corpus gives both, and plans that use it twice share its exchange."""
+    marked = toks.select(F.size("words").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return marked.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+
+
+def corpus(counts: DataFrame) -> DataFrame:
+    """One row of ``term_counts``: (n_docs, avgdl)."""
+    return counts.filter("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
+
+
+def term_stats(counts: DataFrame, epsilon: float = P.BM25_EPSILON) -> DataFrame:
+    """DM-06, MTH-01 over ``term_counts``: (term, df, idf). A negative idf becomes epsilon times the mean of all idf before."""
+    raw = counts.filter("term IS NOT NULL").crossJoin(F.broadcast(corpus(counts))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
@@ -38,10 +48,10 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id:
     toks = tokens(docs, id_col, text_col)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.index_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = small(asked.select("term").distinct())
-    avg = toks.agg(F.avg(F.size("words")).alias("avgdl"))
-    stats = term_stats(toks).join(wanted, "term", "left_semi")
+    counts = term_counts(toks)
+    stats = term_stats(counts).join(wanted, "term", "left_semi")
     hits = toks.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, "term")
-    hits = hits.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(avg))
+    hits = hits.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(corpus(counts).select("avgdl")))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighted = hits.withColumn("gain", gain).join(stats.select("term", "idf"), "term").join(small(asked), "term")
     return weighted.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("gain")), 6).alias("score"))

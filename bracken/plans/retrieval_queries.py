@@ -22,7 +22,7 @@ def _queries(spark, sf) -> DataFrame:
 
 
 def bm25_term_stats(spark, sf):
-    return lexical.term_stats(lexical.tokens(_docs(spark, sf))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.term_stats(lexical.term_counts(lexical.tokens(_docs(spark, sf)))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf):
