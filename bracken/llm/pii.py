@@ -50,24 +50,25 @@ SYLLABLES = {
     "greek": "βα βε βο γα γο δα δε δο ζα ζο κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο σα σε σο τα τε το φα".split(),
 }
 _ALL_TITLES = "|".join(t for kind in TITLES.values() for t in kind)
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
-PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
-ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-PASSWORD = r"(?i:(?<=password=)|(?<=passwd=)|(?<=pwd=))[^\s,;\"']+"
-TOKEN = r"(?<![A-Za-z0-9])(?=[0-9a-f]*\d)(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![A-Za-z0-9])"
-NAME = rf"(?<=(?<![\p{{L}}])(?:{_ALL_TITLES})\.?[ ])\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+# Each pattern starts with what is cheapest to refuse; runs that cannot match otherwise are not given back.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+IP = r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+CARD = r"(?=\d)(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
+PHONE = r"(?=[+(\d])(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))"
+ACCESS_KEY = r"(?=AKIA)(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+PASSWORD = r"(?<==)(?i:(?<=password=)|(?<=passwd=)|(?<=pwd=))[^\s,;\"']+"
+TOKEN = r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[a-f]*\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"
+NAME = rf"(?<= )(?=\p{{Lu}})(?<=(?<![\p{{L}}])(?:{_ALL_TITLES})\.?[ ])\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = "|".join((EMAIL, IP, CARD, PHONE, ACCESS_KEY, PASSWORD, TOKEN, NAME))
-#: What any text with an entity has.
-HINT = rf"[@0-9]|(?i:passw(?:or)?d=|pwd=)|(?:{_ALL_TITLES})\.? \p{{Lu}}"
+#: What any text with an entity has, by way of first characters.
+HINT = rf"[@0-9=]|(?=[{''.join(sorted({t[0] for t in _ALL_TITLES.split('|')}))}])(?:{_ALL_TITLES})\.? \p{{Lu}}"
 
 
 def kind(mention: Column, before: Column) -> Column:
     """The type of a mention, given the text before it."""
     digits = F.regexp_replace(mention, r"\D", "")
     return (
-        F.when(mention.rlike(r"^[^@]+@[^@]+$") & mention.rlike(f"^{EMAIL}$") & ~before.rlike("(?i)(?:password|passwd|pwd)=$"), "email")
+        F.when(mention.rlike(r"^[^@]+@[^@]+$") & mention.rlike(f"^(?:{EMAIL})$") & ~before.rlike("(?i)(?:password|passwd|pwd)=$"), "email")
         .when(before.rlike("(?i)(?:password|passwd|pwd)=$"), "secret")
         .when(mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(mention.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
@@ -128,26 +129,51 @@ def script(name: Column) -> Column:
     return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def surrogates(entries: Column, key: str = KEY) -> Column:
+    """The canonical surrogates of an array of entities (kind, canon, attempt): lower case for names and addresses,
+    digits alone for numbers. Each step is a list of its own, so that digests and digits are made once."""
+
+    def keyed(m: Column) -> Column:
+        return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), _digest([m["kind"], m["canon"], m["attempt"].cast("string")], key).alias("d"), F.when(m["kind"] == "email", _digest([F.lit("domain"), F.substring_index(m["canon"], "@", -1)], key)).alias("of_domain"))
+
+    def numbered(m: Column) -> Column:
+        first = F.when(m["kind"] == "card", F.left(m["canon"], F.lit(1))).otherwise((_draw(m["d"], F.lit(0), 9) + 1).cast("string"))
+        rest = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(m["canon"]) - 1, F.lit(1))), lambda i: _draw(m["d"], i, 10).cast("string")), "")
+        digits = F.when(m["kind"].isin("card", "phone"), F.left(F.concat(first, rest), F.length(m["canon"])))
+        return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), m["d"].alias("d"), m["of_domain"].alias("of_domain"), digits.alias("digits"))
+
+    def made(m: Column) -> Column:
+        canon, d, digits = m["canon"], m["d"], m["digits"]
+        body = F.left(digits, F.length(digits) - 1)
+        check = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+        card = F.when(_luhn(canon) % 10 == 0, check).otherwise(digits)
+        country = F.when(F.length(canon) > 10, F.left(canon, F.length(canon) - 10)).otherwise("")
+        phone = F.concat(country, F.substring(digits, F.length(country) + 1, F.lit(20)))
+        octets = F.concat_ws(".", *[(_draw(d, F.lit(i), 253) + 1).cast("string") for i in range(4)])
+        domain = F.substring_index(canon, "@", -1)
+        top = F.substring_index(domain, ".", -1)
+        host = F.left(domain, F.length(domain) - F.length(top))
+        email = F.concat(_letters(F.substring_index(canon, "@", 1), d, F.lit(False)), F.lit("@"), _letters(host, m["of_domain"], F.lit(False)), top)
+        access = F.concat(F.lit("AKIA"), _letters(F.substring(canon, 5, 60), d, F.lit(False)))
+        secret = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), access).otherwise(_letters(canon, d, canon.rlike("^[0-9a-f]+$")))
+        return F.when(m["kind"] == "email", email).when(m["kind"] == "ip", octets).when(m["kind"] == "card", card).when(m["kind"] == "phone", phone).when(m["kind"] == "name", _family(canon, d)).otherwise(secret)
+
+    return F.transform(F.transform(F.transform(entries, keyed), numbered), made)
+
+
+def _words(words: list[str]) -> Column:
+    """A constant array from one literal; the planner folds it."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def _family(canon: Column, d: Column) -> Column:
+    """A family name of four syllables in the script of the original."""
+    made = {s: F.concat(*[F.element_at(_words(SYLLABLES[s]), (_draw(d, F.lit(i * 2), len(SYLLABLES[s])) + 1).cast("int")) for i in range(4)]) for s in SYLLABLES}
+    return F.when(script(canon) == "cyrillic", made["cyrillic"]).when(script(canon) == "greek", made["greek"]).otherwise(made["latin"])
+
+
 def surrogate(kind_: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """The canonical surrogate of an entity: lower case for names and addresses, digits alone for numbers."""
-    d = _digest([kind_, canon, attempt.cast("string")], key)
-    digits = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(i == 0, F.when(kind_ == "card", c).otherwise((_draw(d, i, 9) + 1).cast("string"))).otherwise(_draw(d, i, 10).cast("string"))), "")
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    check = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    card = F.when(_luhn(canon) % 10 == 0, check).otherwise(digits)
-    country = F.when(F.length(canon) > 10, F.substring(canon, F.lit(1), F.length(canon) - 10)).otherwise("")
-    phone = F.concat(country, F.substring(digits, F.length(country) + 1, F.lit(20)))
-    octets = F.concat_ws(".", *[(_draw(d, F.lit(i), 253) + 1).cast("string") for i in range(4)])
-    domain = F.substring_index(canon, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    of_domain = _digest([F.lit("domain"), domain], key)
-    email = F.concat(_letters(F.substring_index(canon, "@", 1), d, F.lit(False)), F.lit("@"), _letters(host, of_domain, F.lit(False)), top)
-    made = {s: F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES[s])), (_draw(d, F.lit(i * 2), len(SYLLABLES[s])) + 1).cast("int")) for i in range(4)]) for s in SYLLABLES}
-    family = F.when(script(canon) == "cyrillic", made["cyrillic"]).when(script(canon) == "greek", made["greek"]).otherwise(made["latin"])
-    access = F.concat(F.lit("AKIA"), _letters(F.substring(canon, 5, 60), d, F.lit(False)))
-    secret = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), access).otherwise(_letters(canon, d, canon.rlike("^[0-9a-f]+$")))
-    return F.when(kind_ == "email", email).when(kind_ == "ip", octets).when(kind_ == "card", card).when(kind_ == "phone", phone).when(kind_ == "name", family).otherwise(secret)
+    return F.get(surrogates(F.array(F.struct(kind_.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))), key), F.lit(0))
 
 
 def _cased(like: Column, name: Column) -> Column:
@@ -166,11 +192,12 @@ def rendered(kind_: Column, mention: Column, before: Column, made: Column, key:
     d = _digest([F.lit("given"), F.lower(first), gender], key)
     given = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
-        own = F.element_at(F.array(*map(F.lit, names)), (_draw(d, F.lit(0), len(names)) + 1).cast("int"))
+        own = F.element_at(_words(names), (_draw(d, F.lit(0), len(names)) + 1).cast("int"))
         matches = (script(first) == s) & ((gender == g) if s == "latin" else (F.when(gender == "any", "male").otherwise(gender) == g))
         given = F.when(matches, own).otherwise(given)
     name = F.concat(F.when(F.size(words) > 1, F.concat(_cased(first, given), F.lit(" "))).otherwise(""), _cased(F.element_at(words, -1), made))
-    email = F.when(mention == F.upper(mention), F.upper(made)).otherwise(made)
+    of = lambda i: F.substring(made, i + 1, F.lit(1))
+    email = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(of(i))).otherwise(of(i))), "")
     return F.when(kind_.isin("card", "phone"), numbers).when(kind_ == "name", name).when(kind_ == "email", email).otherwise(made)
 
 
@@ -187,8 +214,9 @@ def _cut(docs: DataFrame, text: Column) -> DataFrame:
 
 def entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """(kind, canon, attempt, surrogate) of every distinct entity, no two with one surrogate."""
-    found = _cut(docs.select(common.column(docs, text_col).alias("text")), F.col("text")).select(F.explode("_bk_mentions").alias("m"))
-    table = found.select("m.kind", "m.canon").distinct().withColumn("attempt", F.lit(0))
+    # the outer form, as for the inner one the planner tests the size first and makes the mentions twice
+    found = _cut(docs.select(common.column(docs, text_col).alias("text")).filter(F.col("text").rlike(HINT)), F.col("text")).select(F.explode_outer("_bk_mentions").alias("m"))
+    table = found.select("m.kind", "m.canon").distinct().filter("canon IS NOT NULL").withColumn("attempt", F.lit(0))
     table = common.shared_table(table.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "entities")
     for _ in range(ROUNDS):
         best = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).filter("n > 1")
@@ -217,7 +245,9 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         by_doc = common.shared_table(looked.groupBy("_bk_id", "_bk_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_bk_attempts")), "exceptions-by-document")
         cut = cut.withColumn("_bk_text", F.xxhash64(text_col)).join(small(by_doc, 20_000), F.col("_bk_text").eqNullSafe(F.col("_bk_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_bk_id")), "left")
     nth = lambda m: F.coalesce(F.element_at("_bk_attempts", F.concat_ws("|", m["kind"], m["canon"])), F.lit(0))
-    made = F.transform("_bk_mentions", lambda m: F.struct(m["kind"].alias("kind"), rendered(m["kind"], m["mention"], m["before"], surrogate(m["kind"], m["canon"], nth(m), key), key).alias("new")))
+    tried = F.transform("_bk_mentions", lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), nth(m).alias("attempt")))
+    both = F.zip_with(F.col("_bk_mentions"), surrogates(tried, key), lambda m, s: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["before"].alias("before"), s.alias("made")))
+    made = F.transform(both, lambda m: F.struct(m["kind"].alias("kind"), rendered(m["kind"], m["mention"], m["before"], m["made"], key).alias("new")))
     cut = cut.withColumn("_bk_new", made)
     pairs = F.zip_with(F.col("_bk_pieces"), F.col("_bk_new"), lambda p, n: F.concat(p, F.coalesce(n["new"], F.lit(""))))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
