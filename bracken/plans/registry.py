@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from importlib.util import find_spec
 
-MODULES = ("text_queries", "retrieval_queries", "graph_queries", "usage_queries", "state_queries", "eval_queries", "stream_queries")
+MODULES = ("text_queries", "retrieval_queries", "graph_queries", "usage_queries", "state_queries", "eval_queries", "stream_queries", "misc_queries")
 
 
 def _gather(what: str) -> dict:
