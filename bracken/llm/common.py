@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own_dirs[app] = tempfile.mkdtemp(prefix="bracken-")
         spark.sparkContext.setCheckpointDir(_own_dirs[app])
