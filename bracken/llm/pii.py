@@ -5,12 +5,14 @@ access keys, passwords, hexadecimal tokens and the names that follow a title. Ev
 canonical form (lower case, digits only, ...), so that mentions of one entity in any format share it.
 A keyed digest of type, canonical form and attempt gives the surrogate, character by character: a digit
 for a digit, a letter of the same case for a letter, octets of an address within range, a card number with
-a valid check digit where the original has one, a name of the title's gender in the name's script. Every
-mention keeps its own format and punctuation. Equal entities have equal surrogates everywhere.
+a valid check digit where the original has one, a name of the title's gender in the name's script. Letters of
+other alphabets are drawn too, and a secret of marks alone gets drawn characters. Every mention keeps its own
+format and punctuation. Equal entities have equal surrogates everywhere.
 
 Collision checks keep distinct entities distinct. Over the table of all distinct entities a surrogate that
 another entity has too, or that is itself an entity of the corpus, is drawn again with the next attempt,
-until none is left. Only entities past their first attempt are exceptions that texts must look up; they
+until none is left. Every ``STEP`` attempts a surrogate gets one more character (digit, octet, syllable), so no
+space of surrogates stays full and the rounds end. Only entities past their first attempt are exceptions that texts must look up; they
 are joined by document. Texts are cut at the entities and put together again with surrogates in place, so
 nothing is replaced twice, and all other text stays as it is.
 
@@ -27,7 +29,8 @@ from . import common
 from .simhash import small
 
 KEY = "surrogate-key"
-ROUNDS = 50
+#: Attempts after which a surrogate gets one more character.
+STEP = 4
 
 TITLES = {
     "female": ("Mrs", "Ms", "Miss", "Mme", "Madame", "Mlle", "Frau", "Señora", "Sra", "Señorita", "госпожа", "κυρία"),
@@ -99,8 +102,18 @@ def _draw(digest: Column, i: Column, n: int | Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, at, F.lit(4)), 16, 10).cast("int") + F.floor(i / 60).cast("int") * 7, n)
 
 
+#: Letters that stand for those of an alphabet, lower case.
+LETTERS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+_MORE, _HEX, _DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "0123456789"
+
+
+def _one_of(alphabet: str, digest: Column, i: Column) -> Column:
+    return F.substring(F.lit(alphabet), _draw(digest, i, len(alphabet)).cast("int") + 1, F.lit(1))
+
+
 def _letters(text: Column, digest: Column, hexadecimal: Column) -> Column:
-    """Each character replaced by one of its kind; hexadecimal letters stay hexadecimal."""
+    """Each character replaced by one of its kind; hexadecimal letters stay hexadecimal, marks stay unless there is nothing else."""
+    marks = ~text.rlike(r"[\p{L}\p{N}]")
 
     def one(c: Column, i: Column) -> Column:
         below = F.when(hexadecimal, 6).otherwise(26)
@@ -108,12 +121,25 @@ def _letters(text: Column, digest: Column, hexadecimal: Column) -> Column:
             F.when(c.rlike("^[0-9]$"), _draw(digest, i, 10).cast("string"))
             .when(c.rlike("^[a-z]$"), F.chr(_draw(digest, i, below) + 97))
             .when(c.rlike("^[A-Z]$"), F.chr(_draw(digest, i, below) + 65))
-            .otherwise(c)
+            .when(c.rlike(r"^[\x00-\x7F]$"), F.when(marks, _one_of(_MORE, digest, i)).otherwise(c))
+            .otherwise(other(c, i))
         )
 
+    def other(c: Column, i: Column) -> Column:
+        out = F.when(c.rlike(r"^\p{N}$"), _one_of(_DIGITS, digest, i))
+        for name, letters in LETTERS.items():
+            out = out.when(c.rlike(rf"^(?=\p{{Is{name}}})\p{{Lu}}$"), _one_of(letters.upper(), digest, i)).when(c.rlike(rf"^(?=\p{{Is{name}}})\p{{L}}$"), _one_of(letters, digest, i))
+        out = out.when(c.rlike(r"^\p{Lu}$"), _one_of(_MORE[:26].upper(), digest, i)).when(c.rlike(r"^\p{L}$"), _one_of(_MORE[:26], digest, i))
+        return out.when(marks, _one_of(_MORE, digest, i)).otherwise(c)
+
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _more(digest: Column, extra: Column, make, sep: str = "") -> Column:
+    """``extra`` further drawn pieces, joined; empty where it is 0."""
+    return F.when(extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: make(digest, i)), sep)).otherwise("")
+
+
 def _luhn(digits: Column) -> Column:
     """The sum of a number's digits, every second from the right doubled."""
     back = F.split(F.reverse(digits), "")
@@ -134,29 +160,32 @@ def surrogates(entries: Column, key: str = KEY) -> Column:
     digits alone for numbers. Each step is a list of its own, so that digests and digits are made once."""
 
     def keyed(m: Column) -> Column:
-        return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), _digest([m["kind"], m["canon"], m["attempt"].cast("string")], key).alias("d"), F.when(m["kind"] == "email", _digest([F.lit("domain"), F.substring_index(m["canon"], "@", -1)], key)).alias("of_domain"))
+        return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), _digest([m["kind"], m["canon"], m["attempt"].cast("string")], key).alias("d"), F.floor(m["attempt"] / STEP).cast("int").alias("extra"), F.when(m["kind"] == "email", _digest([F.lit("domain"), F.substring_index(m["canon"], "@", -1)], key)).alias("of_domain"))
 
     def numbered(m: Column) -> Column:
         first = F.when(m["kind"] == "card", F.left(m["canon"], F.lit(1))).otherwise((_draw(m["d"], F.lit(0), 9) + 1).cast("string"))
-        rest = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(m["canon"]) - 1, F.lit(1))), lambda i: _draw(m["d"], i, 10).cast("string")), "")
-        digits = F.when(m["kind"].isin("card", "phone"), F.left(F.concat(first, rest), F.length(m["canon"])))
-        return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), m["d"].alias("d"), m["of_domain"].alias("of_domain"), digits.alias("digits"))
+        rest = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(m["canon"]) - 1 + m["extra"], F.lit(1))), lambda i: _draw(m["d"], i, 10).cast("string")), "")
+        digits = F.when(m["kind"].isin("card", "phone"), F.left(F.concat(first, rest), F.length(m["canon"]) + m["extra"]))
+        return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), m["d"].alias("d"), m["extra"].alias("extra"), m["of_domain"].alias("of_domain"), digits.alias("digits"))
 
     def made(m: Column) -> Column:
-        canon, d, digits = m["canon"], m["d"], m["digits"]
+        canon, d, digits, extra = m["canon"], m["d"], m["digits"], m["extra"]
+        wide = F.sha2(d, 512)
         body = F.left(digits, F.length(digits) - 1)
         check = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
         card = F.when(_luhn(canon) % 10 == 0, check).otherwise(digits)
         country = F.when(F.length(canon) > 10, F.left(canon, F.length(canon) - 10)).otherwise("")
-        phone = F.concat(country, F.substring(digits, F.length(country) + 1, F.lit(20)))
-        octets = F.concat_ws(".", *[(_draw(d, F.lit(i), 253) + 1).cast("string") for i in range(4)])
+        phone = F.concat(country, F.substring(digits, F.length(country) + 1, F.length(digits)))
+        octets = F.concat_ws(".", *[(_draw(d, F.lit(i), 253) + 1).cast("string") for i in range(4)], F.when(extra > 0, _more(wide, extra, lambda w, i: (_draw(w, i, 253) + 1).cast("string"), ".")))
         domain = F.substring_index(canon, "@", -1)
         top = F.substring_index(domain, ".", -1)
         host = F.left(domain, F.length(domain) - F.length(top))
-        email = F.concat(_letters(F.substring_index(canon, "@", 1), d, F.lit(False)), F.lit("@"), _letters(host, m["of_domain"], F.lit(False)), top)
+        email = F.concat(_more(wide, extra, lambda w, i: _one_of(_MORE, w, i)), _letters(F.substring_index(canon, "@", 1), d, F.lit(False)), F.lit("@"), _letters(host, m["of_domain"], F.lit(False)), top)
         access = F.concat(F.lit("AKIA"), _letters(F.substring(canon, 5, 60), d, F.lit(False)))
+        hexadecimal = canon.rlike("^[0-9a-f]+$") & (F.length(canon) >= 32)
         secret = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), access).otherwise(_letters(canon, d, canon.rlike("^[0-9a-f]+$")))
-        return F.when(m["kind"] == "email", email).when(m["kind"] == "ip", octets).when(m["kind"] == "card", card).when(m["kind"] == "phone", phone).when(m["kind"] == "name", _family(canon, d)).otherwise(secret)
+        secret = F.concat(secret, _more(wide, extra, lambda w, i: F.when(hexadecimal, _one_of(_HEX, w, i)).when(canon.rlike("^[0-9]+$"), _one_of(_DIGITS, w, i)).otherwise(_one_of(_MORE, w, i))))
+        return F.when(m["kind"] == "email", email).when(m["kind"] == "ip", octets).when(m["kind"] == "card", card).when(m["kind"] == "phone", phone).when(m["kind"] == "name", _family(canon, d, extra)).otherwise(secret)
 
     return F.transform(F.transform(F.transform(entries, keyed), numbered), made)
 
@@ -166,9 +195,13 @@ def _words(words: list[str]) -> Column:
     return F.split(F.lit(" ".join(words)), " ")
 
 
-def _family(canon: Column, d: Column) -> Column:
-    """A family name of four syllables in the script of the original."""
-    made = {s: F.concat(*[F.element_at(_words(SYLLABLES[s]), (_draw(d, F.lit(i * 2), len(SYLLABLES[s])) + 1).cast("int")) for i in range(4)]) for s in SYLLABLES}
+def _syllable(s: str, d: Column, i: Column) -> Column:
+    return F.element_at(_words(SYLLABLES[s]), (_draw(d, i, len(SYLLABLES[s])) + 1).cast("int"))
+
+
+def _family(canon: Column, d: Column, extra: Column) -> Column:
+    """A family name of four syllables and ``extra`` more in the script of the original."""
+    made = {s: F.concat(*[_syllable(s, d, F.lit(i * 2)) for i in range(4)], _more(F.sha2(d, 512), extra, lambda w, i, s=s: _syllable(s, w, i))) for s in SYLLABLES}
     return F.when(script(canon) == "cyrillic", made["cyrillic"]).when(script(canon) == "greek", made["greek"]).otherwise(made["latin"])
 
 
@@ -185,6 +218,7 @@ def rendered(kind_: Column, mention: Column, before: Column, made: Column, key:
     """The canonical surrogate in the mention's own format."""
     nth = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"\D", ""))
     numbers = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(made, nth(i), F.lit(1))).otherwise(c)), "")
+    numbers = F.concat(numbers, F.substring(made, nth(F.length(mention)) + 1, F.length(made)))
     words = F.split(mention, " ")
     title = F.regexp_extract(before, rf"({_ALL_TITLES})\.? $", 1)
     gender = F.when(title.isin(*TITLES["female"]), "female").when(title.isin(*TITLES["male"]), "male").otherwise("any")
@@ -196,8 +230,9 @@ def rendered(kind_: Column, mention: Column, before: Column, made: Column, key:
         matches = (script(first) == s) & ((gender == g) if s == "latin" else (F.when(gender == "any", "male").otherwise(gender) == g))
         given = F.when(matches, own).otherwise(given)
     name = F.concat(F.when(F.size(words) > 1, F.concat(_cased(first, given), F.lit(" "))).otherwise(""), _cased(F.element_at(words, -1), made))
-    of = lambda i: F.substring(made, i + 1, F.lit(1))
-    email = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(of(i))).otherwise(of(i))), "")
+    more = F.length(made) - F.length(mention)
+    of = lambda i: F.substring(made, i + more + 1, F.lit(1))
+    email = F.concat(F.left(made, more), F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(of(i))).otherwise(of(i))), ""))
     return F.when(kind_.isin("card", "phone"), numbers).when(kind_ == "name", name).when(kind_ == "email", email).otherwise(made)
 
 
@@ -218,7 +253,7 @@ def entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
     found = _cut(docs.select(common.column(docs, text_col).alias("text")).filter(F.col("text").rlike(HINT)), F.col("text")).select(F.explode_outer("_bk_mentions").alias("m"))
     table = found.select("m.kind", "m.canon").distinct().filter("canon IS NOT NULL").withColumn("attempt", F.lit(0))
     table = common.shared_table(table.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "entities")
-    for _ in range(ROUNDS):
+    while True:
         best = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).filter("n > 1")
         shared = table.join(best, ["kind", "surrogate"]).filter(F.struct("attempt", "canon") != F.col("first")).select("kind", "canon")
         names = table.select("kind", F.col("canon").alias("surrogate")).distinct()
@@ -229,7 +264,6 @@ def entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
         raised = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(False)).cast("int"))
         raised = raised.withColumn("surrogate", F.when(F.col("bad"), surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)).otherwise(F.col("surrogate"))).drop("bad")
         table = common.shared_table(raised, "entities")
-    raise ValueError(f"entities still collide after {ROUNDS} rounds: their space of surrogates is too small")
 
 
 def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:

@@ -1,0 +1,29 @@
+"""Surrogates of entities that have little room for others."""
+
+import re
+
+from bracken.llm import pii
+
+
+def test_every_secret_ends_with_a_surrogate_of_its_own(spark):
+    secrets = ["****", "___", "пароль", "Пароль1", "κωδικός", "!", "?", "密码", *map(str, range(10))]
+    rows = [(i, f"pin pwd={s} end") for i, s in enumerate(secrets)] + [(100, "mail +@a.co -@a.co +@b.co")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = {(r.kind, r.canon): r.surrogate for r in pii.entities(df).collect()}
+    assert len(table) == len(secrets) + 3 and len(set(table.values())) == len(table) and not set(table.values()) & {c for _, c in table}
+    out = {r.doc_id: r.text for r in pii.replaced(df).collect()}
+    assert all(out[i] == f"pin pwd={table['secret', s]} end" for i, s in enumerate(secrets))
+    assert re.fullmatch("[а-я]{6}", table["secret", "пароль"]) and re.fullmatch("[a-z0-9]{4}", table["secret", "****"])
+    assert all(re.fullmatch("[0-9]{2,}", table["secret", str(i)]) for i in range(10))
+    assert re.fullmatch(r"mail \S+@\w\.co \S+@\w\.co \S+@\w\.co", out[100])
+
+
+def test_later_attempts_are_longer_and_keep_the_format(spark):
+    rows = [("email", "a.b@mail.co", "A.b@Mail.co"), ("ip", "10.0.0.1", "10.0.0.1"), ("card", "4111111111111111", "4111 1111 1111 1111"), ("phone", "2125550187", "(212) 555-0187"), ("name", "smith", "Smith"), ("secret", "a1" * 16, "a1" * 16)]
+    df = spark.createDataFrame(rows, "kind string, canon string, mention string")
+    from pyspark.sql import functions as F
+
+    made = df.select("kind", "mention", pii.surrogate(F.col("kind"), F.col("canon"), F.lit(2 * pii.STEP)).alias("made"))
+    got = {r.kind: r.new for r in made.select("kind", pii.rendered(F.col("kind"), F.col("mention"), F.lit("Mr "), F.col("made")).alias("new")).collect()}
+    want = {"email": r"[a-z0-9]{2}[A-Z]\.[a-z]@[A-Z][a-z]{3}\.co", "ip": r"\d+(\.\d+){5}", "card": r"4\d{3} \d{4} \d{4} \d{6}", "phone": r"\(\d{3}\) \d{3}-\d{6}", "name": "[A-Z][a-z]{11}", "secret": "[0-9a-f]{34}"}
+    assert all(re.fullmatch(want[k], got[k]) for k in want), got
