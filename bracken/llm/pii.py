@@ -16,6 +16,12 @@ space of surrogates stays full and the rounds end. Only entities past their firs
 are joined by document. Texts are cut at the entities and put together again with surrogates in place, so
 nothing is replaced twice, and all other text stays as it is.
 
+A person is a given name and a family name, wherever they stand. The family name has its surrogate, and the given
+name one that no other person of that family name has. The gender is that of all titles a person has in the corpus;
+where these differ or tell none, the given name is one of either. In a text with a title before a name, later
+and earlier repeats without one, of the full or the family name, are replaced too, as written, capitalised or in
+upper case; a given name that stands alone is not.
+
 Defined results: a null text stays null, with no entity; repeated rows are rewritten alike; rows with
 equal ids are told apart by their texts; an empty table stays empty; all other columns are untouched.
 """
@@ -61,10 +67,14 @@ PHONE = r"(?=[+(\d])(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[
 ACCESS_KEY = r"(?=AKIA)(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 PASSWORD = r"(?<==)(?i:(?<=password=)|(?<=passwd=)|(?<=pwd=))[^\s,;\"']+"
 TOKEN = r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[a-f]*\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"
-NAME = rf"(?<= )(?=\p{{Lu}})(?<=(?<![\p{{L}}])(?:{_ALL_TITLES})\.?[ ])\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+#: A word of a name, without the 's of a possessive.
+_NAME_WORD = r"\p{Lu}(?:\p{L}|['-](?=\p{L})(?!s(?!\p{L})))+"
+NAME = rf"(?<= )(?=\p{{Lu}})(?<=(?<![\p{{L}}])(?:{_ALL_TITLES})\.?[ ]){_NAME_WORD}(?: {_NAME_WORD})?"
 ENTITY = "|".join((EMAIL, IP, CARD, PHONE, ACCESS_KEY, PASSWORD, TOKEN, NAME))
+#: What any text with a name after a title has.
+TITLED = rf"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES.split('|')}))}])(?:{_ALL_TITLES})\.? \p{{Lu}}"
 #: What any text with an entity has, by way of first characters.
-HINT = rf"[@0-9=]|(?=[{''.join(sorted({t[0] for t in _ALL_TITLES.split('|')}))}])(?:{_ALL_TITLES})\.? \p{{Lu}}"
+HINT = rf"[@0-9=]|{TITLED}"
 
 
 def kind(mention: Column, before: Column) -> Column:
@@ -76,7 +86,7 @@ def kind(mention: Column, before: Column) -> Column:
         .when(mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(mention.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
         .when(mention.rlike(r"^[+(\d][\d ().-]*$") & ~mention.rlike("^[0-9]{32,}$") & (F.length(digits) >= 7), "phone")
-        .when(mention.rlike(r"^\p{Lu}[\p{L}'-]+( \p{Lu}[\p{L}'-]+)?$") & before.rlike(rf"(?:{_ALL_TITLES})\.? $"), "name")
+        .when(mention.rlike(r"^\p{Lu}[\p{L}'-]+( \p{Lu}[\p{L}'-]+)?$") & (before.rlike(rf"(?:{_ALL_TITLES})\.? $") | ~mention.rlike(f"^{ACCESS_KEY}$")), "name")
         .otherwise("secret")
     )
 
@@ -91,6 +101,12 @@ def canonical(kind_: Column, mention: Column) -> Column:
     )
 
 
+def gender(before: Column) -> Column:
+    """The gender that the title before a name tells: female, male or any; none without a title."""
+    title = F.regexp_extract(before, rf"({_ALL_TITLES})\.? $", 1)
+    return F.when(title == "", "none").when(title.isin(*TITLES["female"]), "female").when(title.isin(*TITLES["male"]), "male").otherwise("any")
+
+
 def _digest(parts: list[Column], key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *parts), 512)
 
@@ -209,79 +225,112 @@ def surrogate(kind_: Column, canon: Column, attempt: Column, key: str = KEY) ->
     return F.get(surrogates(F.array(F.struct(kind_.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))), key), F.lit(0))
 
 
+def given(person: Column, gender_: Column, attempt: Column, key: str = KEY) -> Column:
+    """The surrogate, lower case, of the given name of a person (full name, lower case); from the third attempt on
+    with syllables added."""
+    d = _digest([F.lit("given"), person, gender_, attempt.cast("string")], key)
+    of, out = script(F.substring_index(person, " ", 1)), F.lit(None).cast("string")
+    for (s, g), names in GIVEN.items():
+        own = F.element_at(_words([n.lower() for n in names]), (_draw(d, F.lit(0), len(names)) + 1).cast("int"))
+        matches = (of == s) & ((F.when(gender_.isin("female", "male"), gender_).otherwise("any" if s == "latin" else "male")) == g)
+        out = F.when(matches, F.concat(own, _more(F.sha2(d, 512), attempt - 2, lambda w, i, s=s: _syllable(s, w, i)))).otherwise(out)
+    return out
+
+
 def _cased(like: Column, name: Column) -> Column:
     """``name`` in upper case where ``like`` is, else capitalised."""
     return F.when((F.length(like) > 1) & (like == F.upper(like)), F.upper(name)).otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name))))
 
 
-def rendered(kind_: Column, mention: Column, before: Column, made: Column, key: str = KEY) -> Column:
-    """The canonical surrogate in the mention's own format."""
+def rendered(kind_: Column, mention: Column, made: Column, given_: Column) -> Column:
+    """The canonical surrogate, and that of the given name, in the mention's own format."""
     nth = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"\D", ""))
     numbers = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(made, nth(i), F.lit(1))).otherwise(c)), "")
     numbers = F.concat(numbers, F.substring(made, nth(F.length(mention)) + 1, F.length(made)))
     words = F.split(mention, " ")
-    title = F.regexp_extract(before, rf"({_ALL_TITLES})\.? $", 1)
-    gender = F.when(title.isin(*TITLES["female"]), "female").when(title.isin(*TITLES["male"]), "male").otherwise("any")
     first = F.element_at(words, 1)
-    d = _digest([F.lit("given"), F.lower(first), gender], key)
-    given = F.lit(None).cast("string")
-    for (s, g), names in GIVEN.items():
-        own = F.element_at(_words(names), (_draw(d, F.lit(0), len(names)) + 1).cast("int"))
-        matches = (script(first) == s) & ((gender == g) if s == "latin" else (F.when(gender == "any", "male").otherwise(gender) == g))
-        given = F.when(matches, own).otherwise(given)
-    name = F.concat(F.when(F.size(words) > 1, F.concat(_cased(first, given), F.lit(" "))).otherwise(""), _cased(F.element_at(words, -1), made))
+    name = F.concat(F.when(F.size(words) > 1, F.concat(_cased(first, given_), F.lit(" "))).otherwise(""), _cased(F.element_at(words, -1), made))
     more = F.length(made) - F.length(mention)
     of = lambda i: F.substring(made, i + more + 1, F.lit(1))
     email = F.concat(F.left(made, more), F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(of(i))).otherwise(of(i))), ""))
     return F.when(kind_.isin("card", "phone"), numbers).when(kind_ == "name", name).when(kind_ == "email", email).otherwise(made)
 
 
+def _repeats(text: Column) -> Column:
+    """Of a text with names after titles the pattern of all its entities and of these names anywhere; else null."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)))
+    forms = F.flatten(F.transform(names, lambda m: F.flatten(F.transform(F.array(m, F.element_at(F.split(m, " "), -1)), lambda n: F.array(n, F.upper(n), F.initcap(F.lower(n)))))))
+    pattern = F.concat(F.lit(ENTITY + r"|(?=\p{Lu})(?<![\p{L}\p{N}-]|\p{L}')(?:"), F.array_join(F.array_distinct(forms), "|"), F.lit(r")(?![\p{L}\p{N}]|-\p{L})"))
+    return F.when(text.rlike(TITLED) & text.rlike(NAME), pattern)
+
+
 def _cut(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds _bk_pieces and _bk_mentions (kind, mention, before, canon) of the texts that have an entity."""
+    """Adds _bk_pieces and _bk_mentions (kind, mention, before, canon, person, gender) of the texts that have an entity;
+    person is the full name of a mention that has one."""
     some = F.when(text.rlike(HINT), text)
-    out = docs.withColumn("_bk_found", F.regexp_extract_all(some, F.lit(ENTITY), F.lit(0)))
-    out = out.withColumn("_bk_pieces", F.when(F.size("_bk_found") > 0, F.split(text, ENTITY, -1)))
+    out = docs.withColumn("_bk_repeats", _repeats(text))
+    repeats = F.col("_bk_repeats")
+    out = out.withColumn("_bk_found", F.when(repeats.isNotNull(), F.regexp_extract_all(text, repeats, F.lit(0))).otherwise(F.regexp_extract_all(some, F.lit(ENTITY), F.lit(0))))
+    out = out.withColumn("_bk_pieces", F.when(F.size("_bk_found") > 0, F.when(repeats.isNotNull(), F.split(text, repeats, -1)).otherwise(F.split(text, ENTITY, -1))))
     typed = F.zip_with(F.col("_bk_found"), F.slice("_bk_pieces", F.lit(1), F.size("_bk_found")), lambda m, p: F.struct(kind(m, F.right(p, F.lit(24))).alias("kind"), m.alias("mention"), F.right(p, F.lit(24)).alias("before")))
     out = out.withColumn("_bk_typed", F.when(F.col("_bk_pieces").isNotNull(), typed))
-    canon = F.transform("_bk_typed", lambda m: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["before"].alias("before"), canonical(m["kind"], m["mention"]).alias("canon")))
-    return out.withColumn("_bk_mentions", canon).drop("_bk_found", "_bk_typed")
+    full = lambda m: (m["kind"] == "name") & m["mention"].contains(" ")
+    canon = F.transform("_bk_typed", lambda m: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["before"].alias("before"), canonical(m["kind"], m["mention"]).alias("canon"), F.when(full(m), F.lower(m["mention"])).alias("person"), F.when(full(m), gender(m["before"])).alias("gender")))
+    return out.withColumn("_bk_mentions", canon).drop("_bk_found", "_bk_typed", "_bk_repeats")
+
+
+def _each() -> Column:
+    """(kind, canon, gender) of every entity that the mentions name: a full name is one of kind person besides."""
+    own = F.transform("_bk_mentions", lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), F.lit(None).cast("string").alias("gender")))
+    persons = F.transform(F.filter("_bk_mentions", lambda m: m["person"].isNotNull()), lambda m: F.struct(F.lit("person").alias("kind"), m["person"].alias("canon"), m["gender"].alias("gender")))
+    return F.concat(own, persons)
 
 
 def entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """(kind, canon, attempt, surrogate) of every distinct entity, no two with one surrogate."""
+    """(kind, canon, attempt, surrogate, ...) of every distinct entity, no two of a kind and scope with one surrogate.
+
+    The scope of a person is the family name, and the surrogate that of the given name. ``mixed`` tells that the
+    mentions of a person have more than one title's gender."""
     # the outer form, as for the inner one the planner tests the size first and makes the mentions twice
-    found = _cut(docs.select(common.column(docs, text_col).alias("text")).filter(F.col("text").rlike(HINT)), F.col("text")).select(F.explode_outer("_bk_mentions").alias("m"))
-    table = found.select("m.kind", "m.canon").distinct().filter("canon IS NOT NULL").withColumn("attempt", F.lit(0))
-    table = common.shared_table(table.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "entities")
+    found = _cut(docs.select(common.column(docs, text_col).alias("text")).filter(F.col("text").rlike(HINT)), F.col("text")).select(F.explode_outer(_each()).alias("m"))
+    has = {g: F.coalesce(F.max(F.col("gender") == g), F.lit(False)) for g in ("female", "male", "any", "none")}
+    told = F.when(has["female"] & ~has["male"], "female").when(has["male"] & ~has["female"], "male").otherwise("any")
+    table = found.select("m.kind", "m.canon", "m.gender").groupBy("kind", "canon").agg(told.alias("gender"), (sum(h.cast("int") for h in has.values()) > 1).alias("mixed")).filter("canon IS NOT NULL").withColumn("attempt", F.lit(0))
+    person = F.col("kind") == "person"
+    table = table.withColumn("scope", F.when(person, F.substring_index("canon", " ", -1)).otherwise("")).withColumn("real", F.when(person, F.substring_index("canon", " ", 1)).otherwise(F.col("canon")))
+    drawn = F.when(person, given(F.col("canon"), F.col("gender"), F.col("attempt"), key)).otherwise(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+    table = common.shared_table(table.withColumn("surrogate", drawn), "entities")
     while True:
-        best = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).filter("n > 1")
-        shared = table.join(best, ["kind", "surrogate"]).filter(F.struct("attempt", "canon") != F.col("first")).select("kind", "canon")
-        names = table.select("kind", F.col("canon").alias("surrogate")).distinct()
-        real = table.join(names, ["kind", "surrogate"], "left_semi").select("kind", "canon")
+        best = table.groupBy("kind", "scope", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).filter("n > 1")
+        shared = table.join(best, ["kind", "scope", "surrogate"]).filter(F.struct("attempt", "canon") != F.col("first")).select("kind", "canon")
+        names = table.select("kind", "scope", F.col("real").alias("surrogate")).distinct()
+        real = table.join(names, ["kind", "scope", "surrogate"], "left_semi").select("kind", "canon")
         again = common.shared_table(shared.union(real).distinct().withColumn("bad", F.lit(True)), "collisions")
         if again.isEmpty():
             return table
         raised = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(False)).cast("int"))
-        raised = raised.withColumn("surrogate", F.when(F.col("bad"), surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)).otherwise(F.col("surrogate"))).drop("bad")
+        raised = raised.withColumn("surrogate", F.when(F.col("bad"), drawn).otherwise(F.col("surrogate"))).drop("bad")
         table = common.shared_table(raised, "entities")
 
 
 def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in its texts, and with pii_count and pii_spans (kind, start, end in the new text)."""
-    exceptions = common.shared_table(entities(docs, text_col, key).filter("attempt > 0").select("kind", "canon", "attempt"), "exceptions")
+    exceptions = common.shared_table(entities(docs, text_col, key).filter("attempt > 0 OR mixed").select("kind", "canon", "attempt", "gender"), "exceptions")
     names = [c for c in docs.columns if c not in ("pii_count", "pii_spans")]
     cut = _cut(docs.select(*[common.column(docs, c) for c in names]), F.col(f"`{text_col}`"))
     if exceptions.isEmpty():
-        cut = cut.withColumn("_bk_attempts", F.lit(None).cast("map<string,int>"))
+        cut = cut.withColumn("_bk_attempts", F.lit(None).cast("map<string,struct<attempt:int,gender:string>>"))
     else:
-        rows = cut.select(F.col(f"`{id_col}`").alias("_bk_id"), F.xxhash64(text_col).alias("_bk_hash"), F.explode(F.array_distinct(F.transform("_bk_mentions", lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"))))).alias("m"))
+        rows = cut.select(F.col(f"`{id_col}`").alias("_bk_id"), F.xxhash64(text_col).alias("_bk_hash"), F.explode(F.array_distinct(F.transform(_each(), lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"))))).alias("m"))
         looked = rows.select("_bk_id", "_bk_hash", "m.kind", "m.canon").join(small(exceptions), ["kind", "canon"]).distinct()
-        by_doc = common.shared_table(looked.groupBy("_bk_id", "_bk_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_bk_attempts")), "exceptions-by-document")
+        by_doc = common.shared_table(looked.groupBy("_bk_id", "_bk_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), F.struct("attempt", "gender")))).alias("_bk_attempts")), "exceptions-by-document")
         cut = cut.withColumn("_bk_text", F.xxhash64(text_col)).join(small(by_doc, 20_000), F.col("_bk_text").eqNullSafe(F.col("_bk_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_bk_id")), "left")
-    nth = lambda m: F.coalesce(F.element_at("_bk_attempts", F.concat_ws("|", m["kind"], m["canon"])), F.lit(0))
+    known = lambda kind_, canon: F.element_at("_bk_attempts", F.concat_ws("|", kind_, canon))
+    nth = lambda m: F.coalesce(known(m["kind"], m["canon"])["attempt"], F.lit(0))
     tried = F.transform("_bk_mentions", lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), nth(m).alias("attempt")))
-    both = F.zip_with(F.col("_bk_mentions"), surrogates(tried, key), lambda m, s: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["before"].alias("before"), s.alias("made")))
-    made = F.transform(both, lambda m: F.struct(m["kind"].alias("kind"), rendered(m["kind"], m["mention"], m["before"], m["made"], key).alias("new")))
+    both = F.zip_with(F.col("_bk_mentions"), surrogates(tried, key), lambda m, s: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["person"].alias("person"), m["gender"].alias("gender"), known(F.lit("person"), m["person"]).alias("known"), s.alias("made")))
+    first = lambda m: F.when(m["person"].isNotNull(), given(m["person"], F.coalesce(m["known"]["gender"], m["gender"]), F.coalesce(m["known"]["attempt"], F.lit(0)), key))
+    made = F.transform(both, lambda m: F.struct(m["kind"].alias("kind"), rendered(m["kind"], m["mention"], m["made"], first(m)).alias("new")))
     cut = cut.withColumn("_bk_new", made)
     pairs = F.zip_with(F.col("_bk_pieces"), F.col("_bk_new"), lambda p, n: F.concat(p, F.coalesce(n["new"], F.lit(""))))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")

@@ -24,6 +24,22 @@ def test_later_attempts_are_longer_and_keep_the_format(spark):
     from pyspark.sql import functions as F
 
     made = df.select("kind", "mention", pii.surrogate(F.col("kind"), F.col("canon"), F.lit(2 * pii.STEP)).alias("made"))
-    got = {r.kind: r.new for r in made.select("kind", pii.rendered(F.col("kind"), F.col("mention"), F.lit("Mr "), F.col("made")).alias("new")).collect()}
+    got = {r.kind: r.new for r in made.select("kind", pii.rendered(F.col("kind"), F.col("mention"), F.col("made"), F.lit(None)).alias("new")).collect()}
     want = {"email": r"[a-z0-9]{2}[A-Z]\.[a-z]@[A-Z][a-z]{3}\.co", "ip": r"\d+(\.\d+){5}", "card": r"4\d{3} \d{4} \d{4} \d{6}", "phone": r"\(\d{3}\) \d{3}-\d{6}", "name": "[A-Z][a-z]{11}", "secret": "[0-9a-f]{34}"}
     assert all(re.fullmatch(want[k], got[k]) for k in want), got
+
+
+def test_persons_stay_apart_and_are_one_everywhere(spark):
+    names = [f"J{a}{b}n" for a in "aeiou" for b in "klmnrst"]
+    rows = [(i, f"Mr {n} Smith wrote") for i, n in enumerate(names)]
+    rows += [(100, "Dr Jakn Smith and later Jakn Smith, Smith's dog, SMITH, Smithson, Blacksmith and Mrs Anna Smith. O'Smith"), (101, "Smith, no title here 1"), (102, "Ms Jakn Smith-Jones, Prof Jeln Smith")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replaced(df).collect()}
+    made = [re.fullmatch(r"Mr (\w+) (\w+) wrote", out[i].text).groups() for i in range(len(names))]
+    assert len(set(made)) == len(names) and len({m[1] for m in made}) == 1 and not {m[0] for m in made} & set(names)
+    given, family = made[0]
+    new = re.fullmatch(rf"Dr {given} {family} and later {given} {family}, {family}'s dog, {family.upper()}, Smithson, Blacksmith and Mrs (\w+) {family}\. O'Smith", out[100].text)
+    assert new and (new[1], family) not in made and out[100].pii_count == 5
+    assert out[101].text == rows[-2][1] and re.fullmatch(rf"Ms \w+ (?!{family}\b)\w+, Prof {made[names.index('Jeln')][0]} {family}", out[102].text)
+    for r in out.values():
+        assert all(r.text[s.start : s.end].strip() for s in r.pii_spans) and len(r.pii_spans) == r.pii_count
