@@ -74,7 +74,7 @@ ENTITY = "|".join((EMAIL, IP, CARD, PHONE, ACCESS_KEY, PASSWORD, TOKEN, NAME))
 #: What any text with a name after a title has.
 TITLED = rf"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES.split('|')}))}])(?:{_ALL_TITLES})\.? \p{{Lu}}"
 #: What any text with an entity has, by way of first characters.
-HINT = rf"[@0-9=]|{TITLED}"
+HINT = rf"[@0-9=]|AKIA|{TITLED}"
 
 
 def kind(mention: Column, before: Column) -> Column:
