@@ -85,3 +85,32 @@ def neighbours(turns: DataFrame) -> DataFrame:
     before = F.when(F.col("_n") > 0, plain(F.slice("_t", F.lit(1), F.col("_n")))).otherwise(F.array().cast(_TURNS))
     other = F.array(F.struct(F.col("_r")["role"].alias("role"), F.col("_r")["text"].alias("text")))
     return both.select("pair_id", chosen.alias("chosen"), F.when(F.col("_n").isNotNull() & F.col("_r").isNotNull(), F.concat(before, other)).alias("rejected"))
+
+
+def every(turns: DataFrame) -> DataFrame:
+    """A row of every conversation of a table of plain ones (conv_id, turn, role, text): conv_id, status, n_prefix,
+    prompt, and of each side the completion and its trained spans. Every turn is in the row of its conversation.
+
+    The whole conversation is chosen. Rejected is the same up to one of its assistant turns, and from there on what
+    the other conversation of the pair (2k and 2k + 1) says from one of its own; which one the hash of conv_id tells.
+    Status ``unpaired``: the other one is missing or has no assistant turn; the own completion stands alone.
+    Status ``no_reply``: no assistant turn; all turns are the prompt.
+    """
+    own = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    odd = F.coalesce(F.pmod("conv_id", F.lit(2)) == 1, F.lit(False))
+    side = lambda which: F.sort_array(F.collect_list(F.when(which, own)))
+    both = turns.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("_k")).agg(side(~odd).alias("_a"), side(odd).alias("_b"))
+    rows = both.select(F.explode(F.array(F.struct((F.col("_k") * 2).alias("id"), F.col("_a").alias("own"), (F.col("_k") * 2 + 1).alias("other_id"), F.col("_b").alias("other")), F.struct((F.col("_k") * 2 + 1).alias("id"), F.col("_b").alias("own"), (F.col("_k") * 2).alias("other_id"), F.col("_a").alias("other")))).alias("r")).filter(F.size("r.own") > 0)
+
+    def at(t: Column, conv_id: Column) -> Column:
+        """The place, from 0, of the assistant turn where a conversation's completion starts; null without any."""
+        places = F.filter(F.transform(t, lambda x, i: F.when(x["role"] == TRAINED, i)), lambda i: i.isNotNull())
+        return F.when(F.size(places) > 0, F.get(places, F.pmod(F.xxhash64(conv_id), F.greatest(F.size(places), F.lit(1))).cast("int")))
+
+    plain = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    rows = rows.select(F.col("r.id").alias("conv_id"), plain(F.col("r.own")).alias("_t"), plain(F.col("r.other")).alias("_o"), at(F.col("r.own"), F.col("r.id")).alias("_n"), at(F.col("r.other"), F.col("r.other_id")).alias("_m"))
+    state = F.when(F.col("_n").isNull(), "no_reply").when(F.col("_m").isNull(), "unpaired")
+    before = F.slice("_t", F.lit(1), F.col("_n"))
+    rejected = F.when(F.col("_n").isNull(), F.col("_t")).when(F.col("_m").isNull(), before).otherwise(F.concat(before, F.slice("_o", F.col("_m") + 1, F.size("_o"))))
+    out = formatted(rows.select(F.struct("conv_id", state.alias("state")).alias("pair_id"), F.col("_t").alias("chosen"), rejected.alias("rejected")))
+    return out.select(F.col("pair_id.conv_id").alias("conv_id"), F.coalesce("pair_id.state", "status").alias("status"), *out.columns[2:])

@@ -1,4 +1,4 @@
-"""op1: paired completions of all conversations."""
+"""op1: paired completions of conversations: as the SQL pairs them, and of every conversation with all its turns."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "status", "n_prefix", "prompt", "chosen", "rejected", _text("chosen_spans").alias("chosen_mask"), _text("rejected_spans").alias("rejected_mask"))
 
 
+def op1_preference_every_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.every(common.table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "status", "n_prefix", "prompt", "chosen", "rejected", _text("chosen_spans").alias("chosen_mask"), _text("rejected_spans").alias("rejected_mask"))
+
+
 SQL = r"""
 WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 lasts AS (SELECT pair_id, max(turn) FILTER (side = 0 AND role = 'assistant') AS last_own, max(turn) FILTER (side = 1 AND role = 'assistant') AS last_other FROM t GROUP BY pair_id),
@@ -38,5 +43,5 @@ SELECT p.pair_id, CASE WHEN coalesce(chosen, '') = '' AND coalesce(rejected, '')
 FROM pre p LEFT JOIN agg USING (pair_id)
 """
 
-QUERIES = {"op1_preference_format": op1_preference_format}
+QUERIES = {"op1_preference_format": op1_preference_format, "op1_preference_every_conversation": op1_preference_every_conversation}
 ORACLES = {"op1_preference_format": SQL}
