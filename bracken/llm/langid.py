@@ -13,8 +13,8 @@ temperature, lowered where the cross-entropy exceeds what the language's own tex
 ``rejected`` marks texts beyond that.
 
 Letters are lower-cased and runs of other characters are one space. Models are fitted on a bounded
-sample, at most ``SAMPLE`` texts of a language, none over ``LONGEST`` characters, by hash of the id; every
-text is scored whole. Defined results: a text that is null or has no letter is ``und`` with score 0; so is
+sample, at most ``SAMPLE`` texts of a language by hash of the id; of a text over ``LONGEST`` characters the fit
+reads as many, from its first letter on. Every text is scored whole. Defined results: a text that is null or has no letter is ``und`` with score 0; so is
 every text if nothing can be learned; rows with equal ids are scored on their own.
 """
 
@@ -264,14 +264,16 @@ def fit(texts: list[str], langs: list[str]) -> Models | None:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``most`` rows of each language, by hash of the id; held-out ids left out."""
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(~common.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
+    """Texts and languages of at most ``most`` rows of each language, by hash of the id; held-out ids left out, as are
+    texts without a letter. Of a text over ``longest`` characters as many, from its first letter on."""
+    text = F.when(F.length("text") > longest, F.left(F.regexp_replace("text", r"^\P{L}++", ""), F.lit(longest))).otherwise(F.col("text"))
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(~common.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     share = F.least(F.lit(1.0), F.lit(1.5 * most + 20) / F.count("*"))
     rates = common.shared_table(rows.groupBy(F.col("lang").alias("of")).agg(share.alias("rate")), "rates")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     from .simhash import small
 
-    got = rows.join(small(rates), rows["lang"] == rates["of"]).filter(drawn < F.col("rate")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang").collect()
+    got = rows.join(small(rates), rows["lang"] == rates["of"]).filter(drawn < F.col("rate")).select(F.xxhash64("doc_id").alias("h"), "doc_id", text.alias("text"), "lang").collect()
     texts, langs, taken = [], [], {}
     for r in sorted(got, key=lambda r: (r["h"], str(r["doc_id"]), r["text"])):
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
