@@ -12,8 +12,10 @@ document only hashes up to the largest sketch value of any class are looked up.
 Candidates are verified by exact containment: the shingles themselves are intersected.
 
 Words are maximal runs of letters and digits of the lower-cased text. Defined results: null or short
-texts have no shingles and neither contain nor are contained; items of fewer than five words are
-reported by ``unsearchable``; repeated rows give their pair once; empty tables give no pairs; ids may be
+texts have no shingles and neither contain nor are contained; items of fewer than five words are listed by
+``unsearchable`` and searched by ``contained_short``, which ``decontaminated`` does as well: unspaced scripts
+are cut into characters there, and an item that is still short is contained where its whole sequence
+occurs, so that a single word is found in every document that has it; repeated rows give their pair once; empty tables give no pairs; ids may be
 null or repeated, rows are told apart by id and text.
 """
 
@@ -28,6 +30,9 @@ from .simhash import small
 WORDS = 5
 THRESHOLD = 0.8
 TOKEN = r"[\p{L}\p{N}]+"
+#: Scripts without spaces between words.
+_UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+CHARACTERS = rf"[\p{{L}}\p{{N}}&&[{_UNSPACED}]]|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
 #: Sketch rows (a hash and an item key, 16 bytes) up to which the sketches are broadcast; they are counted.
 BROADCAST_SKETCH = 1_000_000
 #: Items (their shingles, some KB each) up to which the shingle lists are broadcast; they are counted.
@@ -38,6 +43,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def characters(text: Column) -> Column:
+    """As ``tokens``, but each character of an unspaced script is a word."""
+    return F.regexp_extract_all(F.lower(text), F.lit(CHARACTERS), F.lit(0))
+
+
 def _each_shingle(words: str, make, n: int = WORDS) -> Column:
     """``make(position)`` for each shingle of the array column ``words``; null where there is none."""
     count = F.size(words) - (n - 1)
@@ -54,10 +64,10 @@ def shingles(words: str, n: int = WORDS) -> Column:
     return F.array_distinct(_each_shingle(words, lambda i: F.concat_ws(" ", *[F.get(col, i + j) for j in range(n)]), n))
 
 
-def item_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
+def item_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = WORDS, cut=tokens) -> DataFrame:
     """(item, item_id, words, shingles, n) of each distinct item with a shingle; ``item`` tells rows apart."""
     rows = items.select(common.column(items, id_col).alias("item_id"), common.column(items, text_col).alias("text")).distinct()
-    rows = rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", tokens(F.col("text")).alias("words")).filter(F.size("words") >= n)
+    rows = rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", cut(F.col("text")).alias("words")).filter(F.size("words") >= n)
     return rows.withColumn("shingles", shingles("words", n)).withColumn("n", F.size("shingles"))
 
 
@@ -73,12 +83,12 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) ->
     return items.select("item", F.ceil(F.log2("n")).cast("int").alias("size_class"), F.explode(bottom).alias("hash"))
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", cut=tokens) -> DataFrame:
     """(doc_id, text_hash, item_id, n_shingles, n_shared, containment) of all pairs at the threshold."""
-    table = common.shared_table(item_table(items, n=n), "items")
+    table = common.shared_table(item_table(items, n=n, cut=cut), "items")
     sketch = common.shared_table(sketches(table, threshold, n), "sketches")
     top = sketch.agg(F.max("hash")).first()[0]
-    keyed = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(common.column(docs, text_col)).alias("text_hash"), tokens(common.column(docs, text_col)).alias("words"))
+    keyed = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(common.column(docs, text_col)).alias("text_hash"), cut(common.column(docs, text_col)).alias("words"))
     low = F.filter(hashes("words", n), lambda h: h <= F.lit(top if top is not None else -(1 << 63)))
     hits = keyed.select("doc_id", "text_hash", F.explode(low).alias("hash")).join(small(sketch, BROADCAST_SKETCH), "hash")
     pairs = hits.groupBy("doc_id", "text_hash", "item").agg(F.min("size_class").alias("size_class"))
@@ -91,9 +101,19 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n
     return both.filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - 1e-9).distinct()
 
 
+def contained_short(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
+    """As ``contained``, of the items of too few words for it, by their number of words; none if there are no such items."""
+    rest = unsearchable(items, n=n).select("item_id", "text").withColumn("size", F.least(F.size(characters(F.col("text"))), F.lit(n))).filter("size > 0")
+    sizes = sorted(r[0] for r in rest.select("size").distinct().collect())
+    return [contained(docs, rest.filter(F.col("size") == k), threshold, k, id_col, text_col, characters) for k in sizes]
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item; columns as in the input."""
-    found = common.shared_table(contained(docs, items, threshold, n, id_col, text_col).select(F.col("doc_id").alias("_bk_id"), F.col("text_hash").alias("_bk_hash")).distinct(), "leaks")
+    pairs = contained(docs, items, threshold, n, id_col, text_col)
+    for more in contained_short(docs, items, threshold, n, id_col, text_col):
+        pairs = pairs.union(more)
+    found = common.shared_table(pairs.select(F.col("doc_id").alias("_bk_id"), F.col("text_hash").alias("_bk_hash")).distinct(), "leaks")
     keyed = docs.withColumn("_bk_text", F.xxhash64(common.column(docs, text_col)))
     on = (keyed["_bk_text"] == F.col("_bk_hash")) & common.column(keyed, id_col).eqNullSafe(F.col("_bk_id"))
     return keyed.join(small(found), on, "left_anti").drop("_bk_text")
