@@ -1,13 +1,14 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search [native].
+"""Benchmark decontamination by bottom-k MinHash containment search [native].
 
 A test item is contained in a document if at least ``threshold`` of the item's distinct five-word
 shingles occur in the document, however long that is. The similarity of a short item and a long
 document is near zero, so signatures of whole documents cannot find it; containment needs sketches
-whose size follows the item's. Items are partitioned by their number n of shingles into classes of a
-power of two. An item's sketch is its n - ceil(threshold * n) + 1 smallest shingle hashes, one MinHash
+whose size follows the item's. An item's sketch, n its number of shingles, is its
+n - ceil(threshold * n) + 1 smallest shingle hashes, one MinHash
 permutation's bottom values. A document that lacks all of them lacks too many shingles, so every
 contained item has a sketch value among the document's hashes: the search loses nothing. Of a
-document only hashes up to the largest sketch value of any class are looked up.
+document only hashes up to the largest sketch value of any item are looked up. This one lookup of all
+items stands in for a partitioning by size: results are the same, and nothing is partitioned.
 
 Candidates are verified by exact containment: the shingles themselves are intersected.
 
@@ -77,10 +78,10 @@ def unsearchable(items: DataFrame, text_col: str = "text", n: int = WORDS) -> Da
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
-    """(item, size_class, hash): the bottom values of each item of ``item_table``."""
+    """(item, hash): the bottom values of each item of ``item_table``."""
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     bottom = F.slice(F.array_sort(F.array_distinct(hashes("words", n))), F.lit(1), keep.cast("int"))
-    return items.select("item", F.ceil(F.log2("n")).cast("int").alias("size_class"), F.explode(bottom).alias("hash"))
+    return items.select("item", F.explode(bottom).alias("hash"))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", cut=tokens) -> DataFrame:
@@ -91,7 +92,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n
     keyed = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(common.column(docs, text_col)).alias("text_hash"), cut(common.column(docs, text_col)).alias("words"))
     low = F.filter(hashes("words", n), lambda h: h <= F.lit(top if top is not None else -(1 << 63)))
     hits = keyed.select("doc_id", "text_hash", F.explode(low).alias("hash")).join(small(sketch, BROADCAST_SKETCH), "hash")
-    pairs = hits.groupBy("doc_id", "text_hash", "item").agg(F.min("size_class").alias("size_class"))
+    pairs = hits.select("doc_id", "text_hash", "item").distinct()
     by_doc = common.shared_table(pairs.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_set("item").alias("candidates")), "candidates")
     texts = keyed.join(small(by_doc), keyed["doc_id"].eqNullSafe(by_doc["c_id"]) & (keyed["text_hash"] == by_doc["c_hash"]))
     texts = texts.select("doc_id", "text_hash", shingles("words", n).alias("doc_shingles"), F.explode("candidates").alias("item"))
