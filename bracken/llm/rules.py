@@ -12,7 +12,7 @@ fails the base rules with fewer than 50 words or more than half of its words rep
 
 Defined results: a null or empty text has zero everywhere and fails; rows with equal ids are scored on
 their own; with no labelled rows of both classes the trees keep every document; an empty table gives an
-empty result. The labelled sample is bounded by ``SAMPLE`` rows, by hash of the id; texts are whole.
+empty result. The labelled sample is bounded by ``SAMPLE`` ids and twice as many rows (ids may repeat), by hash of the id; texts are whole.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import small
+from .common import small
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
-#: At most so many labelled documents are gathered for the trees; their statistics are a few numbers each.
+#: At most so many labelled ids, and twice as many rows of documents with them, are gathered for the trees; their
+#: statistics are a few numbers each.
 SAMPLE = 20_000
 #: Documents whose probability of good quality is below this are rejected.
 KEEP = 0.1
@@ -191,8 +192,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees from the labelled rows of ``labels`` (doc_id, quality), held-out ids left out; at most ``sample`` of
-    them by hash of the id. None if there are not both classes."""
+    """Trees from the labelled rows of ``labels`` (doc_id, quality), held-out ids left out; at most ``sample``
+    ids and twice as many rows, by hash of the id. None if there are not both classes."""
     known = labels.filter(~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("y")).filter("y IS NOT NULL")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = stats.select("doc_id", "features").join(small(known, sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).select("features", "y").collect()
@@ -222,7 +223,5 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are kept; columns as in the input. Rows of equal id and text are judged alike."""
-    found = common.shared_table(judged(docs, labels, id_col, text_col, **how).filter("NOT kept").select(F.col("doc_id").alias("_bk_id"), F.col("text_hash").alias("_bk_hash")).distinct(), "rejected")
-    keyed = docs.withColumn("_bk_text", F.xxhash64(common.column(docs, text_col)))
-    on = (keyed["_bk_text"] == F.col("_bk_hash")) & common.column(keyed, id_col).eqNullSafe(F.col("_bk_id"))
-    return keyed.join(small(found), on, "left_anti").drop("_bk_text")
+    found = judged(docs, labels, id_col, text_col, **how).filter("NOT kept").select("doc_id", "text_hash").distinct()
+    return common.without(docs, common.shared_table(found, "rejected"), id_col, text_col)

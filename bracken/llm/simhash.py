@@ -9,7 +9,8 @@ and variants are shuffled; two fingerprints within the radius share a variant in
 them. Over the whole 64 bits a radius of 4 takes 1 + 64 + 2016 = 2081 variants of each fingerprint,
 about 33 KB of shuffle against a document of 2 KB. ``blocks`` therefore first splits the bits: of two
 halves of fingerprints within 4 bits, one half differs in 2 bits at most, so that balls of radius 1 in
-both halves (66 variants) meet as surely. ``blocks=1`` is the undivided form; both are exact.
+both halves (66 variants) meet as surely. ``blocks=1`` is the undivided form; both are exact. Unless ``blocks``
+is given, the halves are taken up to ``HALVES`` distinct fingerprints and the undivided form beyond.
 
 Fingerprints that share a variant are verified inside their group with a frontier that links what it
 reaches, so a group of g members gives at most g - 1 links, not all pairs. Groups over ``HOT_GROUP``
@@ -33,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import small
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 HOT_GROUP = 32_768
-#: Tables of up to so many rows of two longs (8 MB) are broadcast; their rows are counted first.
-BROADCAST_ROWS = 500_000
+#: Distinct fingerprints up to which halves are compared: the pairs that share a half by chance grow with the
+#: square of their number, and beyond cost more than the variants of whole fingerprints.
+HALVES = 10**10
 #: Hashes that are counted at once; longer texts are counted in pieces.
 AT_ONCE = 1 << 16
 
@@ -206,18 +209,14 @@ def stars(edges: DataFrame) -> DataFrame:
         edges = common.shared_table(small, "small-star")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` for a broadcast if it has at most so many rows, which is counted; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def components(fps: DataFrame, radius: int = RADIUS, blocks: int = 2) -> DataFrame:
+def components(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(fp, component_id, best) of every fingerprint with more than one row or with a link.
 
     component_id is the smallest id of the component; best names one row of it by (doc_id, text_hash).
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     own = common.shared_table(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), best.alias("best")), "fingerprints")
+    blocks = blocks or (2 if own.count() <= HALVES else 1)
     roots = common.shared_table(stars(links(own, radius, blocks)), "roots")
     linked = own.join(roots, own["fp"] == roots["node"]).select("fp", "id", "best", "root")
     of = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.min("best").alias("best"))
@@ -226,7 +225,7 @@ def components(fps: DataFrame, radius: int = RADIUS, blocks: int = 2) -> DataFra
     return common.shared_table(grouped.union(copies), "components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, stays) of every row; of rows with equal (doc_id, text_hash) all stay or none."""
     fps = fingerprints(docs, id_col, text_col, shingle)
     groups = components(fps, radius, blocks)
@@ -242,9 +241,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = common.shared_table(near_duplicates(docs, id_col, text_col, **how), "decisions")
     rows, kinds = found.count(), found.select("doc_id", "text_hash").distinct().count()
-    go = found.filter("NOT stays").select(F.col("doc_id").alias("_bk_id"), F.col("text_hash").alias("_bk_hash")).distinct()
-    keyed = docs.withColumn("_bk_text", F.xxhash64(common.column(docs, text_col)))
-    out = keyed.join(small(go), keyed["_bk_text"].eqNullSafe(F.col("_bk_hash")) & common.column(keyed, id_col).eqNullSafe(F.col("_bk_id")), "left_anti")
+    out = common.without(docs, found.filter("NOT stays").select("doc_id", "text_hash").distinct(), id_col, text_col)
     if rows > kinds:
-        out = out.dropDuplicates([id_col, "_bk_text"])
-    return out.drop("_bk_text")
+        digest = common.spare(docs, "_bk_text")
+        out = out.withColumn(digest, F.xxhash64(common.column(out, text_col))).dropDuplicates([id_col, digest]).drop(digest)
+    return out

@@ -4,11 +4,12 @@ A text's terms are its byte trigrams, hashed to ``TERMS`` buckets, and ``MARKS``
 see: words in repeated three-word windows, repeated lines, words all in capitals, and the size of the
 text in powers of two. Counts are damped by logarithm, weighted by inverse document frequency and
 projected on the leading singular vectors of the labelled sample (a randomised range finder and an
-exact decomposition inside it). The labelled vectors, at most ``SAMPLE`` of ``DIMENSIONS`` numbers and so at
-most a megabyte, are broadcast; every document's cosines with all of them are computed in blocks, exactly,
+exact decomposition inside it). The labelled vectors, at most twice ``SAMPLE`` of ``DIMENSIONS`` numbers and so at
+most two megabytes, are broadcast; every document's cosines with all of them are computed in blocks, exactly,
 and its ``NEIGHBOURS`` nearest vote with their similarity as weight.
 
-Labels are learned only from ids that are not held out, at most ``SAMPLE`` rows by hash of the id. Defined
+Labels are learned only from ids that are not held out, at most ``SAMPLE`` ids and, as ids may repeat, twice as
+many rows, by hash of the id. Defined
 results: null and empty texts have the vector of their marks alone and are scored; with no labels every
 score is 0.5; rows with equal ids are scored on their own; an id with two labels counts as its larger.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, rules
-from .simhash import small
+from .common import small
 
 TERMS = 4096
 MARKS = 24
@@ -100,7 +101,7 @@ def fit(table: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, see
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and labels of at most ``most`` labelled rows; the rows' counts are gathered sparsely."""
+    """Counts and labels of the rows of at most ``most`` labelled ids, twice as many rows at most; counts are gathered sparsely."""
     known = labels.filter(~common.held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("y")).filter("y IS NOT NULL")
     known = known.orderBy(F.xxhash64("of"), "of").limit(most)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(known, most), F.col("doc_id") == F.col("of"))
