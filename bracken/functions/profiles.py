@@ -72,11 +72,30 @@ TITLE_TAIL = "txt|pdf|text|文字版|电子书|扫描版|高清|全本|完整版
 TITLE_BRACKETS = "[（(\\[【《].*?[)）\\]】》]"
 TITLE_PUNCTUATION = "[\\s_\\-—－·。，,、：:；;！!？?\"“”'‘’#]+"
 
-#: Ends of sentences: for cutting, for stitching and for the continuation of a chunk.
+# Ends of sentences, for cutting, for stitching and for the continuation of a chunk.
 SENTENCE_CUT = "。！？.!?"
 STITCH_ENDS = "。！？!?…"
 TAIL_ENDS = "。！？…"
 
+# Patterns of lines without text of their own, and of blocks in result pages.
+NUMBER_LINE = r"^\d{1,6}$"
+FRAMED_NUMBER = r"^[~～\-—·*※＝=]+\d{1,4}[~～\-—·*※＝=]+$"
+DATE_LINE = r"^\d{2,4}[./]\d{1,2}(?:[./]\d{1,2})?$"
+RESULT_BLOCKS = (
+    r'(?is)<li[^>]*class="[^"]*b_algo[^"]*"[^>]*>.*?</li>', r'(?is)<div[^>]*class="[^"]*c-abstract[^"]*"[^>]*>.*?</div>', r'(?is)<td[^>]*class="[^"]*result-snippet[^"]*"[^>]*>.*?</td>',
+)
+PARAGRAPH = r"(?is)<p[^>]*>(.*?)</p>"
+
+# Verdicts of a graph's audit, empty batches that stop a build, margins and headings of a page, caps of a
+# meeting's summary, words that it must not have, and what closes it instead; the cosine of a cached question.
+VERDICTS = ("faithful", "unsupported", "unclear", "unknown")
+EMPTY_ABORT = 5
+MARGIN_RATIO, MARGIN_CHARS, HEADING_CHARS = 0.06, 30, 45
+SUMMARY_CLASHES, SUMMARY_OPEN, SUMMARY_APPLICATIONS, SUMMARY_CHARS, CLOSING_CHARS, STANCE_CHARS = 6, 3, 3, 300, 800, 60
+SUMMARY_BANNED = ("更有说服力", "更有道理", "更占理", "更站得住脚", "站不住脚", "略胜", "更胜", "胜出", "获胜", "胜者", "谁赢", "赢了", "所有观点都正确", "所有观点都同样正确", "每种观点都正确")
+CLOSING = "本场发言已结束，各方主张分别保留。讨论结束不代表达成一致；具体采用哪种观点，需要结合问题的条件判断。"
+CACHE_SIMILAR = 0.92
+
 # Constants of scoring, chunking, depths, graphs, memories and limits.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60

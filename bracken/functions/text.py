@@ -10,8 +10,12 @@ from . import profiles as P
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
+#: All white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def compact(c: Column) -> Column:
@@ -60,9 +64,9 @@ def is_ocr_noise(line: Column) -> Column:
     c = compact(line)
     return (
         (c == "")
-        | c.rlike(r"^\d{1,6}$")
-        | c.rlike(r"^[~～\-—·*※＝=]+\d{1,4}[~～\-—·*※＝=]+$")
-        | c.rlike(r"^\d{2,4}[./]\d{1,2}(?:[./]\d{1,2})?$")
+        | c.rlike(P.NUMBER_LINE)
+        | c.rlike(P.FRAMED_NUMBER)
+        | c.rlike(P.DATE_LINE)
         | ((F.length(c) <= 8) & c.rlike(r"(?U)^[\W_]+$"))
         | ((F.length(c) < 50) & c.rlike("|".join(P.OCR_NOISE)))
     )
@@ -117,7 +121,8 @@ def entity_key(name: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """TXT-03."""
-    parts = F.split(text, r"(?<=[。！？.!?])|\n", -1)
+    cut = P.SENTENCE_CUT
+    parts = F.regexp_extract_all(text, F.lit(f"[^{cut}\\n]*+[{cut}]|[^{cut}\\n]++"), F.lit(0))
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -177,8 +182,7 @@ def strip_html(html: Column) -> Column:
 
 def html_blocks(html: Column) -> Column:
     """TXT-17: texts of result containers, then of paragraphs."""
-    whole = [r'(?is)<li[^>]*class="[^"]*b_algo[^"]*"[^>]*>.*?</li>', r'(?is)<div[^>]*class="[^"]*c-abstract[^"]*"[^>]*>.*?</div>', r'(?is)<td[^>]*class="[^"]*result-snippet[^"]*"[^>]*>.*?</td>']
-    found = [F.regexp_extract_all(html, F.lit(p), F.lit(0)) for p in whole] + [F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))]
+    found = [F.regexp_extract_all(html, F.lit(p), F.lit(0)) for p in P.RESULT_BLOCKS] + [F.regexp_extract_all(html, F.lit(P.PARAGRAPH), F.lit(1))]
     return F.transform(F.concat(*found), strip_html)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_path
+
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table's files as a stream."""
@@ -13,14 +13,13 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
 
 
-def drained(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
+def drained(spark: SparkSession, df: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
     """Everything that is there now, through a written sink and back as a table.
 
-    Sink and checkpoint lie in the shared folder that the session names; a local session may go without and
-    then keeps them in its warehouse.
+    Sink and checkpoint lie at ``at``; a later call with the same place resumes from its cursor and takes only what
+    is new (STR-15). Without a place they lie in the shared folder until the driver ends.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = at or shared_path(spark, "stream")
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     else:
