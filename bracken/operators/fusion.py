@@ -78,6 +78,59 @@ def routes(vector: DataFrame | None, lexical: DataFrame | None) -> tuple[DataFra
     return out, "hybrid" if len(named) == 2 else "vector_only" if vector is not None else "lexical_only"
 
 
+def depths(top_k: int = P.TOP_STRONG, reranks: bool = True) -> tuple[int, int]:
+    """TOP-03: (pool of the reranker, candidates that each board fetches)."""
+    pool = max(top_k, P.POOL) if reranks else top_k
+    return pool, 2 * max(top_k, pool)
+
+
+def with_metadata(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """JN-02 over (doc, ...) and (doc, source, text): a candidate without metadata stays, with empty ones."""
+    out = candidates.join(docs.select("doc", "source", "text"), "doc", "left")
+    return out.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def retrieved(mode: str, queries: DataFrame, docs: DataFrame, vector: DataFrame | None, lexical: DataFrame | None, weights: DataFrame | None = None, top_k: int = P.TOP_STRONG, scorer=fallback_score) -> DataFrame:
+    """RET-04, RET-10 over queries (query_id, query), docs (doc, source, text) and the boards (query_id, doc, rank):
+    (query_id, doc, rank, source, text, rrf_rank, score, rerank, vector_rank, bm25_rank, mode).
+
+    ``full`` fuses both boards and selects in two segments; a route that is missing is left out and named in the
+    mode (RET-07). ``vector_only`` has the nearest documents alone. ``agent`` is what a model gets that asks itself:
+    the full selection of the query that it wrote.
+    """
+    if mode not in ("full", "vector_only", "agent"):
+        raise ValueError(f"no mode {mode}")
+    if mode == "vector_only":
+        c = with_metadata(vector.filter(F.col("rank") < top_k).select("query_id", "doc", F.col("rank").cast("int").alias("rank"), "score"), docs)
+        empty = F.lit(None).cast("int")
+        return c.select("query_id", "doc", "rank", "source", "text", F.col("rank").alias("rrf_rank"), "score", F.lit(None).cast("double").alias("rerank"), F.col("rank").alias("vector_rank"), empty.alias("bm25_rank"), F.lit(mode).alias("mode"))
+    boards, found = routes(vector, lexical)
+    c = with_metadata(fused(boards.select("query_id", "class", "doc", "rank"), weights), docs).join(queries.select("query_id", "query"), "query_id")
+    out = two_segments(c, scorer, depths(top_k)[0], top_k=top_k)
+    return out.select("query_id", "doc", "rank", "source", "text", "rrf_rank", "score", "rerank", "vector_rank", "bm25_rank", F.lit(found if mode == "full" else f"agent {found}").alias("mode"))
+
+
+def trace(selected: DataFrame, anchor: int = P.ANCHOR) -> DataFrame:
+    """RET-08: of each selected document its places on the boards, in the fused order and at the end, whether it is an
+    anchor, and how far the reranker moved it. It is made of the selection and changes nothing in it."""
+    return selected.select("query_id", "doc", "vector_rank", "bm25_rank", "rrf_rank", "rank", (F.col("rrf_rank") < anchor).alias("anchor"), (F.col("rrf_rank") - F.col("rank")).alias("moved"), "mode")
+
+
+def with_evidence(results: DataFrame, evidence: DataFrame) -> DataFrame:
+    """JN-11, SET-08 over results (query_id, pos, doc, text) and evidence of the graph (query_id, pos, doc, text): the
+    results, and after them evidence whose content is not there yet, each content once; adds inferred."""
+    key = F.md5(F.substring("text", 1, 200))
+    e = evidence.withColumn("_key", key)
+    new = e.join(results.select("query_id", key.alias("_key")).distinct(), ["query_id", "_key"], "left_anti")
+    first = Window.partitionBy("query_id", "_key").orderBy("pos", "doc")
+    new = new.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
+    n = results.groupBy("query_id").agg((F.max("pos") + 1).alias("_n"))
+    order = Window.partitionBy("query_id").orderBy("pos", "doc")
+    new = new.withColumn("pos", F.row_number().over(order) - 1).join(n, "query_id", "left").withColumn("pos", F.col("pos") + F.coalesce("_n", F.lit(0)))
+    cols = ["query_id", "pos", "doc", "text"]
+    return results.select(*cols).withColumn("inferred", F.lit(False)).unionByName(new.select(*cols).withColumn("inferred", F.lit(True)))
+
+
 def numbered(evidence: DataFrame) -> DataFrame:
     """WIN-12 over (query_id, pos, inferred): adds label, [1], [2], ... and [G1], [G2], ... for inferred rows."""
     w = Window.partitionBy("query_id", "inferred").orderBy("pos")

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..functions import text as T
-from ..session import small
+from ..session import shared_table, small
+
+#: Terms up to which a query's postings are looked up by value; their number is bounded by this.
+FEW_TERMS = 1000
+
+
+@dataclass(frozen=True)
+class Index:
+    """A written inverted index: ``postings`` (term, doc, tf, dl), of which the row without a term tells a document's
+    length; ``stats`` (term, df, idf). Within a file rows are sorted by term, so that few terms read few pages."""
+
+    postings: DataFrame
+    stats: DataFrame
+    corpus: DataFrame
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,46 +30,52 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc"), T.index_tokens(F.col(text_col)).alias("words"))
 
 
-def term_counts(toks: DataFrame) -> DataFrame:
-    """(term, df, dl): documents of each term; the row without a term counts all documents and their words. One pass
-    over the corpus gives both, and plans that use it twice share its exchange."""
-    marked = toks.select(F.size("words").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"))
-    return marked.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
-
-
-def corpus(counts: DataFrame) -> DataFrame:
-    """One row of ``term_counts``: (n_docs, avgdl)."""
-    return counts.filter("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
+def postings(toks: DataFrame) -> DataFrame:
+    """(term, doc, tf, dl); a row without a term for each document."""
+    marked = toks.select("doc", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    return marked.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
 def term_stats(counts: DataFrame, epsilon: float = P.BM25_EPSILON) -> DataFrame:
-    """DM-06, MTH-01 over ``term_counts``: (term, df, idf). A negative idf becomes epsilon times the mean of all idf before."""
-    raw = counts.filter("term IS NOT NULL").crossJoin(F.broadcast(corpus(counts))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """DM-06, MTH-01 over (term, df), the row without a term counting all documents: (term, df, idf). A negative idf
+    becomes epsilon times the mean of all idf before."""
+    n = counts.filter("term IS NULL").select(F.col("df").alias("n_docs"))
+    raw = counts.filter("term IS NOT NULL").crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def postings(toks: DataFrame) -> DataFrame:
-    """(term, doc, tf, dl)."""
-    return toks.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "query_id", text_col: str = "text", k1: float = P.BM25_K1, b: float = P.BM25_B) -> DataFrame:
-    """RET-01: (query_id, doc, score) of all documents with a query's term; scores have six decimals.
-
-    Only postings of query terms are made: documents' words are joined with the queries' distinct terms
-    before they are counted, so the shuffle carries hits, not the corpus.
-    """
-    toks = tokens(docs, id_col, text_col)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.index_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = small(asked.select("term").distinct())
-    counts = term_counts(toks)
-    stats = term_stats(counts).join(wanted, "term", "left_semi")
-    hits = toks.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, "term")
-    hits = hits.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(corpus(counts).select("avgdl")))
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Tokenise the corpus once and write its index."""
+    posts = shared_table(postings(tokens(docs, id_col, text_col)).sortWithinPartitions("term", "doc"), "postings")
+    counts = shared_table(posts.groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
+    stats = shared_table(term_stats(counts), "term-stats")
+    return Index(posts, stats, posts.filter("term IS NULL").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+
+
+def _asked(queries: DataFrame, query_id: str, text_col: str) -> DataFrame:
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(T.index_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def _wanted(index: Index, asked: DataFrame) -> DataFrame:
+    """Postings of the terms that are asked for; few terms are looked up in the files."""
+    terms = asked.select("term").distinct()
+    few = [r[0] for r in terms.limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        return index.postings.filter(F.col("term").isin(few))
+    return index.postings.join(small(terms), "term", "left_semi")
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, id_col: str = "doc_id", query_id: str = "query_id", text_col: str = "text", k1: float = P.BM25_K1, b: float = P.BM25_B) -> DataFrame:
+    """RET-01: (query_id, doc, score) of all documents with a query's term; scores have six decimals. A table of
+    documents is indexed first. Postings of query terms alone are shuffled."""
+    at = docs if isinstance(docs, Index) else index(docs, id_col, text_col)
+    asked = _asked(queries, query_id, text_col)
+    hits = _wanted(at, asked).crossJoin(F.broadcast(at.corpus.select("avgdl")))  # one row
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = hits.withColumn("gain", gain).join(stats.select("term", "idf"), "term").join(small(asked), "term")
-    return weighted.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("gain")), 6).alias("score"))
+    weighted = small(asked).join(at.stats.select("term", "idf"), "term")
+    scored = hits.withColumn("gain", gain).join(small(weighted), "term")
+    return scored.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("gain")), 6).alias("score"))
 
 
 def top(scores: DataFrame, k: int, positive: bool = True) -> DataFrame:
@@ -62,12 +83,3 @@ def top(scores: DataFrame, k: int, positive: bool = True) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     out = scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
     return out.filter("score > 0") if positive else out
-
-
-def coverage(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc, score): share of the query's distinct terms that the document has as terms."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(T.index_tokens(F.col(text_col))).alias("terms"))
-    asked = asked.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    words = tokens(docs, id_col, text_col).select("doc", F.explode(F.array_distinct("words")).alias("term"))
-    hits = words.join(small(asked), "term").groupBy("query_id", "doc", "n").agg(F.count("*").alias("found"))
-    return hits.select("query_id", "doc", F.round(F.col("found") / F.col("n"), 6).alias("score"))

@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import profiles as P
+
 #: Queries that are broadcast at once: 20,000 of 64 floats are 5 MB.
 QUERY_BLOCK = 20_000
+#: Products of a batch that are made at once: 16 MB.
+CELLS = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,40 +28,67 @@ def invalid(v: Column, dim: int) -> Column:
     return v.isNull() | (F.size(v) != dim) | F.coalesce(bad, F.lit(True)) | ~(dot(v, v) > 0)
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """TOP-02: (query_id, doc, score, rank) of the k nearest of each query by cosine, itself left out.
+def _best(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest finite scores, ties by the column's id: what reaches the k-th largest
+    score of its row is sorted, not the whole."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
+        row, col = np.nonzero((scores >= least) & np.isfinite(scores))
+    else:
+        row, col = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((own[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    return row[place < k], col[place < k]
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", within: list[str] | None = None, itself: bool = False) -> DataFrame:
+    """TOP-02: (query_id, doc, score, rank) of the k nearest of each query by cosine, all pairs considered; among
+    rows that are equal in ``within`` if given. A query's own id is left out unless ``itself``.
 
     Queries are dealt over blocks of bounded size by hash; each block is broadcast and every batch of
     vectors gives its k best for each query of the block, so the shuffle carries k rows a query and task.
+    A batch is multiplied with as many queries at a time as make CELLS products.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     spark, out = vectors.sparkSession, None
+    group = F.xxhash64(*within) if within else F.lit(0).cast("long")
     for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == block).select(id_col, vec_col).toArrow()
+        rows = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == block).select(id_col, vec_col, group.alias("_g")).toArrow()
         if not rows.num_rows:
             continue
-        ids = rows[id_col].to_numpy()
         matrix = np.stack(rows[vec_col].to_pylist()).astype(np.float64)
-        held = spark.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+        held = spark.sparkContext.broadcast((rows[id_col].to_numpy(), rows["_g"].to_numpy(), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
 
         def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
+            ids, groups, q = held.value
             for b in batches:
                 if not len(b):
                     continue
-                own = b["id"].to_numpy()
+                own, of = b["id"].to_numpy(), b["g"].to_numpy()
                 v = np.stack(b["v"].to_list()).astype(np.float64)
-                cosine = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-                cosine[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, cosine.shape), -cosine), axis=1)[:, :k]
-                got = np.take_along_axis(cosine, order, axis=1)
-                frame = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc": own[order].ravel(), "score": got.ravel()})
-                yield frame[np.isfinite(frame["score"])]
-
-        part = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(best, "query_id long, doc long, score double")
+                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                step = max(1, CELLS // len(own))
+                for at in range(0, len(ids), step):
+                    cosine = np.round(q[at : at + step] @ v, 6)
+                    if not itself:
+                        cosine[ids[at : at + step, None] == own[None, :]] = -np.inf
+                    if within:
+                        cosine[groups[at : at + step, None] != of[None, :]] = -np.inf
+                    row, col = _best(cosine, own, k)
+                    yield pd.DataFrame({"query_id": ids[at + row], "doc": own[col], "score": cosine[row, col]})
+
+        part = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), group.alias("g")).mapInPandas(best, "query_id long, doc long, score double")
         out = part if out is None else out.unionAll(part)
     if out is None:
         return vectors.limit(0).select(F.col(id_col).cast("long").alias("query_id"), F.col(id_col).cast("long").alias("doc"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return out.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+
+
+def cache_hits(cached: DataFrame, queries: DataFrame, least: float = P.CACHE_SIMILAR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """SET-05: (query_id, hit, score): the nearest cached question if it is near enough, else a null hit."""
+    best = topk(cached, queries, 1, id_col, vec_col)
+    out = queries.select(F.col(id_col).alias("query_id")).join(best, "query_id", "left")
+    return out.select("query_id", F.when(F.col("score") >= least, F.col("doc")).alias("hit"), "score")

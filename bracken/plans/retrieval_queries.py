@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..functions import text as T
-from ..operators import fusion, lexical, vector
+from ..operators import chunk, fusion, lexical, vector
 from ..session import table
 
-FETCH = 20
+POOL, FETCH = fusion.depths()
+_indexes: dict[tuple[str, str], lexical.Index] = {}
 
 
 def _docs(spark, sf) -> DataFrame:
@@ -21,12 +22,20 @@ def _queries(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _index(spark, sf) -> lexical.Index:
+    """The index of the documents, written once for an application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _indexes:
+        _indexes[key] = lexical.index(_docs(spark, sf))
+    return _indexes[key]
+
+
 def bm25_term_stats(spark, sf):
-    return lexical.term_stats(lexical.term_counts(lexical.tokens(_docs(spark, sf)))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf).stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf):
-    return lexical.top(lexical.bm25(_docs(spark, sf), _queries(spark, sf)), 10).select("query_id", F.col("doc").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
+    return lexical.top(lexical.bm25(_index(spark, sf), _queries(spark, sf)), 10).select("query_id", F.col("doc").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
 
 
 def vector_topk(spark, sf):
@@ -56,11 +65,17 @@ def retag_report(spark, sf):
     return d.groupBy("before", "after").agg(F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("changed"))
 
 
+def _routes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The two boards. The vector of the same number stands for the embedding of a document, and of a query."""
+    queries = _queries(spark, sf)
+    v = table(spark, sf, "embeddings")
+    known = v.join(_docs(spark, sf).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = vector.topk(known, v.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), FETCH, itself=True)
+    return near, lexical.top(lexical.bm25(_index(spark, sf), queries), FETCH)
+
+
 def _boards(spark, sf) -> DataFrame:
-    docs, queries = _docs(spark, sf), _queries(spark, sf)
-    lex = lexical.top(lexical.bm25(docs, queries), FETCH)
-    cov = lexical.top(lexical.coverage(docs, queries), FETCH)
-    return fusion.routes(cov, lex)[0].select("query_id", "class", "doc", "rank")
+    return fusion.routes(*_routes(spark, sf))[0].select("query_id", "class", "doc", "rank")
 
 
 def _weights(spark, sf) -> DataFrame:
@@ -76,17 +91,35 @@ def rrf_contrib(spark, sf):
     return f.select("query_id", F.col("doc").alias("doc_id"), F.explode("contrib").alias("class", "part"))
 
 
-def _selected(spark, sf) -> DataFrame:
-    f = fusion.fused(_boards(spark, sf), _weights(spark, sf))
+def _selected(spark, sf, mode: str = "full", vectors: bool = True) -> DataFrame:
+    near, words = _routes(spark, sf)
     d = _docs(spark, sf).select(F.col("doc_id").alias("doc"), "source", "text")
-    c = f.join(d, "doc").join(_queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
-    return fusion.two_segments(c)
+    return fusion.retrieved(mode, _queries(spark, sf).withColumnRenamed("text", "query"), d, near if vectors else None, words, _weights(spark, sf))
 
 
 def hybrid_two_segment(spark, sf):
     return _selected(spark, sf).select("query_id", F.col("doc").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.col("rrf_rank").cast("long").alias("rrf_rank"), "score", "rerank")
 
 
+def retrieval_modes(spark, sf):
+    """RET-10, RET-07: what each mode returns, and what is left without vectors."""
+    runs = [_selected(spark, sf, mode) for mode in ("full", "vector_only", "agent")] + [_selected(spark, sf, vectors=False)]
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out.select("mode", "query_id", F.col("doc").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+
+
+def retrieval_trace(spark, sf):
+    t = fusion.trace(_selected(spark, sf))
+    return t.select("query_id", F.col("doc").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in ("vector_rank", "bm25_rank", "rrf_rank", "rank", "moved")], "anchor", "mode")
+
+
+def returned_sources(spark, sf):
+    """MIS-15: source types of what a query returns."""
+    return _selected(spark, sf).groupBy("query_id", fusion.source_type(F.col("source")).alias("source_type")).agg(F.count("*").alias("n"))
+
+
 def rank_swap(spark, sf):
     """JN-19, SET-07, RET-08: the selection against the plain fused order, by query."""
     f = fusion.fused(_boards(spark, sf), _weights(spark, sf))
@@ -135,12 +168,25 @@ def fixed_slice_overlap(spark, sf):
 
 
 def chunk_documents(spark, sf):
-    from ..operators import chunk
+    c = chunk.chunked(chunk.elements(_docs(spark, sf).select("doc_id", "text", "source")))
+    return c.select("doc_id", "source", F.col("ordinal").cast("long").alias("ordinal"), "heading", F.array_join("element_types", ",").alias("element_types"), F.col("char_length").cast("long").alias("char_length"), F.col("total_length").cast("long").alias("total_length"), "has_overlap", "overlap_source", F.md5("text").alias("text_md5"))
+
+
+def semantic_cache(spark, sf):
+    """SET-05: questions are the vectors whose number divides by 20; all others are cached."""
+    v = table(spark, sf, "embeddings")
+    return vector.cache_hits(v, v.filter("vec_id % 20 = 0"), 0.35).select("query_id", "hit", "score")
+
 
-    return chunk.chunked(chunk.elements(_docs(spark, sf).select("doc_id", "text", "source")))
+def page_chunks(spark, sf):
+    """RET-17: a page is a chunk; one that is too long is cut, and its pieces keep its number."""
+    d = _docs(spark, sf)
+    pages = d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page_num"), "text")
+    c = chunk.page_chunks(pages)
+    return c.select("doc", "page_num", F.col("piece").cast("long").alias("piece"), F.col("char_length").cast("long").alias("char_length"), "has_overlap", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_topk, vector_topk, vector_validation, source_weights, source_distribution, retag_report, rrf_fusion, rrf_contrib, hybrid_two_segment, rank_swap, numbering_two_series, context_assembly, cont_tail, fixed_slice_overlap, chunk_documents)}
+QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_topk, vector_topk, vector_validation, source_weights, source_distribution, retag_report, rrf_fusion, rrf_contrib, hybrid_two_segment, rank_swap, retrieval_modes, retrieval_trace, returned_sources, semantic_cache, page_chunks, numbering_two_series, context_assembly, cont_tail, fixed_slice_overlap, chunk_documents)}
 
 _TOK = r"regexp_extract_all(regexp_replace(text, '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '\S+')"
 _STATS = f"""tok AS (SELECT doc_id, {_TOK} AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM tok), word AS (SELECT doc_id, unnest(w) AS term FROM tok),
@@ -152,11 +198,10 @@ bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (1
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM bm)"""
 _KIND = "CASE " + " ".join(f"WHEN contains(source, '{p}') THEN '{k}'" for p, k in P.SOURCE_RULES) + " ELSE 'unknown' END"
 _WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in P.SOURCE_WEIGHTS.items()) + " END"
-_FUSED = f"""{_BM25}, nq AS (SELECT query_id, count(DISTINCT term) AS n FROM qw GROUP BY query_id),
-cov AS (SELECT q.query_id, doc_id, round(count(*) / max(n), 6) AS score FROM q JOIN tf USING (term) JOIN nq ON nq.query_id = q.query_id GROUP BY q.query_id, doc_id),
-covr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM cov),
+_FUSED = f"""{_BM25}, vs AS (SELECT item_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)),
+vsr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM vs),
 sw AS (SELECT doc_id, kind, {_WEIGHT} AS weight FROM (SELECT doc_id, {_KIND} AS kind FROM documents)),
-board AS (SELECT query_id, 'bm25' AS class, doc_id, rank FROM bmr WHERE rank < 20 AND score > 0 UNION ALL SELECT query_id, 'vector', doc_id, rank FROM covr WHERE rank < 20 AND score > 0),
+board AS (SELECT query_id, 'bm25' AS class, doc_id, rank FROM bmr WHERE rank < 20 AND score > 0 UNION ALL SELECT query_id, 'vector', doc_id, rank FROM vsr WHERE rank < 20),
 part AS (SELECT query_id, class, doc_id, rank, weight / (60 + rank + 1) AS part FROM board JOIN sw USING (doc_id)),
 fused AS (SELECT query_id, doc_id, round(sum(part), 9) AS score, min(rank) FILTER (class = 'vector') AS vector_rank, min(rank) FILTER (class = 'bm25') AS bm25_rank FROM part GROUP BY query_id, doc_id)"""
 _SELECT = f"""{_FUSED}, fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, doc_id) - 1 AS rrf_rank FROM fused),
@@ -166,11 +211,66 @@ sel AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_rank >=
 picked AS (SELECT * FROM sel WHERE rank < 6)"""
 _EVIDENCE = f"""{_SELECT}, ev AS (SELECT query_id, rank AS pos, doc_id % 3 = 0 AS inferred, source, regexp_replace(text, '[.!?]$', '') AS text, ' and ' || left(source, 4) || '. ' AS tail FROM picked),
 num AS (SELECT *, CASE WHEN inferred THEN '[G' ELSE '[' END || CAST(row_number() OVER (PARTITION BY query_id, inferred ORDER BY pos) AS VARCHAR) || ']' AS label FROM ev)"""
+_LEXICAL = """lx AS (SELECT query_id, doc_id, round(weight / (61 + rank), 9) AS score, rank FROM bmr JOIN sw USING (doc_id) WHERE rank < 20 AND score > 0), lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, doc_id) - 1 AS rrf_rank FROM lx),
+ll AS (SELECT lr.query_id, doc_id, rrf_rank, CASE WHEN rrf_rank >= 3 THEN round(len(list_filter(terms, lambda t: contains(lower(substr(d.text, 1, 500)), t))) / greatest(len(terms), 1), 6) END AS rerank FROM lr JOIN documents d USING (doc_id) JOIN qt USING (query_id) WHERE rrf_rank < 10),
+lp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_rank >= 3, CASE WHEN rrf_rank < 3 THEN rrf_rank END, rerank DESC, rrf_rank) - 1 AS rank FROM ll)"""
+
+
+def _stripped(text: str) -> str:
+    return rf"regexp_replace({text}, '^[\s\p{{Z}}\x{{85}}\x0b]+|[\s\p{{Z}}\x{{85}}\x0b]+$', '', 'g')"
+
+
+_SENT = rf"list_filter(list_transform(regexp_extract_all(content, '[^。！？.!?\n]*[。！？.!?]|[^。！？.!?\n]+'), lambda s: {_stripped('s')}), lambda s: s <> '')"
+
+
+def _packed(name: str, src: str, keys: str) -> str:
+    """Recursion over ``src`` (keys, seq, n, alone): the run that each row is in."""
+    on = " AND ".join(f"x.{k} = f.{k}" for k in keys.split(", "))
+    cols = ", ".join(f"x.{k}" for k in keys.split(", "))
+    return f"""{name} AS (SELECT {keys}, seq, 1 AS run, n AS held, alone AS closed FROM {src} WHERE seq = 1
+ UNION ALL SELECT {cols}, x.seq, CASE WHEN f.closed OR x.alone OR f.held + x.n > 1000 THEN run + 1 ELSE run END, CASE WHEN f.closed OR x.alone OR f.held + x.n > 1000 THEN x.n ELSE f.held + x.n END, x.alone FROM {name} f JOIN {src} x ON {on} AND x.seq = f.seq + 1)"""
+
+
+def _tail(name: str, src: str, keys: str) -> str:
+    """Of ``src`` (keys, j, text) the pieces, the last ones as one up to 500 characters."""
+    return f"""{name}_s AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY {keys} ORDER BY j DESC) - 2 AS suffix FROM {src}),
+{name}_c AS (SELECT {keys}, coalesce(max(j) FILTER (suffix >= 500), 1) AS cut FROM {name}_s GROUP BY {keys}),
+{name} AS (SELECT {keys}, least(j, cut) AS j, string_agg(text, chr(10) || chr(10) ORDER BY j) AS text FROM {name}_s JOIN {name}_c USING ({keys}) GROUP BY {keys}, least(j, cut))"""
+
+
+def _chunks(src: str) -> str:
+    """Chunks (doc_id, j, text) of ``src`` (doc_id, p, content)."""
+    return f"""el AS MATERIALIZED (SELECT doc_id, p, content, length(content) AS n, length(content) > 1000 AS alone, p AS seq FROM ({src})),
+sn AS (SELECT doc_id, p, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) AS k FROM el WHERE alone),
+sl AS (SELECT doc_id, p, k, length(s) > 1000 AS alone, unnest(CASE WHEN length(s) > 1000 THEN list_transform(range(0, (length(s) - 1) // 1000 + 1), lambda i: substr(s, i * 1000 + 1, 1000)) ELSE [s] END) AS s, unnest(range(0, (length(s) - 1) // 1000 + 1)) AS i FROM sn),
+su AS MATERIALIZED (SELECT doc_id, p, s, alone, length(s) AS n, row_number() OVER (PARTITION BY doc_id, p ORDER BY k, i) AS seq FROM sl),
+{_packed("sf", "su", "doc_id, p")},
+sp AS (SELECT doc_id, p, run AS j, string_agg(s, '' ORDER BY seq) AS text FROM sf JOIN su USING (doc_id, p, seq) GROUP BY ALL),
+{_tail("st", "sp", "doc_id, p")},
+{_packed("ef", "el", "doc_id")},
+ep AS (SELECT doc_id, run, 0 AS sub, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS text FROM ef JOIN el USING (doc_id, seq) WHERE NOT alone GROUP BY ALL
+ UNION ALL SELECT doc_id, run, st.j, st.text FROM ef JOIN el USING (doc_id, seq) JOIN st USING (doc_id, p) WHERE alone),
+eo AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, sub) AS j, text FROM ep),
+{_tail("ch", "eo", "doc_id")}"""
+
+
 _RT = r"regexp_replace(text, '\s+$', '')"
 _TAIL = r"regexp_replace(tail, '^\s+|\s+$', '', 'g')"
 
 ORACLES = {
-    "bm25_term_stats": f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf FROM stats",
+    "bm25_term_stats": f"WITH d AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), dfs AS (SELECT term, count(*) AS df FROM d GROUP BY term), raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs), m AS (SELECT avg(raw) AS m FROM raw) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END, 6) AS idf FROM raw, m",
+    "retrieval_modes": f"""WITH {_SELECT}, {_LEXICAL} SELECT 'hybrid' AS mode, query_id, doc_id, rank FROM picked UNION ALL SELECT 'agent hybrid', query_id, doc_id, rank FROM picked UNION ALL SELECT 'vector_only', query_id, doc_id, rank FROM vsr WHERE rank < 6 UNION ALL SELECT 'lexical_only', query_id, doc_id, rank FROM lp WHERE rank < 6""",
+    "retrieval_trace": f"WITH {_SELECT} SELECT query_id, doc_id, vector_rank, bm25_rank, rrf_rank, rank, rrf_rank - rank AS moved, rrf_rank < 3 AS anchor, 'hybrid' AS mode FROM picked",
+    "returned_sources": f"WITH {_SELECT} SELECT query_id, {_KIND} AS source_type, count(*) AS n FROM picked GROUP BY ALL",
+    "semantic_cache": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS hit, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit) AS rn FROM s) SELECT query_id, CASE WHEN score >= 0.35 THEN hit END AS hit, score FROM r WHERE rn = 1""",
+    "chunk_documents": f"""WITH RECURSIVE {_chunks("SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, chr(10) || '+'), lambda x: trim(x) <> '') AS l FROM documents)")},
+ lk AS (SELECT doc_id, row_number() OVER w - 1 AS ordinal, text, right(lag(text) OVER w, 100) AS before FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY j))
+ SELECT doc_id, source, ordinal, '' AS heading, 'paragraph' AS element_types, length(lk.text) AS char_length, length(lk.text) + coalesce(length(before) + 1, 0) AS total_length, before IS NOT NULL AS has_overlap, '' AS overlap_source, md5(coalesce(before || chr(10), '') || lk.text) AS text_md5 FROM lk JOIN documents USING (doc_id)""",
+    "page_chunks": f"""WITH RECURSIVE {_chunks(f"SELECT doc_id, {_stripped('text')} AS content, 1 AS p FROM documents WHERE {_stripped('text')} <> ''")},
+ lk AS (SELECT doc_id, row_number() OVER w - 1 AS piece, count(*) OVER (PARTITION BY doc_id) AS n, text, right(lag(text) OVER w, 100) AS before FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+ fl AS (SELECT *, {_stripped("coalesce(before || chr(10), '') || text")} AS t FROM lk)
+ SELECT source AS doc, doc_id AS page_num, piece, length(t) AS char_length, n > 1 AS has_overlap, md5(t) AS text_md5 FROM fl JOIN documents USING (doc_id)""",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM bmr WHERE rank < 10 AND score > 0",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) SELECT query_id, vec_id, rank, score FROM r WHERE rank < 10""",
