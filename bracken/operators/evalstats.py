@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_table
+
+
+def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """AGG-15: of each group the values at ranks from 0, each a function of the number of values; null values do not count.
+
+    Equal values are counted first and the counts range-sorted, so that a group lies in many parts. Sums by part tell
+    in which part a rank is, and only those parts are counted through. No list of a group's values is made.
+    """
+    cells = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    placed = shared_table(cells.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "ranked-values")
+    parts = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_c"))
+    whole, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_n", F.sum("_c").over(whole)).withColumn("_from", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    asked = parts.withColumn("_r", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank")) for name, rank in ranks.items()])))
+    asked = asked.filter((F.col("_r.rank") >= F.col("_from")) & (F.col("_r.rank") < F.col("_from") + F.col("_c"))).drop("_c")
+    inside = placed.join(F.broadcast(asked), [*by, "_part"])  # a row of each group and rank
+    up = Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_to", F.col("_from") + F.sum("_c").over(up))
+    hit = inside.filter((F.col("_r.rank") < F.col("_to")) & (F.col("_r.rank") >= F.col("_to") - F.col("_c")))
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("_r.name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def nearest(p: float) -> Callable[[Column], Column]:
+    """The rank min(int(n * p), n - 1)."""
+    return lambda n: F.least(F.floor(n * F.lit(p)), n - 1)
 
-def nearest(values: Column, p: float) -> Column:
-    """AGG-15: the sorted list's item at min(int(n * p), n - 1)."""
-    s = F.sort_array(values)
-    return F.get(s, F.least(F.floor(F.size(s) * F.lit(p)), F.size(s) - 1).cast("int"))
+
+def median_ranks() -> dict[str, Callable[[Column], Column]]:
+    """The ranks between which the median lies."""
+    return {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
 
 
 def means(scores: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
@@ -25,15 +53,15 @@ def overall(scores: DataFrame, metrics: list[str], by: str) -> DataFrame:
 
 
 def agreement(ranks: DataFrame) -> DataFrame:
-    """AGG-23, JN-19 over (key, item, a, b): pairs of common items in the same order by both; 1 below two items."""
-    c = ranks.filter("a IS NOT NULL AND b IS NOT NULL")
-    x, y = c.alias("x"), c.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")))
-    sign = (F.col("x.a") - F.col("y.a")) * (F.col("x.b") - F.col("y.b"))
-    by = pairs.groupBy(F.col("x.key").alias("key")).agg(F.count_if(sign > 0).alias("same"), F.count_if(sign < 0).alias("other"))
-    keys = ranks.select("key").distinct()
-    n = F.coalesce("same", F.lit(0)) + F.coalesce("other", F.lit(0))
-    return keys.join(by, "key", "left").select("key", F.when(n > 0, F.round(F.col("same") / n, 6)).otherwise(1.0).alias("agreement"))
+    """AGG-23, JN-19 over (key, item, a, b): of pairs of common items in a key's two rankings the share in the same
+    order by both; 1 below two items. A key has the items of one answer; they are compared inside its row."""
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    by = ranks.groupBy("key").agg(F.collect_list(F.when(both, F.struct("a", "b"))).alias("_x"))
+    sign = lambda x, y: (x["a"] - y["a"]) * (x["b"] - y["b"])
+    count = lambda keep: F.aggregate(F.transform("_x", lambda x: F.size(F.filter("_x", lambda y: keep(sign(x, y))))), F.lit(0), lambda s, n: s + n)
+    by = by.withColumn("_same", count(lambda s: s > 0)).withColumn("_other", count(lambda s: s < 0))  # each pair counts twice
+    n = F.col("_same") + F.col("_other")
+    return by.select("key", F.when(n > 0, F.round(F.col("_same") / n, 6)).otherwise(1.0).alias("agreement"))
 
 
 def first_of_each(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
@@ -48,9 +76,23 @@ def hashed_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
 
 
 def load_report(runs: DataFrame) -> DataFrame:
-    """MIS-17 over (ok, ms): counts and latency percentiles of the successful ones."""
-    ms = F.collect_list(F.when(F.col("ok"), F.col("ms")))
-    return runs.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_err"), nearest(ms, 0.5).alias("p50"), nearest(ms, 0.95).alias("p95"), F.max(F.when(F.col("ok"), F.col("ms"))).alias("max_ms"), F.round(F.avg(F.when(F.col("ok"), F.col("ms"))), 4).alias("mean_ms"))
+    """MIS-17 over (ok, ms): counts and latency percentiles of the successful ones; one row."""
+    ms = F.when(F.col("ok"), F.col("ms"))
+    whole = runs.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_err"), F.max(ms).alias("max_ms"), F.round(F.avg(ms), 4).alias("mean_ms"))
+    places = at_ranks(runs.filter("ok"), [], "ms", {"p50": nearest(0.5), "p95": nearest(0.95)})
+    return whole.crossJoin(F.broadcast(places)).select("n_ok", "n_err", "p50", "p95", "max_ms", "mean_ms")  # a row each
+
+
+def dataset(built_in: DataFrame, expanded: DataFrame) -> DataFrame:
+    """SRC-12 over (ord, question, ...): one evaluation set, each question once; built-in items win, then the first."""
+    rows = built_in.withColumn("_part", F.lit(0)).unionByName(expanded.withColumn("_part", F.lit(1)))
+    first = Window.partitionBy("question").orderBy("_part", "ord")
+    return rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn").withColumn("built_in", F.col("_part") == 0).drop("_part")
+
+
+def of_character(rows: DataFrame, characters: DataFrame, default: str = "builtin") -> DataFrame:
+    """JN-18 over (question, ...) and (question, character): adds character, the default where a question has none."""
+    return rows.join(characters.select("question", "character"), "question", "left").withColumn("character", F.coalesce("character", F.lit(default)))
 
 
 def injection_report(traces: DataFrame) -> DataFrame:
@@ -62,4 +104,6 @@ def injection_report(traces: DataFrame) -> DataFrame:
 def lengths(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """AGG-17."""
     n = F.length(text_col)
-    return chunks.agg(F.min(n).alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.round(F.avg(n), 4).alias("mean"), F.max(n).alias("longest"), F.round(F.count_if(n < 50) / F.count("*"), 6).alias("share_short"))
+    whole = chunks.agg(F.min(n).alias("shortest"), F.round(F.avg(n), 4).alias("mean"), F.max(n).alias("longest"), F.round(F.count_if(n < 50) / F.count("*"), 6).alias("share_short"))
+    mid = at_ranks(chunks.select(n.alias("_len")), [], "_len", median_ranks())
+    return whole.crossJoin(F.broadcast(mid)).select("shortest", ((F.col("low") + F.col("high")) / 2).alias("median"), "mean", "longest", "share_short")

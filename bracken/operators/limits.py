@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,12 +44,34 @@ class SlidingLog:
         return True
 
 
-def limited(events: DataFrame, make, key: str = "user_id") -> DataFrame:
-    """(key, event_id, accepted) over (key, event_id, t in seconds); ``make`` gives a limiter for each key."""
+class Lease:
+    """STR-05: an owner holds a run for ``span`` seconds from its last beat. Another owner takes over after that only, and
+    what a stale owner sends is fenced off."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
-        limiter = make()
-        return pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "accepted": [limiter.accepts(t) for t in pdf["t"]]})
+    def __init__(self, span: float = 60.0):
+        self.span, self.owner, self.until = span, None, None
 
-    return events.select(key, "event_id", "t").groupBy(key).applyInPandas(fold, f"{key} long, event_id long, accepted boolean")
+    def accepts(self, t: float, owner: str) -> bool:
+        if self.owner is not None and owner != self.owner and t <= self.until:
+            return False
+        self.owner, self.until = owner, t + self.span
+        return True
+
+
+def limited(events: DataFrame, make, key: str = "user_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, event_id, accepted) over (key, event_id, t in seconds, ``more``); ``make`` gives a limiter for each key,
+    which is asked with t and ``more``. Keys are sorted and streamed: a task holds a batch and one limiter, however many
+    requests a key has."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, limiter = None, None
+        for b in batches:
+            accepted = []
+            for k, *asked in zip(b[key], b["t"], *[b[c] for c in more]):
+                if limiter is None or k != last:
+                    last, limiter = k, make()
+                accepted.append(limiter.accepts(*asked))
+            yield pd.DataFrame({key: b[key], "event_id": b["event_id"], "accepted": accepted})
+
+    rows = events.select(key, "event_id", "t", *more).repartition(key).sortWithinPartitions(key, "t", "event_id")
+    return rows.mapInPandas(fold, f"{key} long, event_id long, accepted boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..session import small
-from .vector import dot
+from .vector import dot, topk
 
 
 def capped(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
@@ -38,31 +38,44 @@ def recalled(items: DataFrame, queries: DataFrame, profiles: int = P.MEMORY_TOP_
     return rows.withColumn("_d", F.row_number().over(first)).filter("_d = 1").drop("_d")
 
 
-def nearest_item(new: DataFrame, old: DataFrame, replace: float = P.MEMORY_REPLACE) -> DataFrame:
-    """JN-16 over (user_id, kind, id, vec): for each new item its nearest old one and whether it replaces it."""
-    o = old.select("user_id", "kind", F.col("id").alias("old_id"), F.col("vec").alias("ov"))
-    both = new.join(o, ["user_id", "kind"], "left").withColumn("sim", F.round(dot("vec", "ov"), 6))
-    best = both.groupBy("user_id", "kind", "id").agg(F.max_by(F.struct("old_id", "sim"), F.struct("sim", -F.col("old_id"))).alias("b"))
-    return best.select("user_id", "kind", "id", F.col("b.old_id").alias("old_id"), F.col("b.sim").alias("sim"), F.coalesce(F.col("b.sim") >= replace, F.lit(False)).alias("replaces"))
+def nearest_item(items: DataFrame, new: DataFrame, replace: float = P.MEMORY_REPLACE) -> DataFrame:
+    """JN-16 over (user_id, kind, id, vec): for each new item the nearest other one of its user and kind, and whether
+    it replaces that. All items of ``items`` are considered; new ones are dealt in blocks, no pair is shuffled."""
+    best = topk(items, new, 1, "id", "vec", ["user_id", "kind"]).select(F.col("query_id").alias("id"), F.col("doc").alias("old_id"), F.col("score").alias("sim"))
+    out = new.select("user_id", "kind", "id").join(best, "id", "left")
+    return out.select("user_id", "kind", "id", "old_id", "sim", F.coalesce(F.col("sim") >= replace, F.lit(False)).alias("replaces"))
 
 
-def merged(items: DataFrame, replace: float = P.MEMORY_REPLACE) -> DataFrame:
+def merged(items: DataFrame, replace: float = P.MEMORY_REPLACE, most: int | None = None) -> DataFrame:
     """SET-04 over (user_id, kind, id, text, vec): items in order of id; one that is near an item kept before takes its
-    place instead of a new one. Each step depends on the one before, so a user's kind is folded as one group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        vectors = np.empty((0, 0))
-        for row in pdf.sort_values("id").itertuples():
-            v = np.asarray(row.vec, float)
-            sims = vectors @ v if len(kept) else np.empty(0)
-            if len(sims) and sims.max() >= replace:
-                at = int(sims.argmax())
-                kept[at][2:] = [row.text, kept[at][3] + 1]
-                vectors[at] = v
-            else:
-                kept.append([row.id, row.user_id, row.text, 0])
-                vectors = np.vstack([vectors, v]) if len(vectors) else v[None, :]
-        return pd.DataFrame({"user_id": [k[1] for k in kept], "kind": pdf["kind"].iloc[0], "id": [k[0] for k in kept], "text": [k[2] for k in kept], "updates": [k[3] for k in kept]})
-
-    return items.groupBy("user_id", "kind").applyInPandas(fold, "user_id long, kind string, id long, text string, updates long")
+    place instead of a new one. With ``most`` (WIN-10) the oldest of more kept items goes. Each step depends on the
+    one before: keys are sorted and streamed, and a task holds a batch and what its key keeps."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, kept, vectors = None, [], np.empty((0, 0))
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"user_id": [key[0]] * len(kept), "kind": key[1], "id": [k[0] for k in kept], "text": [k[1] for k in kept], "updates": [k[2] for k in kept]})
+
+        for b in batches:
+            for row in b.itertuples():
+                if (row.user_id, row.kind) != key:
+                    if kept:
+                        yield done()
+                    key, kept, vectors = (row.user_id, row.kind), [], np.empty((0, len(row.vec)))
+                v = np.asarray(row.vec, float)
+                sims = vectors @ v
+                if len(sims) and sims.max() >= replace:
+                    at = int(sims.argmax())
+                    kept[at][1:] = [row.text, kept[at][2] + 1]
+                    vectors[at] = v
+                    continue
+                kept.append([row.id, row.text, 0])
+                vectors = np.vstack([vectors, v])
+                if most and len(kept) > most:
+                    kept, vectors = kept[1:], vectors[1:]
+        if kept:
+            yield done()
+
+    rows = items.select("user_id", "kind", "id", "text", "vec").repartition("user_id", "kind").sortWithinPartitions("user_id", "kind", "id")
+    return rows.mapInPandas(fold, "user_id long, kind string, id long, text string, updates long")

@@ -28,8 +28,8 @@ def eval_overall(spark, sf):
 
 def percentile_nearest(spark, sf):
     e = table(spark, sf, "events")
-    v = F.collect_list("value")
-    return e.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), E.nearest(v, 0.5).alias("p50"), E.nearest(v, 0.95).alias("p95"))
+    ranks = {"p50": E.nearest(0.5), "p95": E.nearest(0.95)} | E.median_ranks()
+    return E.at_ranks(e, ["event_type"], "value", ranks).select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "p50", "p95")
 
 
 def pair_agreement(spark, sf):

@@ -26,7 +26,7 @@ def memory_cap(spark, sf):
 
 def near_dup_argmax(spark, sf):
     items = _items(spark, sf)
-    return memory.nearest_item(items.filter("id % 5 = 0"), items.filter("id % 5 <> 0"), 0.5)
+    return memory.nearest_item(items, items.filter("id % 20 = 0"), 0.5)
 
 
 def memory_merge(spark, sf):
@@ -102,7 +102,8 @@ def _patches(spark, sf) -> tuple[DataFrame, DataFrame]:
     field = F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string"))
     raw = F.when(F.col("event_id") % 9 == 0, "true").when(F.col("event_id") % 8 == 0, " ").otherwise(F.col("value").cast("string"))
     ev = e.select((F.col("user_id") % 30).alias("save_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("who"), field.alias("field"), raw.alias("raw"))
-    defs = spark.createDataFrame([(f"f{i}", "number" if i % 2 else "tag") for i in range(4)], "field string, kind string").crossJoin(F.broadcast(ev.select("save_id").distinct())).select("save_id", "field", "kind")
+    field = F.explode(F.array(*[F.struct(F.lit(f"f{i}").alias("field"), F.lit("number" if i % 2 else "tag").alias("kind")) for i in range(4)]))
+    defs = ev.select("save_id").distinct().select("save_id", field.alias("d")).select("save_id", "d.field", "d.kind")
     return ev, defs
 
 
@@ -112,7 +113,7 @@ def state_patch_fold(spark, sf):
 
 def state_sync(spark, sf):
     ev, defs = _patches(spark, sf)
-    state = story.patched(ev.filter("ord % 7 = 0"), defs)
+    state = story.patched(ev, defs)
     return story.synced(state, defs.filter("field <> 'f3'"))
 
 
@@ -142,13 +143,22 @@ ok AS (SELECT *, CASE WHEN f % 2 = 1 THEN 'number' ELSE 'tag' END AS kind, CASE
 good AS (SELECT * FROM ok WHERE num IS NOT NULL OR tag IS NOT NULL)"""
 _TOKEN = "CASE turn % 3 WHEN 1 THEN '<state>' || text WHEN 2 THEN text || '</state>' ELSE text END"
 
+_TIMED = "tm AS MATERIALIZED (SELECT user_id % 10 AS user_id, event_id, epoch_us(ts) / 1e6 / 30 AS t, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts) / 1e6 / 30, event_id) AS n FROM events)"
+#: One request after the other: the windows' starts and counts so far, and whether the request is accepted.
+_FIXED = f"""WITH RECURSIVE {_TIMED}, st AS (SELECT user_id, event_id, n, t AS m, t AS d, 1 AS mc, 1 AS dc, TRUE AS accepted FROM tm WHERE n = 1
+ UNION ALL SELECT user_id, event_id, n, m, d, CAST(mc + ok AS INT), CAST(dc + ok AS INT), ok = 1 FROM (SELECT *, CAST(mc < 2 AND dc < 100 AS INT) AS ok FROM (SELECT tm.user_id, tm.event_id, tm.n, CASE WHEN tm.t - m > 60 THEN tm.t ELSE m END AS m, CASE WHEN tm.t - d > 86400 THEN tm.t ELSE d END AS d, CASE WHEN tm.t - m > 60 THEN 0 ELSE mc END AS mc, CASE WHEN tm.t - d > 86400 THEN 0 ELSE dc END AS dc FROM st JOIN tm ON tm.user_id = st.user_id AND tm.n = st.n + 1)))
+ SELECT user_id, event_id, accepted FROM st"""
+
 ORACLES = {
+    "limiter_fixed": _FIXED,
+    "limiter_sliding": f"""WITH RECURSIVE {_TIMED}, st AS (SELECT user_id, event_id, n, t AS a, NULL::DOUBLE AS b, TRUE AS accepted FROM tm WHERE n = 1
+ UNION ALL SELECT tm.user_id, tm.event_id, tm.n, CASE WHEN b IS NULL OR tm.t - b > 60 THEN tm.t ELSE a END, CASE WHEN b IS NULL OR tm.t - b > 60 THEN a ELSE b END, b IS NULL OR tm.t - b > 60 FROM st JOIN tm ON tm.user_id = st.user_id AND tm.n = st.n + 1) SELECT user_id, event_id, accepted FROM st""",
     "memory_topk": f"""WITH {_I}, q AS (SELECT id AS query_id, id % 400 // 20 AS user_id, vec AS qv FROM it WHERE id % 20 = 0), b AS (SELECT * FROM it JOIN q USING (user_id)),
  p AS (SELECT query_id, id, text, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, id DESC) AS rn, NULL::DOUBLE AS sim FROM b WHERE kind = 'profile'),
  s AS (SELECT query_id, id, text, 1 AS part, round(list_dot_product(vec, qv), 6) AS sim FROM b WHERE kind = 'topic'), t AS (SELECT query_id, id, text, part, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn, sim FROM s),
  u AS (SELECT * FROM p WHERE rn <= 5 UNION ALL SELECT * FROM t WHERE rn <= 3 AND sim >= 0.1), d AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY part, rn) AS k FROM u) SELECT query_id, id, text, part, sim FROM d WHERE k = 1""",
     "memory_cap": f"WITH {_I}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY updated_at DESC, id DESC) AS rn FROM it) SELECT user_id, kind, id FROM r WHERE rn <= CASE kind WHEN 'profile' THEN 3 ELSE 4 END",
-    "near_dup_argmax": f"WITH {_I}, s AS (SELECT a.user_id, a.kind, a.id, b.id AS old_id, round(list_dot_product(a.vec, b.vec), 6) AS sim FROM it a LEFT JOIN it b ON a.user_id = b.user_id AND a.kind = b.kind AND b.id % 5 <> 0 WHERE a.id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC NULLS LAST, old_id) AS rn FROM s) SELECT user_id, kind, id, old_id, sim, coalesce(sim >= 0.5, FALSE) AS replaces FROM r WHERE rn = 1",
+    "near_dup_argmax": f"WITH {_I}, s AS (SELECT a.user_id, a.kind, a.id, b.id AS old_id, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM it a LEFT JOIN it b ON a.user_id = b.user_id AND a.kind = b.kind AND b.id <> a.id WHERE a.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC NULLS LAST, old_id) AS rn FROM s) SELECT user_id, kind, id, old_id, sim, coalesce(sim >= 0.5, FALSE) AS replaces FROM r WHERE rn = 1",
     "decision_dedup": "WITH r AS (SELECT user_id, event_id % 4 AS decision, event_id AS id, CASE WHEN event_type <> 'signup' THEN user_id % 4 END AS waiting, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY ts, event_id) AS rn FROM events) SELECT id, CASE WHEN waiting IS NULL THEN 'not waiting' WHEN rn > 1 THEN 'duplicate' WHEN waiting <> decision THEN 'stale' ELSE 'accepted' END AS outcome FROM r",
     "transcript_ids": "WITH t AS (SELECT conv_id AS run, turn AS ordinal, CASE WHEN turn % 3 = 1 THEN 'turn-1' ELSE 'turn-' || CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) END AS turn_id FROM conversations) SELECT *, count(*) OVER (PARTITION BY run, turn_id) > 1 AS duplicate FROM t",
     "bid_validate": f"WITH {_BID} SELECT bid_id, error FROM be",
@@ -158,7 +168,7 @@ ORACLES = {
     "unaccounted": "WITH c AS (SELECT user_id AS run, floor(avg(event_id)) AS cur FROM events WHERE user_id % 3 <> 0 GROUP BY 1) SELECT user_id AS run, count(*) AS n, max(event_id) AS cursor FROM events LEFT JOIN c ON user_id = run WHERE event_id > coalesce(cur, -1) GROUP BY 1",
     "tool_calls": "WITH d AS (SELECT l_orderkey AS msg, l_linenumber AS index, l_partkey AS ord, max(l_returnflag) AS name, max(l_linestatus) AS args FROM lineitem GROUP BY 1, 2, 3) SELECT msg, index, max(ord) FILTER (ord % 2 = 0) AS id, string_agg(name, '' ORDER BY ord) AS name, string_agg(args, '' ORDER BY ord) AS args FROM d GROUP BY msg, index",
     "state_patch_fold": f"WITH {_P} SELECT save_id, who, field, kind, arg_max(num, ord) AS num, arg_max(tag, ord) AS tag, count(*) AS patches FROM good GROUP BY save_id, who, field, kind",
-    "state_sync": f"WITH {_P}, st AS (SELECT save_id, who, field, arg_max(num, ord) AS num, arg_max(tag, ord) AS tag FROM good WHERE ord % 7 = 0 GROUP BY ALL), p AS (SELECT DISTINCT save_id, who FROM st), df AS (SELECT * FROM (VALUES ('f0', 'tag'), ('f1', 'number'), ('f2', 'tag')) d(field, kind)) SELECT p.save_id, p.who, df.field, kind, CASE WHEN kind = 'number' THEN coalesce(num, 0.0) END AS num, CASE WHEN kind = 'tag' THEN coalesce(tag, '') END AS tag FROM p CROSS JOIN df LEFT JOIN st ON st.save_id = p.save_id AND st.who = p.who AND st.field = df.field",
+    "state_sync": f"WITH {_P}, st AS (SELECT save_id, who, field, arg_max(num, ord) AS num, arg_max(tag, ord) AS tag FROM good GROUP BY ALL), p AS (SELECT DISTINCT save_id, who FROM st), df AS (SELECT * FROM (VALUES ('f0', 'tag'), ('f1', 'number'), ('f2', 'tag')) d(field, kind)) SELECT p.save_id, p.who, df.field, kind, CASE WHEN kind = 'number' THEN coalesce(num, 0.0) END AS num, CASE WHEN kind = 'tag' THEN coalesce(tag, '') END AS tag FROM p CROSS JOIN df LEFT JOIN st ON st.save_id = p.save_id AND st.who = p.who AND st.field = df.field",
     "marker_blocks": f"SELECT conv_id AS msg, md5(regexp_replace(string_agg({_TOKEN}, '' ORDER BY turn), '(?s)<state>.*?</state>', '', 'g')) AS text_md5 FROM conversations GROUP BY conv_id",
     "lorebook": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations), s AS (SELECT conv_id AS query_id, string_agg(text, chr(10) ORDER BY turn) AS scan FROM r WHERE rn <= 3 GROUP BY conv_id), e AS (SELECT * FROM (VALUES (0, 'the'), (1, 'der'), (2, 'que'), (3, 'of'), (4, 'und'), (5, 'le')) v(ord, w)), h AS (SELECT query_id, ' ' || w || ' ' AS keyword, 'about ' || w AS content, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rank FROM s JOIN e ON contains(scan, ' ' || w || ' ')) SELECT * FROM h WHERE rank <= 2",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import state_queries
 from ..streaming import keyed, windows
 from ..streaming.run import drained, stream
 
@@ -30,6 +31,7 @@ def stream_markers(spark, sf):
 QUERIES = {f.__name__: f for f in (stream_hourly, stream_limiter, stream_markers)}
 _TOKEN = "CASE turn % 3 WHEN 1 THEN '<state>' || text WHEN 2 THEN text || '</state>' ELSE text END"
 ORACLES = {
+    "stream_limiter": state_queries._FIXED,
     "stream_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_markers": f"SELECT conv_id AS msg, md5(regexp_replace(string_agg({_TOKEN}, '' ORDER BY turn), '(?s)<state>.*?</state>', '', 'g')) AS text_md5 FROM conversations GROUP BY conv_id",
 }
