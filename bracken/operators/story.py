@@ -24,6 +24,18 @@ def patched(events: DataFrame, definitions: DataFrame) -> DataFrame:
     return e.groupBy("save_id", "who", "field", "kind").agg(last.alias("v"), first.alias("f"), changes.alias("patches")).select("save_id", "who", "field", "kind", F.col("v.num").alias("num"), F.col("v.tag").alias("tag"), "patches")
 
 
+def changes(events: DataFrame, definitions: DataFrame, protagonists: DataFrame) -> DataFrame:
+    """STR-09 over events as of ``patched``, where a null who is a flat patch and means the protagonist, and protagonists
+    (save_id, protagonist): (save_id, ord, who, field, num, tag) of what really changed a value."""
+    e = events.join(protagonists.select("save_id", "protagonist"), "save_id", "left").withColumn("who", F.coalesce("who", "protagonist")).filter("who IS NOT NULL")
+    e = e.join(small(definitions), ["save_id", "field"])
+    e = e.withColumn("num", F.when(F.col("kind") == "number", T.coerced_number(F.col("raw")))).withColumn("tag", F.when((F.col("kind") == "tag") & (T.strip(F.col("raw")) != ""), F.left(T.strip(F.col("raw")), F.lit(24))))
+    e = e.filter("num IS NOT NULL OR tag IS NOT NULL")
+    w = Window.partitionBy("save_id", "who", "field").orderBy("ord")
+    before = F.lag(F.struct("num", "tag")).over(w)
+    return e.withColumn("_b", before).filter(F.col("_b").isNull() | ~F.col("_b").eqNullSafe(F.struct("num", "tag"))).select("save_id", "ord", "who", "field", "num", "tag")
+
+
 def synced(state: DataFrame, definitions: DataFrame) -> DataFrame:
     """STR-10 over state (save_id, who, field, num, tag): defined fields with a value or the default; others go."""
     people = state.select("save_id", "who").distinct()

@@ -50,7 +50,8 @@ def drop_histogram(spark, sf):
 
 
 def noise_lines(spark, sf):
-    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    noise = F.concat_ws("\n", F.lit(""), F.col("doc_id").cast("string"), F.lit("~ 12 ~"), F.lit("2020.1.2"), F.lit("* * *"), F.lit("定价： 10 元"), F.lit("仅供 试读"), F.lit("a line of text"))
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split(F.concat("text", noise), "\n")).alias("pos", "line"))
     return lines.filter(T.is_ocr_noise(F.col("line")) | T.is_vision_noise(F.col("line"))).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
 
 
@@ -216,7 +217,7 @@ ORACLES = {
     "strip_lines": f"SELECT doc_id, md5({LINES}) AS rest_md5, CAST(length({LINES}) AS BIGINT) AS rest_chars FROM documents",
     "clean_chunk": CLEAN + "SELECT doc_id, kind, md5(cleaned) AS cleaned_md5, length(cleaned) AS char_length FROM d",
     "drop_histogram": CLEAN + "SELECT kind AS reason, count(*) AS n_chunks, count(*) FILTER (cleaned = '') AS n_dropped FROM d WHERE kind <> '' GROUP BY kind",
-    "noise_lines": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, CAST(pos AS BIGINT) AS pos, line FROM l WHERE {NOISE}",
+    "noise_lines": f"WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || concat_ws(chr(10), CAST(doc_id AS VARCHAR), '~ 12 ~', '2020.1.2', '* * *', '定价： 10 元', '仅供 试读', 'a line of text'), chr(10))) AS line, generate_subscripts(string_split(text || repeat(chr(10), 7), chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, CAST(pos AS BIGINT) AS pos, line FROM l WHERE {NOISE}",
     "toc_docs": r"WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, len(l) >= 5 AND len(list_filter(list_transform(l, lambda x: regexp_replace(x, '\s+', '', 'g')), lambda c: c <> '' AND length(c) < 40 AND regexp_matches(c, '\d+$'))) >= greatest(3, CAST(floor(len(l) * 0.4) AS INT)) AS is_toc FROM a",
     "char_ratios": r"WITH a AS (SELECT doc_id, text, substr(text, 1, 3000) AS s FROM documents), b AS (SELECT *, length(regexp_replace(s, '[^éèêñß]', '', 'g')) / length(s) AS r FROM a) SELECT doc_id, round(r, 6) AS mark_ratio, r >= 0.02 AS marked, round(len(regexp_extract_all(text, '[\x{fffd}\x{e000}-\x{f8ff}\x00-\x08\x0b-\x1f\x7f-\x{9f}]')) / greatest(length(text), 1), 6) AS bad_ratio FROM b",
     "banned_terms": f"WITH a AS (SELECT doc_id, text, regexp_matches(text, 'stupid|idiot|pathetic') AS banned FROM documents) SELECT doc_id, banned, md5(CASE WHEN banned THEN '{P.REFUSAL}' ELSE text END) AS output_md5 FROM a",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import usage
 from ..session import table
+from ..sources import files
 
 NOW = "2024-01-25 00:00:00"
 
@@ -96,9 +97,9 @@ def upsert_latest(spark, sf):
 
 def scan_formats(spark, sf):
     """SRC-01, AGG-05: supported and skipped by extension, most common first."""
-    name = F.concat(F.col("p_name"), F.element_at(F.array(*map(F.lit, (".pdf", ".md", ".txt", ".docx", ""))), (F.col("p_partkey") % 5 + 1).cast("int")))
-    ext = F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
-    return table(spark, sf, "part").select(ext.alias("ext")).groupBy("ext").agg(F.count("*").alias("n")).withColumn("supported", F.col("ext").isin(".pdf", ".md", ".txt"))
+    folder = F.when(F.col("p_partkey") % 7 == 0, F.lit("/in/.git/")).otherwise("/in/books/")
+    name = F.concat(folder, F.col("p_name"), F.element_at(F.array(*map(F.lit, (".PDF", ".md", ".txt", ".docx", ""))), (F.col("p_partkey") % 5 + 1).cast("int")))
+    return files.by_extension(files.routed(table(spark, sf, "part").select(name.alias("path"))))
 
 
 QUERIES = {f.__name__: f for f in (usage_summary, usage_by_key, status_counts, latest_requests, stage_times, ttl_partition, feedback_page, session_stats, history_pairs, last_n_turns, overflow_turns, trim_by_user, active_sessions, cascade_delete, upsert_latest, scan_formats)}
@@ -123,5 +124,5 @@ ORACLES = {
     "active_sessions": "SELECT o_orderkey AS token, o_custkey AS user_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate > TIMESTAMP '1998-01-01' AND c_acctbal > 0",
     "cascade_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "upsert_latest": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
-    "scan_formats": "SELECT ['.pdf', '.md', '.txt', '.docx', ''][p_partkey % 5 + 1] AS ext, count(*) AS n, p_partkey % 5 < 3 AS supported FROM part GROUP BY ALL",
+    "scan_formats": "SELECT ['.pdf', '.md', '.txt', '.docx', ''][p_partkey % 5 + 1] AS ext, count(*) AS n, p_partkey % 5 < 3 AS supported FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL",
 }

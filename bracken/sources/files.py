@@ -8,9 +8,11 @@ import struct
 import zlib
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Extensions and decoders.
 EXTENSIONS = (".pdf", ".md", ".txt")
 #: Decoders that are tried in order; the first that fits wins, so a byte order mark stays in UTF-8 text.
 DECODERS = ("utf-8", "utf-8-sig", "gb18030", "big5")
@@ -20,11 +22,19 @@ CODE = (".py", ".js", ".ts", ".java", ".c", ".cpp", ".go", ".rs", ".json", ".yam
 
 def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """SRC-01, AGG-05: (files with path, ext, length, content; skipped files by extension). Hidden names are not read."""
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    every = every.withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).filter(~F.col("path").rlike(r"/\.[^/]*(?:/|$)"))
-    keep = F.col("ext").isin(*extensions)
-    skipped = every.filter(~keep).groupBy("ext").agg(F.count("*").alias("n"))
-    return every.filter(keep).select("path", "ext", "length", "content"), skipped
+    every = routed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), extensions)
+    return every.filter("supported").select("path", "ext", "length", "content"), by_extension(every.filter("NOT supported")).drop("supported")
+
+
+def routed(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """Files (path, ...) without hidden names, with ext in lower case and whether it is supported."""
+    out = files.withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).filter(~F.col("path").rlike(r"/\.[^/]*(?:/|$)"))
+    return out.withColumn("supported", F.col("ext").isin(*extensions))
+
+
+def by_extension(files: DataFrame) -> DataFrame:
+    """AGG-05."""
+    return files.groupBy("ext", "supported").agg(F.count("*").alias("n"))
 
 
 def accepted(files: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -73,6 +83,49 @@ def pages_of(files: DataFrame, extract, schema: str = "path string, page int, te
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def cascade(files: DataFrame, extractors: list) -> DataFrame:
+    """SRC-05: (path, page, text, reader, warning) by the first of the injected extractors, functions of bytes to a list of
+    pages' texts, that finds text; one that raises counts as one that finds none. A file of which no one finds any has
+    a row without text and a warning."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                for i, extract in enumerate(extractors):
+                    try:
+                        pages = extract(bytes(content))
+                    except Exception:  # noqa: BLE001  the next reader may do better
+                        continue
+                    if any(t and t.strip() for t in pages):
+                        rows += [(path, n, t, i, None) for n, t in enumerate(pages, 1)]
+                        break
+                else:
+                    rows.append((path, None, None, None, "no_text_extracted"))
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "reader", "warning"]).astype({"page": "Int32", "reader": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, reader int, warning string")
+
+
+def collection(spark: SparkSession, path: str, name: str, most: int | None = None) -> DataFrame:
+    """SRC-06: the chunks (id, ...) of a collection; other collections' folders are not read. With ``most`` the first by id."""
+    rows = spark.read.parquet(path).filter(F.col("collection") == name)
+    return rows.orderBy("id").limit(most) if most is not None else rows
+
+
+def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """SRC-08: entities and relations of a graph in JSON; None if it is missing or malformed."""
+    schema = "entities map<string,struct<name:string,type:string,freq:long>>, relations array<struct<h:string,r:string,t:string,w:long,e:string>>, broken string"
+    try:
+        found = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "broken").schema(schema).json(path)
+        if found.filter("broken IS NOT NULL OR entities IS NULL OR relations IS NULL").limit(1).count() or not found.limit(1).count():
+            return None
+    except AnalysisException:
+        return None
+    ents = found.select(F.explode("entities").alias("key", "e")).select("key", "e.*")
+    return ents, found.select(F.explode("relations").alias("e")).select("e.*")
+
+
 def note(text: str) -> dict:
     """SRC-10: the front matter's fields and the sections of a note."""
     head, body = {}, text or ""

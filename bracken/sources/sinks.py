@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,27 @@ def retagged(chunks: DataFrame, kind: Column) -> tuple[DataFrame, DataFrame]:
     out = chunks.withColumn("_new", kind)
     report = out.groupBy(F.col("source_type").alias("before"), F.col("_new").alias("after")).agg(F.count("*").alias("n"))
     return out.withColumn("source_type", F.col("_new")).drop("_new"), report
+
+
+def publish(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """SNK-07: written beside the path first and renamed at once; readers see the old rows or the new ones."""
+    spark = df.sparkSession
+    temporary, old = f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old"
+    df.write.format(form).save(temporary)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(hadoop(path))
+    if had and not fs.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"{path} cannot be replaced")
+    if not fs.rename(hadoop(temporary), hadoop(path)):
+        if had:
+            fs.rename(hadoop(old), hadoop(path))
+        raise OSError(f"{temporary} cannot be renamed")
+    if had:
+        fs.delete(hadoop(old), True)
+
+
+def swapped(writes: DataFrame) -> DataFrame:
+    """SNK-06, STR-06 over (key, ord, value): (key, version, value): writers that read again until their version is the
+    current one end with all writes applied in order; that end is folded at once."""
+    return writes.groupBy("key").agg(F.count("*").alias("version"), F.max_by("value", "ord").alias("value"))

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bracken.operators import chunk, fusion, graph, limits, memory, story
+from bracken.operators import chunk, fusion, graph, limits, meeting, memory, story
 
 
 def test_fixed_window():
@@ -96,24 +96,152 @@ def test_gates_only_lead_to_seeds(spark):
     assert {(r.h, r.t) for r in graph.expand(rels, q, gate).collect()} == {("s", "hub"), ("s", "x")}
 
 
-def test_heading_paths_and_packing():
-    assert chunk.heading_path([], [(1, "A")]) == ["A"]
-    assert chunk.heading_path(["A"], [(3, "C")]) == ["A", "C"]
-    assert chunk.heading_path(["A", "C"], [(2, "B")]) == ["A", "B"]
-    assert [c for c, _ in chunk.packed([("p", "a" * 600), ("p", "b" * 600), ("p", "c" * 100)], 1000, 500)] == ["a" * 600, "b" * 600 + "\n\n" + "c" * 100]
-    assert [len(c) for c, _ in chunk.packed([("p", "x" * 2500)], 1000, 500)] == [1000, 1000, 500]
-    made = chunk.chunks_of([{"kind": "heading", "level": 1, "content": "T"}])
-    assert [(c["text"], c["element_types"]) for c in made] == [("T", ["heading"])]
+ELEMENTS = "doc_id long, source string, elements array<struct<kind:string,level:int,content:string>>"
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(alphabet="ab. ", min_size=1, max_size=60), max_size=15))
-def test_packing_loses_nothing(paragraphs):
-    rows = [("p", p) for p in paragraphs if p.strip()]
-    out = chunk.packed(rows, 40, 10)
+def chunks(spark, elements, most, least, overlap=0):
+    rows = chunk.chunked(spark.createDataFrame([(1, "s", elements)], ELEMENTS), most, least, overlap).orderBy("ordinal").collect()
+    return [(r.text, r.element_types, r.heading) for r in rows]
+
+
+def texts(spark, contents, most, least):
+    return [t for t, *_ in chunks(spark, [("p", 0, c) for c in contents], most, least)]
+
+
+def test_heading_paths_and_packing(spark):
+    h = lambda level, title: ("heading", level, title)
+    made = chunks(spark, [("p", 0, "0"), h(1, "A"), ("p", 0, "1"), h(3, "C"), ("p", 0, "2"), h(2, "B"), h(0, "D"), ("p", 0, "3"), h(1, "E")], 1000, 500)
+    assert [(t, x) for t, _, x in made] == [("0", ""), ("1", "A"), ("2", "A > C"), ("3", "A > D"), ("E", "E")]
+    assert texts(spark, ["a" * 600, "b" * 600, "c" * 100], 1000, 500) == ["a" * 600, "b" * 600 + "\n\n" + "c" * 100]
+    assert [len(c) for c in texts(spark, ["x" * 2500], 1000, 500)] == [1000, 1000, 500]
+    assert texts(spark, ["aa", "bbbb. cc. dddd. e", "f"], 8, 0) == ["aa", "bbbb.cc.", "dddd.e", "f"]
+    assert chunks(spark, [("p", 0, "a" * 6), ("l", 0, "b"), ("p", 0, "c" * 9)], 8, 3)[0][1] == ["p", "l"]
+    assert chunks(spark, [("heading", 1, "T")], 1000, 500) == [("T", ["heading"], "T")] and chunks(spark, [], 9, 3) == []
+
+
+def test_tails_join_until_they_are_long_enough(spark):
+    assert texts(spark, ["a" * 9, "b" * 9, "c" * 2, "d" * 9], 9, 10) == ["a" * 9, "b" * 9, "cc\n\n" + "d" * 9]
+    assert texts(spark, ["a" * 9, "b" * 9, "c"], 9, 30) == ["a" * 9 + "\n\n" + "b" * 9 + "\n\nc"]
+    assert texts(spark, ["a", "b" * 9, "c" * 9], 9, 5) == ["a", "b" * 9, "c" * 9]
+
+
+def test_overlap_is_of_the_chunk_before(spark):
+    made = chunks(spark, [("p", 0, "abcdef"), ("p", 0, "ghijkl"), ("p", 0, "mnopqr")], 6, 0, 3)
+    assert [t for t, *_ in made] == ["abcdef", "def\nghijkl", "jkl\nmnopqr"]
+
+
+def test_packing_loses_nothing(spark):
+    rnd = random.Random(5)
+    docs = [(i, "s", [("p", 0, "".join(rnd.choices("ab. ", k=rnd.randint(1, 60))) + "a") for _ in range(rnd.randint(0, 15))]) for i in range(100)]
+    got = {}
+    for r in chunk.chunked(spark.createDataFrame(docs, ELEMENTS), 40, 10, 0).collect():
+        got.setdefault(r.doc_id, {})[r.ordinal] = r.text
     letters = lambda s: "".join(c for c in s if c in "ab.")
-    assert letters("".join(c for c, _ in out)) == letters("".join(p for _, p in rows))
-    assert all(len(c) <= 40 + 10 + 40 for c, _ in out)
+    for i, _, elements in docs:
+        out = got.get(i, {})
+        assert letters("".join(out[k] for k in sorted(out))) == letters("".join(c for *_, c in elements))
+        assert all(len(c) <= 40 + 2 * 13 + 10 for c in out.values())
+
+
+def test_pages_stay_apart(spark):
+    rows = [("d", 1, "short"), ("d", 2, "x. " * 20), ("d", 3, " \n"), ("d", 4, None)]
+    got = chunk.page_chunks(spark.createDataFrame(rows, "doc string, page_num int, text string"), 20, 4).collect()
+    assert [(r.page_num, r.has_overlap) for r in got if r.page_num == 1] == [(1, False)] and {r.page_num for r in got} == {1, 2}
+    assert len([r for r in got if r.page_num == 2]) == 2 and all(r.has_overlap for r in got if r.page_num == 2)
+
+
+def plain_loop(seats, bids, max_rounds, quota, max_calls):
+    spoke, speeches, calls, last, winners = {s: 0 for s in seats}, {s: 1 for s in seats}, len(seats), "", []
+    while True:
+        if len(winners) >= max_rounds:
+            return winners, "rounds", len(winners), calls
+        bidders = [s for s in seats if speeches[s] < quota and s != last]
+        if not bidders:
+            return winners, "quota", len(winners), calls
+        if calls + len(bidders) + 1 > max_calls:
+            return winners, "budget", len(winners), calls
+        calls += len(bidders)
+        n = len(winners) + 1
+        offers = [(-b["urgency"], spoke[b["speaker"]], b["speaker"]) for b in bids if b["round"] == n and b["speaker"] in bidders and b["want"] and b["error"] is None]
+        if not offers:
+            return winners, "host", len(winners), calls
+        last = min(offers)[2]
+        speeches[last] += 1
+        spoke[last] = n
+        calls += 1
+        winners.append(last)
+
+
+@pytest.mark.parametrize("most", [(6, 3, 20), (3, 9, 99), (6, 2, 99)])
+def test_bid_loops_equal_a_loop(spark, sf, most):
+    from bracken.plans import more_queries
+
+    rosters, bids = more_queries._meetings(spark, sf)
+    got = {r.run: (r.winners, r.reason, r.rounds, r.calls) for r in meeting.bid_loop(rosters, bids, *most).collect()}
+    seats, offered = {}, {}
+    for r in rosters.orderBy("seat").collect():
+        seats.setdefault(r.run, []).append(r.speaker)
+    for b in bids.collect():
+        offered.setdefault(b.run, []).append(b.asDict())
+    want = {run: plain_loop(s, offered.get(run, []), *most) for run, s in seats.items()}
+    assert got == want and len({w[1] for w in want.values()}) > 1
+
+
+def test_leases_fence_stale_owners(spark):
+    rows = [(1, 1, 0.0, "a"), (1, 2, 50.0, "b"), (1, 3, 55.0, "a"), (1, 4, 115.0, "b"), (1, 5, 115.5, "b"), (1, 6, 116.0, "a"), (2, 7, 1.0, "b")]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t double, owner string")
+    got = {r.event_id: r.accepted for r in limits.limited(df, lambda: limits.Lease(60.0), more=("owner",)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True}
+
+
+def test_ranks_of_hot_groups(spark):
+    from bracken.operators import evalstats
+
+    rnd = random.Random(2)
+    rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)] + [("one", 4.0), ("two", 1.0), ("two", 9.0), ("none", None)]
+    ranks = {"p50": evalstats.nearest(0.5), "p95": evalstats.nearest(0.95)} | evalstats.median_ranks()
+    got = {r.k: (r.p50, r.p95, r.low, r.high) for r in evalstats.at_ranks(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", ranks).collect()}
+    for k in ("hot", "one", "two"):
+        v = sorted(x for g, x in rows if g == k)
+        n = len(v)
+        assert got[k] == (v[min(int(n * 0.5), n - 1)], v[min(int(n * 0.95), n - 1)], v[(n - 1) // 2], v[n // 2])
+    assert set(got) == {"hot", "one", "two"}
+
+
+def test_nearest_vectors_with_ties(spark, monkeypatch):
+    from bracken.operators import vector
+
+    monkeypatch.setattr(vector, "CELLS", 100)
+    rnd = random.Random(1)
+    rows = [(i, [1.0, 0.0] if i % 3 else [rnd.random(), rnd.random()], i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind int").repartition(3)
+    for within in (None, ["kind"]):
+        got = {}
+        for r in vector.topk(df, df.filter("vec_id % 20 = 0"), 5, within=within).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.doc, r.score)
+        for q, v, kind in rows[::20]:
+            cos = lambda w: round((v[0] * w[0] + v[1] * w[1]) / (sum(x * x for x in v) ** 0.5 * sum(x * x for x in w) ** 0.5), 6)
+            want = sorted((-cos(w), d) for d, w, k in rows if d != q and (not within or k == kind))[:5]
+            assert [got[q][i][0] for i in range(5)] == [d for _, d in want]
+
+
+def test_graph_joins_beyond_broadcasts(spark, sf, monkeypatch):
+    from bracken.plans import graph_queries
+
+    a = sorted(map(tuple, graph_queries.graph_gated(spark, sf).collect()))
+    monkeypatch.setattr(graph, "SEEDS_BROADCAST", 0)
+    monkeypatch.setattr(graph, "ENDS_BROADCAST", 0)
+    assert sorted(map(tuple, graph_queries.graph_gated(spark, sf).collect())) == a and a
+
+
+def test_few_terms_are_looked_up(spark, sf, monkeypatch):
+    from bracken.operators import lexical
+
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, ""), (4, None), (5, "d")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "b d"), (2, "zz")], "query_id long, text string")
+    a = sorted(map(tuple, lexical.bm25(docs, q).collect()))
+    monkeypatch.setattr(lexical, "FEW_TERMS", 0)
+    assert sorted(map(tuple, lexical.bm25(docs, q).collect())) == a and {x[1] for x in a} == {1, 2, 5}
 
 
 def test_memory_merge_equals_a_loop(spark):
