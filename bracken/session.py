@@ -66,7 +66,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there, and it is computed once."""
+    """``df`` written to the shared folder and read back: its lineage ends there, and it is computed once. Lost executors
+    cost no recomputation of what lies before, as the files are not theirs."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more; what is no such table is left alone."""
+    for t in tables:
+        if path := getattr(t, "_shared_path", None):
+            remove(t.sparkSession, path)
