@@ -10,7 +10,10 @@ contained item has a sketch value among the document's hashes: the search loses
 document only hashes up to the largest sketch value of any item are looked up. This one lookup of all
 items stands in for a partitioning by size: results are the same, and nothing is partitioned.
 
-Candidates are verified by exact containment: the shingles themselves are intersected.
+Candidates are verified by exact containment. A candidate document's distinct shingles, of which only those
+whose hash some item has go on, are joined with the shingles of its own candidate items and counted. No text
+or list of shingles is copied for each candidate, and each join is broadcast up to a counted bound and dealt
+with salt beyond it, so that a passage of a third of all documents is no task's own.
 
 Words are maximal runs of letters and digits of the lower-cased text. Defined results: null or short
 texts have no shingles and neither contain nor are contained; items of fewer than five words are listed by
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import small
+from .common import met, small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,8 +39,12 @@ _UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Th
 CHARACTERS = rf"[\p{{L}}\p{{N}}&&[{_UNSPACED}]]|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
 #: Sketch rows (a hash and an item key, 16 bytes) up to which the sketches are broadcast; they are counted.
 BROADCAST_SKETCH = 1_000_000
-#: Items (their shingles, some KB each) up to which the shingle lists are broadcast; they are counted.
-BROADCAST_ITEMS = 5_000
+#: Shingle hashes of all items (8 bytes) up to which they are broadcast; they are counted.
+BROADCAST_SHINGLES = 1_000_000
+#: Shingles of items (their text, some 40 bytes) up to which they are broadcast; they are counted.
+BROADCAST_PARTS = 200_000
+#: Items (an id and a number) up to which they are broadcast; they are counted.
+BROADCAST_ITEMS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -91,14 +98,19 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n
     top = sketch.agg(F.max("hash")).first()[0]
     keyed = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(common.column(docs, text_col)).alias("text_hash"), cut(common.column(docs, text_col)).alias("words"))
     low = F.filter(hashes("words", n), lambda h: h <= F.lit(top if top is not None else -(1 << 63)))
-    hits = keyed.select("doc_id", "text_hash", F.explode(low).alias("hash")).join(small(sketch, BROADCAST_SKETCH), "hash")
-    pairs = hits.select("doc_id", "text_hash", "item").distinct()
-    by_doc = common.shared_table(pairs.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_set("item").alias("candidates")), "candidates")
-    texts = keyed.join(small(by_doc), keyed["doc_id"].eqNullSafe(by_doc["c_id"]) & (keyed["text_hash"] == by_doc["c_hash"]))
-    texts = texts.select("doc_id", "text_hash", shingles("words", n).alias("doc_shingles"), F.explode("candidates").alias("item"))
-    both = texts.join(small(table.select("item", "item_id", "shingles", "n"), BROADCAST_ITEMS), "item")
-    both = both.select("doc_id", "text_hash", "item_id", F.col("n").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", "doc_shingles")).cast("long").alias("n_shared"))
-    both = both.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    hits = met(keyed.select("doc_id", "text_hash", F.explode(low).alias("hash")), sketch, "hash", ["doc_id", "text_hash"], BROADCAST_SKETCH)
+    pairs = common.shared_table(hits.select("doc_id", "text_hash", "item").distinct(), "candidates")
+    by_doc = pairs.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).distinct()
+    texts = keyed.join(small(by_doc), keyed["doc_id"].eqNullSafe(by_doc["c_id"]) & (keyed["text_hash"] == by_doc["c_hash"]), "left_semi")
+    parts = common.shared_table(table.select("item", F.explode("shingles").alias("shingle")), "item-shingles")
+    own = texts.select("doc_id", "text_hash", F.explode(shingles("words", n)).alias("shingle")).withColumn("part", F.xxhash64("shingle"))
+    own = met(own, parts.select(F.xxhash64("shingle").alias("part")).distinct(), "part", ["doc_id", "text_hash"], BROADCAST_SHINGLES)
+    own = own.select(F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"), F.col("shingle").alias("o_shingle")).distinct()
+    asked = met(pairs, parts, "item", ["doc_id", "text_hash"], BROADCAST_PARTS)
+    both = asked.join(own, asked["doc_id"].eqNullSafe(own["o_id"]) & (asked["text_hash"] == own["o_hash"]) & (asked["shingle"] == own["o_shingle"]))
+    both = both.groupBy("doc_id", "text_hash", "item").agg(F.count("*").alias("n_shared"))
+    both = met(both, table.select("item", "item_id", F.col("n").cast("long").alias("n_shingles")), "item", ["doc_id", "text_hash"], BROADCAST_ITEMS)
+    both = both.select("doc_id", "text_hash", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
     return both.filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - 1e-9).distinct()
 
 
@@ -114,7 +126,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     pairs = contained(docs, items, threshold, n, id_col, text_col)
     for more in contained_short(docs, items, threshold, n, id_col, text_col):
         pairs = pairs.union(more)
-    found = common.shared_table(pairs.select(F.col("doc_id").alias("_bk_id"), F.col("text_hash").alias("_bk_hash")).distinct(), "leaks")
-    keyed = docs.withColumn("_bk_text", F.xxhash64(common.column(docs, text_col)))
-    on = (keyed["_bk_text"] == F.col("_bk_hash")) & common.column(keyed, id_col).eqNullSafe(F.col("_bk_id"))
-    return keyed.join(small(found), on, "left_anti").drop("_bk_text")
+    found = common.shared_table(pairs.select("doc_id", "text_hash").distinct(), "leaks")
+    return common.without(docs, found, id_col, text_col)
