@@ -2,68 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space between words everywhere in this package: the space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dirs: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset a temporary folder is taken, in local mode only; on a cluster an unset
-    folder is an error, since executors could not see each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dirs[app] = tempfile.mkdtemp(prefix="bracken-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-        found = spark.sparkContext.getCheckpointDir()
-    return (found or _own_dirs[app]).rstrip("/")
+from ..session import release, shared_path, shared_table, table
 
+__all__ = ["release", "shared_path", "shared_table", "table"]
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; deleted when the driver's interpreter ends."""
-    path = f"{shared_dir(spark)}/bracken-{uuid.uuid4().hex}-{label}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, jsc = spark._jvm, spark._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone already; the folder is scratch space
-        pass
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there.
-
-    Lost executors cost no recomputation of what lies before, as the files are not theirs.
-    """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+#: White space between words everywhere in this package: the space and \t \n \v \f \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of up to so many rows of two longs (8 MB) are broadcast; their rows are counted first.
 BROADCAST_ROWS = 500_000

@@ -206,7 +206,8 @@ def stars(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = large.join(least, F.col("u") == F.col("c"))
         small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = common.shared_table(small, "small-star")
+        old, edges = edges, common.shared_table(small, "small-star")
+        common.release(old, large)
 
 
 def components(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:

@@ -50,5 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again before the next."""
     docs = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = common.shared_table(stage(spark, docs, sf_dir), f"stage{i}")
+        before, docs = docs, common.shared_table(stage(spark, docs, sf_dir), f"stage{i}")
+        common.release(before)
     return docs
