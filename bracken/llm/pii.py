@@ -1,7 +1,8 @@
 """Surrogates for personal data and secrets [native].
 
-One expression finds the entities: e-mail addresses, IPv4 addresses, card numbers, telephone numbers,
-access keys, passwords, hexadecimal tokens and the names that follow a title. Every entity has a type and a
+One expression finds the entities: e-mail addresses, IPv4 addresses, card numbers, telephone numbers, US social
+security numbers, access keys, values of passwords and other secrets, hexadecimal tokens, names that follow a
+title, and full names that start with a common given name. Other names are not found. Every entity has a type and a
 canonical form (lower case, digits only, ...), so that mentions of one entity in any format share it.
 A keyed digest of type, canonical form and attempt gives the surrogate, character by character: a digit
 for a digit, a letter of the same case for a letter, octets of an address within range, a card number with
@@ -18,23 +19,29 @@ nothing is replaced twice, and all other text stays as it is.
 
 A person is a given name and a family name, wherever they stand. The family name has its surrogate, and the given
 name one that no other person of that family name has. The gender is that of all titles a person has in the corpus;
-where these differ or tell none, the given name is one of either. In a text with a title before a name, later
-and earlier repeats without one, of the full or the family name, are replaced too, as written, capitalised or in
+where these differ or tell none, the given name is one of either; a common given name without a title tells its own. In a text with such a name, later
+and earlier repeats without a title, of the full or the family name, are replaced too, as written, capitalised or in
 upper case; a given name that stands alone is not.
 
+The digests need a key. It is that of the call, else that of the session (``spark.bracken.surrogate.key``), else one
+drawn at random for the application, whose surrogates no other application repeats.
+
 Defined results: a null text stays null, with no entity; repeated rows are rewritten alike; rows with
 equal ids are told apart by their texts; an empty table stays empty; all other columns are untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import small
+from .common import small
 
-KEY = "surrogate-key"
+KEY_SETTING = "spark.bracken.surrogate.key"
+_drawn: dict[str, str] = {}
 #: Attempts after which a surrogate gets one more character.
 STEP = 4
 
@@ -58,6 +65,11 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве во га го да де до за зо ка ко ла ле ло ма ме мо на не но ра ре ро са се со та то".split(),
     "greek": "βα βε βο γα γο δα δε δο ζα ζο κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο σα σε σο τα τε το φα".split(),
 }
+# Common given names that are no words of their own, for names without a title.
+KNOWN = {
+    "female": "Alice Amanda Amelie Andrea Angela Anita Anna Anne Barbara Beatriz Camille Carla Carmen Carolina Caroline Catherine Charlotte Chiara Christina Claudia Clara Diana Elena Elisabeth Elizabeth Emily Emma Eva Fatima Francesca Gabriela Giulia Hannah Heidi Helen Helena Ingrid Irene Isabel Isabella Jane Jennifer Jessica Johanna Julia Juliette Karen Katharina Laura Lena Linda Lucia Manon Margaret Maria Marie Marta Martina Mary Michelle Monika Nadia Natalia Nicole Olga Olivia Patricia Paula Rachel Rebecca Sandra Sara Sarah Sofia Sophie Stefanie Susan Susanne Svetlana Teresa Ursula Valentina Victoria Yasmin".split(),
+    "male": "Adam Ahmed Alan Albert Alberto Alejandro Alexander Andreas Andrew Antoine Antonio Benjamin Bernd Brian Bruno Carlos Charles Christian Christopher Daniel David Diego Dieter Dmitri Edward Enrique Eric Ethan Felix Fernando Francisco Friedrich George Giovanni Gustavo Hans Heinrich Henry Hugo Ivan Jacques James Javier Jean John Johann Jonas Jonathan Jorge Joseph Juan Karl Kevin Klaus Lars Luca Luis Lukas Manuel Marco Mario Martin Matthew Matthias Michael Miguel Mohammed Nicolas Oliver Oscar Otto Pablo Patrick Paul Paulo Pedro Peter Philippe Pierre Rafael Richard Robert Roberto Samuel Sebastian Sergei Sergio Simon Stefan Stephen Steven Thomas Tobias Vladimir Werner William Wolfgang".split(),
+}
 _ALL_TITLES = "|".join(t for kind in TITLES.values() for t in kind)
 # Each pattern starts with what is cheapest to refuse; runs that cannot match otherwise are not given back.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -65,14 +77,19 @@ IP = r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|
 CARD = r"(?=\d)(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
 PHONE = r"(?=[+(\d])(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))"
 ACCESS_KEY = r"(?=AKIA)(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-PASSWORD = r"(?<==)(?i:(?<=password=)|(?<=passwd=)|(?<=pwd=))[^\s,;\"']+"
+SSN = r"(?=\d)(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]|\.\d)"
+_SECRETS = ("password", "passwd", "pwd", "secret", "api_key", "apikey", "access_token")
+PASSWORD = r"(?<==)(?i:" + "|".join(f"(?<={w}=)" for w in _SECRETS) + r")[^\s,;\"']+"
+_IS_SECRET = f"(?i)(?:{'|'.join(_SECRETS)})=$"
 TOKEN = r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[a-f]*\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"
 #: A word of a name, without the 's of a possessive.
 _NAME_WORD = r"\p{Lu}(?:\p{L}|['-](?=\p{L})(?!s(?!\p{L})))+"
 NAME = rf"(?<= )(?=\p{{Lu}})(?<=(?<![\p{{L}}])(?:{_ALL_TITLES})\.?[ ]){_NAME_WORD}(?: {_NAME_WORD})?"
-ENTITY = "|".join((EMAIL, IP, CARD, PHONE, ACCESS_KEY, PASSWORD, TOKEN, NAME))
-#: What any text with a name after a title has.
-TITLED = rf"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES.split('|')}))}])(?:{_ALL_TITLES})\.? \p{{Lu}}"
+_KNOWN_WORD = rf"(?=\p{{Lu}}\p{{Ll}}+ \p{{Lu}})(?<![\p{{L}}\p{{N}}'-])(?:{'|'.join(KNOWN['female'] + KNOWN['male'])}) "
+NAME = rf"{NAME}|{_KNOWN_WORD}{_NAME_WORD}"
+ENTITY = "|".join((EMAIL, IP, CARD, PHONE, SSN, ACCESS_KEY, PASSWORD, TOKEN, NAME))
+#: What any text with a name has.
+TITLED = rf"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES.split('|')}))}])(?:{_ALL_TITLES})\.? \p{{Lu}}|{_KNOWN_WORD}\p{{Lu}}"
 #: What any text with an entity has, by way of first characters.
 HINT = rf"[@0-9=]|AKIA|{TITLED}"
 
@@ -81,10 +98,11 @@ def kind(mention: Column, before: Column) -> Column:
     """The type of a mention, given the text before it."""
     digits = F.regexp_replace(mention, r"\D", "")
     return (
-        F.when(mention.rlike(r"^[^@]+@[^@]+$") & mention.rlike(f"^(?:{EMAIL})$") & ~before.rlike("(?i)(?:password|passwd|pwd)=$"), "email")
-        .when(before.rlike("(?i)(?:password|passwd|pwd)=$"), "secret")
+        F.when(mention.rlike(r"^[^@]+@[^@]+$") & mention.rlike(f"^(?:{EMAIL})$") & ~before.rlike(_IS_SECRET), "email")
+        .when(before.rlike(_IS_SECRET), "secret")
         .when(mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(mention.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
+        .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(mention.rlike(r"^[+(\d][\d ().-]*$") & ~mention.rlike("^[0-9]{32,}$") & (F.length(digits) >= 7), "phone")
         .when(mention.rlike(r"^\p{Lu}[\p{L}'-]+( \p{Lu}[\p{L}'-]+)?$") & (before.rlike(rf"(?:{_ALL_TITLES})\.? $") | ~mention.rlike(f"^{ACCESS_KEY}$")), "name")
         .otherwise("secret")
@@ -95,20 +113,31 @@ def canonical(kind_: Column, mention: Column) -> Column:
     """What mentions of one entity share. Of a name it is the family name, its last word."""
     return (
         F.when(kind_ == "email", F.lower(mention))
-        .when(kind_.isin("card", "phone"), F.regexp_replace(mention, r"\D", ""))
+        .when(kind_.isin("card", "phone", "ssn"), F.regexp_replace(mention, r"\D", ""))
         .when(kind_ == "name", F.lower(F.element_at(F.split(mention, " "), -1)))
         .otherwise(mention)
     )
 
 
-def gender(before: Column) -> Column:
-    """The gender that the title before a name tells: female, male or any; none without a title."""
+def gender(mention: Column, before: Column) -> Column:
+    """The gender that the title before a name tells: female, male or any; without a title what a common given name
+    tells, else none."""
     title = F.regexp_extract(before, rf"({_ALL_TITLES})\.? $", 1)
-    return F.when(title == "", "none").when(title.isin(*TITLES["female"]), "female").when(title.isin(*TITLES["male"]), "male").otherwise("any")
+    first = F.substring_index(mention, " ", 1)
+    known = F.when(first.isin(*KNOWN["female"]), "female").when(first.isin(*KNOWN["male"]), "male").otherwise("none")
+    return F.when(title == "", known).when(title.isin(*TITLES["female"]), "female").when(title.isin(*TITLES["male"]), "male").otherwise("any")
+
+
+def secret_key(key: str | None) -> str:
+    """The key of a call, of the session, or one drawn for the application."""
+    if key is not None:
+        return key
+    spark = SparkSession.active()
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
-def _digest(parts: list[Column], key: str) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *parts), 512)
+def _digest(parts: list[Column], key: str | None) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(secret_key(key)), *parts), 512)
 
 
 def _draw(digest: Column, i: Column, n: int | Column) -> Column:
@@ -171,7 +200,7 @@ def script(name: Column) -> Column:
     return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def surrogates(entries: Column, key: str = KEY) -> Column:
+def surrogates(entries: Column, key: str | None = None) -> Column:
     """The canonical surrogates of an array of entities (kind, canon, attempt): lower case for names and addresses,
     digits alone for numbers. Each step is a list of its own, so that digests and digits are made once."""
 
@@ -179,9 +208,10 @@ def surrogates(entries: Column, key: str = KEY) -> Column:
         return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), _digest([m["kind"], m["canon"], m["attempt"].cast("string")], key).alias("d"), F.floor(m["attempt"] / STEP).cast("int").alias("extra"), F.when(m["kind"] == "email", _digest([F.lit("domain"), F.substring_index(m["canon"], "@", -1)], key)).alias("of_domain"))
 
     def numbered(m: Column) -> Column:
-        first = F.when(m["kind"] == "card", F.left(m["canon"], F.lit(1))).otherwise((_draw(m["d"], F.lit(0), 9) + 1).cast("string"))
-        rest = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(m["canon"]) - 1 + m["extra"], F.lit(1))), lambda i: _draw(m["d"], i, 10).cast("string")), "")
-        digits = F.when(m["kind"].isin("card", "phone"), F.left(F.concat(first, rest), F.length(m["canon"]) + m["extra"]))
+        # a social security number has no zeros in front of its parts, and its area is below 666
+        first = F.when(m["kind"] == "card", F.left(m["canon"], F.lit(1))).otherwise((_draw(m["d"], F.lit(0), F.when(m["kind"] == "ssn", 5).otherwise(9)) + 1).cast("string"))
+        rest = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(m["canon"]) - 1 + m["extra"], F.lit(1))), lambda i: F.when((m["kind"] == "ssn") & i.isin(3, 5), _draw(m["d"], i, 9) + 1).otherwise(_draw(m["d"], i, 10)).cast("string")), "")
+        digits = F.when(m["kind"].isin("card", "phone", "ssn"), F.left(F.concat(first, rest), F.length(m["canon"]) + m["extra"]))
         return F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), m["d"].alias("d"), m["extra"].alias("extra"), m["of_domain"].alias("of_domain"), digits.alias("digits"))
 
     def made(m: Column) -> Column:
@@ -201,7 +231,7 @@ def surrogates(entries: Column, key: str = KEY) -> Column:
         hexadecimal = canon.rlike("^[0-9a-f]+$") & (F.length(canon) >= 32)
         secret = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), access).otherwise(_letters(canon, d, canon.rlike("^[0-9a-f]+$")))
         secret = F.concat(secret, _more(wide, extra, lambda w, i: F.when(hexadecimal, _one_of(_HEX, w, i)).when(canon.rlike("^[0-9]+$"), _one_of(_DIGITS, w, i)).otherwise(_one_of(_MORE, w, i))))
-        return F.when(m["kind"] == "email", email).when(m["kind"] == "ip", octets).when(m["kind"] == "card", card).when(m["kind"] == "phone", phone).when(m["kind"] == "name", _family(canon, d, extra)).otherwise(secret)
+        return F.when(m["kind"] == "email", email).when(m["kind"] == "ip", octets).when(m["kind"] == "card", card).when(m["kind"] == "phone", phone).when(m["kind"] == "ssn", digits).when(m["kind"] == "name", _family(canon, d, extra)).otherwise(secret)
 
     return F.transform(F.transform(F.transform(entries, keyed), numbered), made)
 
@@ -221,11 +251,11 @@ def _family(canon: Column, d: Column, extra: Column) -> Column:
     return F.when(script(canon) == "cyrillic", made["cyrillic"]).when(script(canon) == "greek", made["greek"]).otherwise(made["latin"])
 
 
-def surrogate(kind_: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind_: Column, canon: Column, attempt: Column, key: str | None = None) -> Column:
     return F.get(surrogates(F.array(F.struct(kind_.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))), key), F.lit(0))
 
 
-def given(person: Column, gender_: Column, attempt: Column, key: str = KEY) -> Column:
+def given(person: Column, gender_: Column, attempt: Column, key: str | None = None) -> Column:
     """The surrogate, lower case, of the given name of a person (full name, lower case); from the third attempt on
     with syllables added."""
     d = _digest([F.lit("given"), person, gender_, attempt.cast("string")], key)
@@ -253,11 +283,11 @@ def rendered(kind_: Column, mention: Column, made: Column, given_: Column) -> Co
     more = F.length(made) - F.length(mention)
     of = lambda i: F.substring(made, i + more + 1, F.lit(1))
     email = F.concat(F.left(made, more), F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(of(i))).otherwise(of(i))), ""))
-    return F.when(kind_.isin("card", "phone"), numbers).when(kind_ == "name", name).when(kind_ == "email", email).otherwise(made)
+    return F.when(kind_.isin("card", "phone", "ssn"), numbers).when(kind_ == "name", name).when(kind_ == "email", email).otherwise(made)
 
 
 def _repeats(text: Column) -> Column:
-    """Of a text with names after titles the pattern of all its entities and of these names anywhere; else null."""
+    """Of a text with names the pattern of all its entities and of these names anywhere; else null."""
     names = F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)))
     forms = F.flatten(F.transform(names, lambda m: F.flatten(F.transform(F.array(m, F.element_at(F.split(m, " "), -1)), lambda n: F.array(n, F.upper(n), F.initcap(F.lower(n)))))))
     pattern = F.concat(F.lit(ENTITY + r"|(?=\p{Lu})(?<![\p{L}\p{N}-]|\p{L}')(?:"), F.array_join(F.array_distinct(forms), "|"), F.lit(r")(?![\p{L}\p{N}]|-\p{L})"))
@@ -275,7 +305,7 @@ def _cut(docs: DataFrame, text: Column) -> DataFrame:
     typed = F.zip_with(F.col("_bk_found"), F.slice("_bk_pieces", F.lit(1), F.size("_bk_found")), lambda m, p: F.struct(kind(m, F.right(p, F.lit(24))).alias("kind"), m.alias("mention"), F.right(p, F.lit(24)).alias("before")))
     out = out.withColumn("_bk_typed", F.when(F.col("_bk_pieces").isNotNull(), typed))
     full = lambda m: (m["kind"] == "name") & m["mention"].contains(" ")
-    canon = F.transform("_bk_typed", lambda m: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["before"].alias("before"), canonical(m["kind"], m["mention"]).alias("canon"), F.when(full(m), F.lower(m["mention"])).alias("person"), F.when(full(m), gender(m["before"])).alias("gender")))
+    canon = F.transform("_bk_typed", lambda m: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["before"].alias("before"), canonical(m["kind"], m["mention"]).alias("canon"), F.when(full(m), F.lower(m["mention"])).alias("person"), F.when(full(m), gender(m["mention"], m["before"])).alias("gender")))
     return out.withColumn("_bk_mentions", canon).drop("_bk_found", "_bk_typed", "_bk_repeats")
 
 
@@ -286,7 +316,7 @@ def _each() -> Column:
     return F.concat(own, persons)
 
 
-def entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def entities(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """(kind, canon, attempt, surrogate, ...) of every distinct entity, no two of a kind and scope with one surrogate.
 
     The scope of a person is the family name, and the surrogate that of the given name. ``mixed`` tells that the
@@ -310,10 +340,11 @@ def entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
             return table
         raised = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(False)).cast("int"))
         raised = raised.withColumn("surrogate", F.when(F.col("bad"), drawn).otherwise(F.col("surrogate"))).drop("bad")
-        table = common.shared_table(raised, "entities")
+        old, table = table, common.shared_table(raised, "entities")
+        common.release(old, again)
 
 
-def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in its texts, and with pii_count and pii_spans (kind, start, end in the new text)."""
     exceptions = common.shared_table(entities(docs, text_col, key).filter("attempt > 0 OR mixed").select("kind", "canon", "attempt", "gender"), "exceptions")
     names = [c for c in docs.columns if c not in ("pii_count", "pii_spans")]
