@@ -13,9 +13,13 @@ temperature, lowered where the cross-entropy exceeds what the language's own tex
 ``rejected`` marks texts beyond that.
 
 Letters are lower-cased and runs of other characters are one space. Models are fitted on a bounded
-sample, at most ``SAMPLE`` texts of a language by hash of the id; of a text over ``LONGEST`` characters the fit
-reads as many, from its first letter on. Every text is scored whole. Defined results: a text that is null or has no letter is ``und`` with score 0; so is
-every text if nothing can be learned; rows with equal ids are scored on their own.
+sample, at most ``SAMPLE`` different texts of a language by hash of id and text; of a text over ``LONGEST``
+characters the fit reads as many, from its first letter on. All languages together give ``TEXTS`` texts and
+``CHARACTERS`` characters at most, so that many languages give fewer of each, and the ``LANGUAGES`` of the most
+texts are learned. Letters have numbers of 16 bits: of more than ``LETTERS`` that the sample has, the rarest count
+as one letter. Every text is scored whole. Defined results: a text that is null or has no letter is ``und``
+with score 0; so is every text if nothing can be learned; rows with equal ids are scored on their own, and in
+the sample they are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -25,14 +29,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .common import small
 
 ORDER = 4
 SAMPLE = 400
 LONGEST = 20_000
+#: Bounds of the sample over all languages.
+LANGUAGES = 1000
+TEXTS = 20_000
+CHARACTERS = 40_000_000
+#: Letters that are told apart.
+LETTERS = 65_000
 #: Characters that are scored at once.
 AT_ONCE = 1 << 20
 #: Length beyond which more text adds no confidence.
@@ -63,11 +74,9 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of others
     keep[starts] = True
-    if len(starts) > 1:  # a space at the end of a text before the next one's own
-        ends = starts[1:] - 1
-        keep[ends] &= letter[ends]
-    if len(whole):
-        keep[-1] &= letter[-1]
+    if len(starts):  # nothing after the last letter of a text
+        place = np.arange(len(whole))
+        keep &= place <= np.repeat(np.maximum(np.maximum.reduceat(np.where(letter, place, -1), starts), starts), sizes)
     has = np.add.reduceat(letter, starts) > 0 if len(starts) else np.empty(0, bool)
     kept = np.add.reduceat(keep, starts) if len(starts) else np.empty(0, np.int64)
     keep &= np.repeat(has, sizes)
@@ -239,7 +248,7 @@ def fit(texts: list[str], langs: list[str]) -> Models | None:
     if not names:
         return None
     learned, often = np.unique(np.concatenate([p for name in names for p in points[name]]), return_counts=True)
-    learned = np.sort(learned[np.argsort(-often, kind="stable")][:65_000])
+    learned = np.sort(learned[np.argsort(-often, kind="stable")][:LETTERS])
     learned = learned[learned > 0]
     models = Models(names, learned, [])
     languages = []
@@ -263,24 +272,29 @@ def fit(texts: list[str], langs: list[str]) -> Models | None:
     return models
 
 
-def sample(docs: DataFrame, most: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``most`` rows of each language, by hash of the id; held-out ids left out, as are
-    texts without a letter. Of a text over ``longest`` characters as many, from its first letter on."""
-    text = F.when(F.length("text") > longest, F.left(F.regexp_replace("text", r"^\P{L}++", ""), F.lit(longest))).otherwise(F.col("text"))
+def sample(docs: DataFrame, most: int = SAMPLE, longest: int = LONGEST, languages: int = LANGUAGES) -> tuple[list[str], list[str]]:
+    """Different texts and their languages, at most ``most`` of each language by hash of id and text; held-out ids left
+    out, as are texts without a letter. Of a text over ``longest`` characters as many, from its first letter on.
+
+    The places of texts in this order are drawn over ids and hashes alone; the texts of those that are taken, whose
+    number is bounded, are then looked up and gathered."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(~common.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = F.least(F.lit(1.0), F.lit(1.5 * most + 20) / F.count("*"))
-    rates = common.shared_table(rows.groupBy(F.col("lang").alias("of")).agg(share.alias("rate")), "rates")
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    from .simhash import small
-
-    got = rows.join(small(rates), rows["lang"] == rates["of"]).filter(drawn < F.col("rate")).select(F.xxhash64("doc_id").alias("h"), "doc_id", text.alias("text"), "lang").collect()
-    texts, langs, taken = [], [], {}
-    for r in sorted(got, key=lambda r: (r["h"], str(r["doc_id"]), r["text"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= most:
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return texts, langs
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    keys = common.shared_table(rows.select("lang", "doc_id", "hash").distinct(), "language-keys")
+    learned = common.shared_table(keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages), "languages")
+    n = max(1, learned.count())
+    most = min(most, max(1, TEXTS // n))
+    longest = min(longest, max(1, CHARACTERS // (n * most)))
+    drawn = F.xxhash64("doc_id", "hash")
+    share = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
+    some = keys.join(small(learned, languages), "lang").filter(share < F.lit(1.5 * most + 20) / F.col("n"))
+    first = Window.partitionBy("lang").orderBy(drawn, "doc_id", "hash")
+    taken = common.shared_table(some.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).drop("n"), "language-sample")
+    head = F.when(F.length("text") > longest, F.left(F.regexp_replace("text", r"^\P{L}++", ""), F.lit(longest))).otherwise(F.col("text"))
+    same = rows["lang"].eqNullSafe(taken["lang"]) & rows["doc_id"].eqNullSafe(taken["doc_id"]) & (rows["hash"] == taken["hash"])
+    texts = rows.join(small(taken), same).select(taken["lang"].alias("lang"), "place", head.alias("text")).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    got = sorted(texts.collect())
+    return [r["text"] for r in got], [r["lang"] for r in got]
 
 
 def identified(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

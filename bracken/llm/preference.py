@@ -6,10 +6,11 @@ is the code point spans that are trained: texts and ends of assistant turns, not
 turns of others. The prompt is never trained.
 
 Defined results: a null role is ``unknown`` and a null text empty; null or empty conversations have no
-turns; equal conversations give a whole prompt and empty completions (status ``identical``); repeated
-turns stay and are ordered by turn, role and text; turns without a number come first; an empty table gives
-no pair. A conversation is one array in one row, as its rendering is one string; pairs are independent, so
-many equal conversations or first turns meet in no task.
+turns; equal conversations give a whole prompt and empty completions (status ``identical``); a pair of which
+one side has no turn says so (``chosen_only``, ``rejected_only``); repeated turns stay and are ordered by turn,
+role and text; turns without a number come first; an empty table gives no pair. A conversation is one array in
+one row, as its rendering is one string; pairs are independent, so many equal conversations or first turns meet
+in no task, and turns without a conversation's id are in no group.
 """
 
 from __future__ import annotations
@@ -57,60 +58,44 @@ def _clean(turns: Column) -> Column:
 def formatted(pairs: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected as turns) to pair_id, status, n_prefix, prompt, and of each side the
     completion and its trained spans."""
-    out = pairs.select("pair_id", _clean(F.col("chosen")).alias("_a"), _clean(F.col("rejected")).alias("_b"))
+    out = pairs.select("pair_id", _clean(F.col("chosen")).alias("_a"), _clean(F.col("rejected")).alias("_b")).withColumn("_m", F.size("_a")).withColumn("_n", F.size("_b"))
     shorter = F.least(F.size("_a"), F.size("_b"))
     same = F.zip_with(F.slice("_a", F.lit(1), shorter), F.slice("_b", F.lit(1), shorter), lambda a, b: a == b)
     differs = F.array_position(same, F.lit(False))
     out = out.withColumn("n_prefix", F.when(differs > 0, differs - 1).otherwise(shorter.cast("long")))
     tail = lambda c: F.slice(c, F.col("n_prefix").cast("int") + 1, F.greatest(F.size(c) - F.col("n_prefix").cast("int"), F.lit(0)))
-    out = out.select("pair_id", "n_prefix", F.slice("_a", F.lit(1), F.col("n_prefix").cast("int")).alias("_p"), tail("_a").alias("_a"), tail("_b").alias("_b"))
-    status = F.when((F.size("_a") == 0) & (F.size("_b") == 0), "identical").otherwise("pair")
+    out = out.select("pair_id", "n_prefix", "_m", "_n", F.slice("_a", F.lit(1), F.col("n_prefix").cast("int")).alias("_p"), tail("_a").alias("_a"), tail("_b").alias("_b"))
+    status = F.when((F.size("_a") == 0) & (F.size("_b") == 0), "identical").when(F.col("_m") == 0, "rejected_only").when(F.col("_n") == 0, "chosen_only").otherwise("pair")
     return out.select("pair_id", status.alias("status"), "n_prefix", render(F.col("_p")).alias("prompt"), render(F.col("_a")).alias("chosen"), render(F.col("_b")).alias("rejected"), trained_spans(F.col("_a")).alias("chosen_spans"), trained_spans(F.col("_b")).alias("rejected_spans"))
 
 
-def neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs out of a table of plain conversations (conv_id, turn, role, text), which has no rejected sides.
-
-    Pair k takes conversation 2k up to its last assistant turn as chosen, and as rejected the same with that
-    turn replaced by the last assistant turn of conversation 2k + 1. A side is null where its turn is missing.
-    """
-    own = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    even = F.pmod("conv_id", F.lit(2)) == 0
-    reply = F.max(F.when(~even & (F.col("role") == TRAINED), own))
-    both = turns.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).agg(F.sort_array(F.collect_list(F.when(F.coalesce(even, F.lit(True)), own))).alias("_t"), reply.alias("_r"))
-    last = F.array_max(F.filter(F.transform("_t", lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull()))
-    both = both.withColumn("_n", last)
-    plain = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    chosen = F.when(F.col("_n").isNotNull(), plain(F.slice("_t", F.lit(1), F.col("_n") + 1)))
-    before = F.when(F.col("_n") > 0, plain(F.slice("_t", F.lit(1), F.col("_n")))).otherwise(F.array().cast(_TURNS))
-    other = F.array(F.struct(F.col("_r")["role"].alias("role"), F.col("_r")["text"].alias("text")))
-    return both.select("pair_id", chosen.alias("chosen"), F.when(F.col("_n").isNotNull() & F.col("_r").isNotNull(), F.concat(before, other)).alias("rejected"))
-
-
 def every(turns: DataFrame) -> DataFrame:
     """A row of every conversation of a table of plain ones (conv_id, turn, role, text): conv_id, status, n_prefix,
     prompt, and of each side the completion and its trained spans. Every turn is in the row of its conversation.
 
     The whole conversation is chosen. Rejected is the same up to one of its assistant turns, and from there on what
-    the other conversation of the pair (2k and 2k + 1) says from one of its own; which one the hash of conv_id tells.
-    Status ``unpaired``: the other one is missing or has no assistant turn; the own completion stands alone.
-    Status ``no_reply``: no assistant turn; all turns are the prompt.
+    the other conversation of the pair (2k and 2k + 1) says from one of its own; of n assistant turns it is that of
+    number k modulo n. Status ``unpaired``: the other one is missing or has no assistant turn; the own completion
+    stands alone. Status ``no_reply``: no assistant turn; all turns are the prompt. Status ``no_id``: a turn without a
+    conversation's id, which is a prompt by itself.
     """
     own = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    odd = F.coalesce(F.pmod("conv_id", F.lit(2)) == 1, F.lit(False))
+    odd = F.pmod("conv_id", F.lit(2)) == 1
     side = lambda which: F.sort_array(F.collect_list(F.when(which, own)))
-    both = turns.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("_k")).agg(side(~odd).alias("_a"), side(odd).alias("_b"))
-    rows = both.select(F.explode(F.array(F.struct((F.col("_k") * 2).alias("id"), F.col("_a").alias("own"), (F.col("_k") * 2 + 1).alias("other_id"), F.col("_b").alias("other")), F.struct((F.col("_k") * 2 + 1).alias("id"), F.col("_b").alias("own"), (F.col("_k") * 2).alias("other_id"), F.col("_a").alias("other")))).alias("r")).filter(F.size("r.own") > 0)
+    both = turns.filter("conv_id IS NOT NULL").groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("_k")).agg(side(~odd).alias("_a"), side(odd).alias("_b"))
+    rows = both.select("_k", F.explode(F.array(F.struct((F.col("_k") * 2).alias("id"), F.col("_a").alias("own"), F.col("_b").alias("other")), F.struct((F.col("_k") * 2 + 1).alias("id"), F.col("_b").alias("own"), F.col("_a").alias("other")))).alias("r")).filter(F.size("r.own") > 0)
 
-    def at(t: Column, conv_id: Column) -> Column:
+    def at(t: Column) -> Column:
         """The place, from 0, of the assistant turn where a conversation's completion starts; null without any."""
         places = F.filter(F.transform(t, lambda x, i: F.when(x["role"] == TRAINED, i)), lambda i: i.isNotNull())
-        return F.when(F.size(places) > 0, F.get(places, F.pmod(F.xxhash64(conv_id), F.greatest(F.size(places), F.lit(1))).cast("int")))
+        return F.when(F.size(places) > 0, F.get(places, F.pmod(F.col("_k"), F.greatest(F.size(places), F.lit(1))).cast("int")))
 
     plain = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    rows = rows.select(F.col("r.id").alias("conv_id"), plain(F.col("r.own")).alias("_t"), plain(F.col("r.other")).alias("_o"), at(F.col("r.own"), F.col("r.id")).alias("_n"), at(F.col("r.other"), F.col("r.other_id")).alias("_m"))
+    rows = rows.select(F.col("r.id").alias("conv_id"), plain(F.col("r.own")).alias("_t"), plain(F.col("r.other")).alias("_o"), at(F.col("r.own")).alias("_n"), at(F.col("r.other")).alias("_m"))
     state = F.when(F.col("_n").isNull(), "no_reply").when(F.col("_m").isNull(), "unpaired")
     before = F.slice("_t", F.lit(1), F.col("_n"))
     rejected = F.when(F.col("_n").isNull(), F.col("_t")).when(F.col("_m").isNull(), before).otherwise(F.concat(before, F.slice("_o", F.col("_m") + 1, F.size("_o"))))
-    out = formatted(rows.select(F.struct("conv_id", state.alias("state")).alias("pair_id"), F.col("_t").alias("chosen"), rejected.alias("rejected")))
+    alone = turns.filter("conv_id IS NULL").select(F.lit(None).cast("long").alias("conv_id"), F.lit("no_id").alias("state"), F.array(F.struct("role", "text")).alias("chosen"))
+    pairs = rows.select("conv_id", state.alias("state"), F.col("_t").alias("chosen"), rejected.alias("rejected")).unionByName(alone.withColumn("rejected", F.col("chosen")))
+    out = formatted(pairs.select(F.struct("conv_id", "state").alias("pair_id"), "chosen", "rejected"))
     return out.select(F.col("pair_id.conv_id").alias("conv_id"), F.coalesce("pair_id.state", "status").alias("status"), *out.columns[2:])

@@ -13,7 +13,7 @@ def test_every_turn_is_rendered_in_its_conversation(spark, sf):
     by = {}
     for t in sorted(common.table(spark, sf, "conversations").fillna({"role": "unknown", "text": ""}).collect(), key=lambda t: (t.turn, t.role, t.text)):
         by.setdefault(t.conv_id, []).append(t)
-    rows = {r.conv_id: r for r in q01.op1_preference_every_conversation(spark, sf).collect()}
+    rows = {r.conv_id: r for r in q01.op1_preference_format(spark, sf).collect()}
     assert set(rows) == set(by) and any(r.conv_id % 2 for r in rows.values())
     depths = set()
     for c, r in rows.items():
@@ -35,6 +35,6 @@ def test_conversations_without_a_partner_or_a_reply(spark):
     rows = [(2, 0, "user", "alone"), (4, 0, "user", "q"), (4, 1, "assistant", "x"), (4, 2, "user", "bye"), (None, 0, "user", "n"), (7, 0, "assistant", "z"), (6, 0, None, None), (8, 0, "assistant", "e"), (9, 0, "assistant", "e")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("status", F.lit("s"))
     got = {r.conv_id: r for r in preference.every(df).collect()}
-    assert {c: r.status for c, r in got.items()} == {2: "no_reply", 4: "unpaired", None: "no_reply", 7: "unpaired", 6: "no_reply", 8: "identical", 9: "identical"}
+    assert {c: r.status for c, r in got.items()} == {2: "no_reply", 4: "unpaired", None: "no_id", 7: "unpaired", 6: "no_reply", 8: "identical", 9: "identical"}
     assert (got[4].prompt, got[4].chosen, got[4].rejected) == ("<|user|>\nq<|end|>\n", "<|assistant|>\nx<|end|>\n<|user|>\nbye<|end|>\n", "")
     assert len(got[4].chosen_spans) == 1 and got[2].prompt == "<|user|>\nalone<|end|>\n" and preference.every(df.limit(0)).count() == 0

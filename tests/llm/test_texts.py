@@ -272,14 +272,6 @@ def test_prefixes_and_masks(spark):
     assert preference.formatted(df.limit(0)).count() == 0
 
 
-def test_neighbours_edges(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "x"), (1, 0, "assistant", "y"), (2, 0, "user", "alone"), (None, 0, "user", "n"), (4, 1, "assistant", None), (4, 0, None, "r"), (4, 0, None, "r"), (5, 0, "assistant", "z")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(1))
-    got = {r.pair_id: r for r in preference.neighbours(df).collect()}
-    assert [tuple(t) for t in got[0].rejected] == [("user", "q"), ("assistant", "y")] and got[1].chosen is None and got[None].rejected is None
-    assert [tuple(t) for t in got[2].chosen] == [("unknown", "r"), ("unknown", "r"), ("assistant", "")]
-
-
 PII = [r"[\w.+-]+@[\w.-]+\.\w+", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\b\d{16}\b", r"AKIA[A-Z0-9]{16}", r"(?<=password=)\S+", r"(?<=\")[0-9a-f]{40}(?=\")"]
 
 
