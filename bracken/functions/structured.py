@@ -1,4 +1,8 @@
-"""JSON from model output: tolerant and strict; summaries; messages."""
+"""JSON from model output: tolerant and strict; summaries; messages.
+
+Duplicate keys, constants that are no JSON and braces inside strings need a parser that tells them, which the engine's
+own JSON functions are not; a text is parsed where it lies, in Arrow batches.
+"""
 
 from __future__ import annotations
 
@@ -70,6 +74,17 @@ def strict_object(text: str | None, fields: dict[str, type | tuple]) -> tuple[di
     return found, None
 
 
+def strict_error(text: Column, fields: dict[str, str]) -> Column:
+    """TXT-23: what is wrong with an object of the given fields (int, float, str or bool), null if nothing is."""
+    kinds = {"int": int, "float": (int, float), "str": str, "bool": bool}
+
+    @F.pandas_udf("string")
+    def parse(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: strict_object(x, {k: kinds[v] for k, v in fields.items()})[1])
+
+    return parse(text)
+
+
 def loose_json(text: Column) -> Column:
     @F.pandas_udf("string")
     def parse(t: pd.Series) -> pd.Series:

@@ -44,6 +44,19 @@ class SlidingLog:
         return True
 
 
+class AnswerCache:
+    """STR-03: an answer holds for ``ttl`` seconds; what it answers is no new request."""
+
+    def __init__(self, ttl: float = 3600.0, since: float | None = None):
+        self.ttl, self.since = ttl, since
+
+    def accepts(self, t: float) -> bool:
+        if self.since is not None and t - self.since <= self.ttl:
+            return False
+        self.since = t
+        return True
+
+
 class Lease:
     """STR-05: an owner holds a run for ``span`` seconds from its last beat. Another owner takes over after that only, and
     what a stale owner sends is fenced off."""

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import structured as S
 from ..functions import text as T
-from ..operators import filters, meeting, rerank
+from ..operators import dedup, filters, ingest, meeting, rerank
 from ..session import table
 from ..sources import files, markdown, sinks
+from . import retrieval_queries
 
 
 def message_assembly(spark, sf):
@@ -80,8 +81,52 @@ def loose_json(spark, sf):
     return e.select("event_id", F.get_json_object(S.loose_json(raw), "$.k").cast("long").alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (message_assembly, summary_slots, page_prefix, dpi_choice, budget_gate, job_status, cache_keys, file_routes, code_definitions, markdown_elements, merged_rows, loose_json)}
+def strict_json(spark, sf):
+    """TXT-23: what is wrong with an object, if anything is."""
+    e = table(spark, sf, "events")
+    raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, '{"k": 1, "k": 2}').when(F.col("event_id") % 4 == 2, '{"k": NaN}').otherwise('{"k": true}')
+    return e.select("event_id", S.strict_error(raw, {"k": "int"}).alias("error"))
+
+
+def decoded_texts(spark, sf):
+    """SRC-02, SRC-03: bytes in two encodings by the first decoder that fits."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("书 "), F.regexp_replace("text", "[^\\x00-\\x7f]", "x")).alias("text"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("CAE9")), F.encode(F.substring("text", 2, 1 << 30), "UTF-8")))
+    return d.select("doc_id", F.md5(files.decoded(raw)).alias("text_md5"), files.text_chars(raw).cast("long").alias("chars"))
+
+
+def shallowest_files(spark, sf):
+    """TOP-09: of equal files the one of the shallowest path stays."""
+    p = table(spark, sf, "part")
+    path = F.concat(F.repeat(F.lit("/d"), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit("/f"), F.col("p_partkey").cast("string"))
+    return dedup.shallowest(p.select(path.alias("path"), (F.col("p_partkey") % 97).alias("sha"))).select("path", "keeper")
+
+
+def rerank_scores(spark, sf):
+    """RET-05: a scorer of heads of texts; a query with one candidate is not asked."""
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 60).alias("item_id"), "doc_id", "text").filter("doc_id < 60 OR item_id % 3 <> 0")
+    pairs = q.join(d, "item_id")
+    return rerank.scored(pairs, lambda qs, ts: [float(len(a) + len(b)) for a, b in zip(qs, ts)], 20).select("item_id", "doc_id", "rerank")
+
+
+def ingest_chunks(spark, sf):
+    """RET-12 with an embedder that counts, and a cache that has some of the texts."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    cache = ingest.ingested(d.filter("doc_id % 10 = 0"), spark.createDataFrame([], "key string, vec array<float>"), lambda ts: [[-1.0, 0.0]] * len(ts), "v1", "m").select("key", "vec").distinct()
+    out = ingest.ingested(d, cache, lambda ts: [[float(len(t)), float(t.count("a"))] for t in ts], "v1", "m")
+    return out.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "source_type", F.col("vec")[0].cast("double").alias("a"), F.col("vec")[1].cast("double").alias("b"))
+
+
+QUERIES = {f.__name__: f for f in (message_assembly, summary_slots, page_prefix, dpi_choice, budget_gate, job_status, cache_keys, file_routes, code_definitions, markdown_elements, merged_rows, loose_json, strict_json, decoded_texts, shallowest_files, rerank_scores, ingest_chunks)}
 ORACLES = {
+    "strict_json": "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'duplicate key' WHEN 2 THEN 'constant NaN' WHEN 3 THEN 'type of k' END AS error FROM events",
+    "decoded_texts": "WITH d AS (SELECT doc_id, '书 ' || regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS text_md5, length(regexp_replace(t, '[\\s\\x0b\\x1c-\\x1f]', '', 'g')) AS chars FROM d",
+    "shallowest_files": "WITH f AS (SELECT repeat('/d', CAST(p_partkey % 4 + 1 AS INT)) || '/f' || CAST(p_partkey AS VARCHAR) AS path, p_partkey % 97 AS sha, p_partkey % 4 AS depth FROM part) SELECT path, first_value(path) OVER (PARTITION BY sha ORDER BY depth, path) AS keeper FROM f",
+    "rerank_scores": "WITH p AS (SELECT item_id, b.text AS query, doc_id, left(d.text, 20) AS head FROM benchmark b JOIN documents d ON d.doc_id % 60 = item_id WHERE doc_id < 60 OR doc_id % 60 % 3 <> 0), n AS (SELECT query, count(DISTINCT head) AS n FROM p GROUP BY query) SELECT item_id, doc_id, CASE WHEN n = 1 THEN 1.0 ELSE length(query) + length(head) END::DOUBLE AS rerank FROM p JOIN n USING (query)",
+    "ingest_chunks": "WITH RECURSIVE " + retrieval_queries._chunks("SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, chr(10) || '+'), lambda x: trim(x) <> '') AS l FROM documents)") + f""", lk AS (SELECT doc_id, row_number() OVER w - 1 AS ordinal, text, right(lag(text) OVER w, 100) AS before FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+ ft AS (SELECT doc_id, ordinal, coalesce(before || chr(10), '') || text AS t FROM lk), kn AS (SELECT DISTINCT t FROM ft WHERE doc_id % 10 = 0)
+ SELECT doc_id, ordinal, {retrieval_queries._KIND} AS source_type, CASE WHEN kn.t IS NULL THEN length(ft.t) ELSE -1 END::DOUBLE AS a, CASE WHEN kn.t IS NULL THEN length(ft.t) - length(replace(ft.t, 'a', '')) ELSE 0 END::DOUBLE AS b FROM ft JOIN documents USING (doc_id) LEFT JOIN kn ON kn.t = ft.t""",
     "message_assembly": "WITH p AS (SELECT conv_id AS request, turn, text, CASE WHEN turn = 0 THEN 6 WHEN role = 'system' THEN 1 WHEN turn % 3 = 0 THEN 3 ELSE 4 END AS o FROM conversations WHERE text <> '') SELECT request, md5(string_agg(text, chr(10) || chr(10) ORDER BY o, turn)) AS text_md5, CAST(sum(length(text)) AS BIGINT) AS chars FROM p GROUP BY request",
     "summary_slots": "SELECT p_partkey, p_type AS a, p_name AS b, '' AS c FROM part",
     "page_prefix": "SELECT p_partkey, '[' || p_brand || '] ' || p_name || ', page ' || CAST(p_size AS VARCHAR) || ' of 50 (' || p_type || ')' AS prefix, 'I am ' || p_name || '.' AS greeting FROM part",

@@ -46,6 +46,11 @@ def limiter_sliding(spark, sf):
     return limits.limited(_timed(spark, sf), lambda: limits.SlidingLog(2))
 
 
+def answer_cache(spark, sf):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return limits.limited(table(spark, sf, "events").select((F.col("user_id") % 10).alias("user_id"), "event_id", t.alias("t")), lambda: limits.AnswerCache(7200.0))
+
+
 def decision_dedup(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.col("user_id").alias("run"), (F.col("event_id") % 4).alias("decision"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_type") != "signup", F.col("user_id") % 4).alias("waiting"))
@@ -131,7 +136,7 @@ def lorebook(spark, sf):
     return story.lorebook(q, entries, 2).select("query_id", F.col("rank").cast("long").alias("rank"), "keyword", "content")
 
 
-QUERIES = {f.__name__: f for f in (memory_topk, memory_cap, near_dup_argmax, memory_merge, limiter_fixed, limiter_sliding, decision_dedup, transcript_ids, bid_validate, bid_rank, bid_counts, lease_gaps, unaccounted, tool_calls, state_patch_fold, state_sync, marker_blocks, lorebook)}
+QUERIES = {f.__name__: f for f in (memory_topk, memory_cap, near_dup_argmax, memory_merge, limiter_fixed, limiter_sliding, answer_cache, decision_dedup, transcript_ids, bid_validate, bid_rank, bid_counts, lease_gaps, unaccounted, tool_calls, state_patch_fold, state_sync, marker_blocks, lorebook)}
 
 _I = "it AS (SELECT vec_id % 20 AS user_id, vec_id AS id, CASE WHEN label % 2 = 0 THEN 'profile' ELSE 'topic' END AS kind, 't' || CAST(vec_id % 37 AS VARCHAR) AS text, embedding::DOUBLE[] AS vec, vec_id * 7 % 101 AS updated_at FROM embeddings)"
 _BID = """tn AS (SELECT conv_id AS run, 'turn-' || CAST(turn AS VARCHAR) AS turn_id, role AS speaker, text AS content FROM conversations),
@@ -149,10 +154,15 @@ _FIXED = f"""WITH RECURSIVE {_TIMED}, st AS (SELECT user_id, event_id, n, t AS m
  UNION ALL SELECT user_id, event_id, n, m, d, CAST(mc + ok AS INT), CAST(dc + ok AS INT), ok = 1 FROM (SELECT *, CAST(mc < 2 AND dc < 100 AS INT) AS ok FROM (SELECT tm.user_id, tm.event_id, tm.n, CASE WHEN tm.t - m > 60 THEN tm.t ELSE m END AS m, CASE WHEN tm.t - d > 86400 THEN tm.t ELSE d END AS d, CASE WHEN tm.t - m > 60 THEN 0 ELSE mc END AS mc, CASE WHEN tm.t - d > 86400 THEN 0 ELSE dc END AS dc FROM st JOIN tm ON tm.user_id = st.user_id AND tm.n = st.n + 1)))
  SELECT user_id, event_id, accepted FROM st"""
 
+_SLIDING = f"""WITH RECURSIVE {_TIMED}, st AS (SELECT user_id, event_id, n, t AS a, NULL::DOUBLE AS b, TRUE AS accepted FROM tm WHERE n = 1
+ UNION ALL SELECT tm.user_id, tm.event_id, tm.n, CASE WHEN b IS NULL OR tm.t - b > 60 THEN tm.t ELSE a END, CASE WHEN b IS NULL OR tm.t - b > 60 THEN a ELSE b END, b IS NULL OR tm.t - b > 60 FROM st JOIN tm ON tm.user_id = st.user_id AND tm.n = st.n + 1) SELECT user_id, event_id, accepted FROM st"""
+_ANSWERS = f"""WITH RECURSIVE {_TIMED.replace(" / 30", "")}, st AS (SELECT user_id, event_id, n, t AS since, TRUE AS accepted FROM tm WHERE n = 1
+ UNION ALL SELECT tm.user_id, tm.event_id, tm.n, CASE WHEN tm.t - since > 7200 THEN tm.t ELSE since END, tm.t - since > 7200 FROM st JOIN tm ON tm.user_id = st.user_id AND tm.n = st.n + 1) SELECT user_id, event_id, accepted FROM st"""
+
 ORACLES = {
     "limiter_fixed": _FIXED,
-    "limiter_sliding": f"""WITH RECURSIVE {_TIMED}, st AS (SELECT user_id, event_id, n, t AS a, NULL::DOUBLE AS b, TRUE AS accepted FROM tm WHERE n = 1
- UNION ALL SELECT tm.user_id, tm.event_id, tm.n, CASE WHEN b IS NULL OR tm.t - b > 60 THEN tm.t ELSE a END, CASE WHEN b IS NULL OR tm.t - b > 60 THEN a ELSE b END, b IS NULL OR tm.t - b > 60 FROM st JOIN tm ON tm.user_id = st.user_id AND tm.n = st.n + 1) SELECT user_id, event_id, accepted FROM st""",
+    "limiter_sliding": _SLIDING,
+    "answer_cache": _ANSWERS,
     "memory_topk": f"""WITH {_I}, q AS (SELECT id AS query_id, id % 400 // 20 AS user_id, vec AS qv FROM it WHERE id % 20 = 0), b AS (SELECT * FROM it JOIN q USING (user_id)),
  p AS (SELECT query_id, id, text, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, id DESC) AS rn, NULL::DOUBLE AS sim FROM b WHERE kind = 'profile'),
  s AS (SELECT query_id, id, text, 1 AS part, round(list_dot_product(vec, qv), 6) AS sim FROM b WHERE kind = 'topic'), t AS (SELECT query_id, id, text, part, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn, sim FROM s),

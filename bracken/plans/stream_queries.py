@@ -15,12 +15,36 @@ def stream_hourly(spark, sf):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def stream_hourly_closed(spark, sf):
+    """In append mode: windows that the watermark has passed; their state is dropped."""
+    out = drained(spark, windows.windowed(stream(spark, sf, "events")))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def stream_limiter(spark, sf):
     e = stream(spark, sf, "events")
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return drained(spark, keyed.limited(e.select((F.col("user_id") % 10).alias("user_id"), "event_id", (t / 30).alias("t")), 2, 100))
 
 
+def stream_sliding(spark, sf):
+    e = stream(spark, sf, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return drained(spark, keyed.limited_sliding(e.select((F.col("user_id") % 10).alias("user_id"), "event_id", (t / 30).alias("t")), 2))
+
+
+def stream_answers(spark, sf):
+    e = stream(spark, sf, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return drained(spark, keyed.first_answers(e.select((F.col("user_id") % 10).alias("user_id"), "event_id", t.alias("t")), 7200.0))
+
+
+def stream_sessions(spark, sf):
+    """In complete mode, so that it equals the batch."""
+    out = drained(spark, windows.sessions(stream(spark, sf, "events")), "complete")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 def stream_markers(spark, sf):
     c = stream(spark, sf, "conversations")
     token = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("<state>"), F.col("text"))).when(F.col("turn") % 3 == 2, F.concat(F.col("text"), F.lit("</state>"))).otherwise(F.col("text"))
@@ -28,10 +52,14 @@ def stream_markers(spark, sf):
     return out.select("msg", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_limiter, stream_markers)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_hourly_closed, stream_limiter, stream_sliding, stream_answers, stream_sessions, stream_markers)}
 _TOKEN = "CASE turn % 3 WHEN 1 THEN '<state>' || text WHEN 2 THEN text || '</state>' ELSE text END"
 ORACLES = {
+    "stream_hourly_closed": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES GROUP BY 1, 2, date_trunc('hour', ts)",
     "stream_limiter": state_queries._FIXED,
+    "stream_sliding": state_queries._SLIDING,
+    "stream_answers": state_queries._ANSWERS,
+    "stream_sessions": "WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "stream_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_markers": f"SELECT conv_id AS msg, md5(regexp_replace(string_agg({_TOKEN}, '' ORDER BY turn), '(?s)<state>.*?</state>', '', 'g')) AS text_md5 FROM conversations GROUP BY conv_id",
 }

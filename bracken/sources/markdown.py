@@ -1,4 +1,8 @@
-"""Block elements of markdown, definitions in code."""
+"""Block elements of markdown, definitions in code.
+
+Blocks depend on what is open before them (a fence, a list), line by line, which no expression over columns has; a
+document is parsed as a whole where it lies, in Arrow batches.
+"""
 
 from __future__ import annotations
 

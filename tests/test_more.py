@@ -124,3 +124,20 @@ def test_lookups_reach_the_scan(spark, tmp_path):
     rows = usage.lookup(spark.read.parquet(str(tmp_path / "t")), {"s": "a"}, "id", F.lit(10), F.lit(20))
     plan = rows._jdf.queryExecution().toString()
     assert rows.count() == 10 and "GreaterThanOrEqual(id,10)" in plan and "EqualTo(s,a)" in plan
+
+
+def test_keyed_state_lasts_over_triggers_and_expires(spark, tmp_path):
+    from bracken.operators import limits
+    from bracken.streaming import keyed
+    from bracken.streaming.run import drained
+
+    schema = "user_id long, event_id long, t double"
+    rows = [(u, 100 * u + i, 40.0 * i + u) for u in (1, 2) for i in range(30)] + [(3, 900, 5.0), (3, 901, 400_000.0)]
+    parts = [[r for r in rows if r[2] < 500], [r for r in rows if 500 <= r[2] < 2000], [r for r in rows if r[2] >= 2000]]
+    for make, plan in ((lambda: limits.FixedWindow(1, 9), lambda e: keyed.limited(e, 1, 9, "1 minute")), (lambda: limits.SlidingLog(1), lambda e: keyed.limited_sliding(e, 1, "1 minute")), (lambda: limits.AnswerCache(100.0), lambda e: keyed.first_answers(e, 100.0, "1 minute"))):
+        at = tmp_path / str(len(list(tmp_path.iterdir())))
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(at / "in"))
+            got = drained(spark, plan(spark.readStream.schema(schema).parquet(str(at / "in"))), at=str(at / "s"))
+        want = limits.limited(spark.createDataFrame(rows, schema), make)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
