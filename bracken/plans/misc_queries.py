@@ -120,6 +120,12 @@ def ingest_chunks(spark, sf):
 
 QUERIES = {f.__name__: f for f in (message_assembly, summary_slots, page_prefix, dpi_choice, budget_gate, job_status, cache_keys, file_routes, code_definitions, markdown_elements, merged_rows, loose_json, strict_json, decoded_texts, shallowest_files, rerank_scores, ingest_chunks)}
 ORACLES = {
+    "markdown_elements": r"""WITH d AS (SELECT doc_id, '# ' || source || chr(10) || text || chr(10) || chr(10) || '- one' || chr(10) || '- two' AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
+ k AS (SELECT *, CASE WHEN regexp_full_match(line, '\s*') THEN 'blank' WHEN regexp_matches(line, '^#{1,6}\s+.') THEN 'heading' WHEN regexp_matches(line, '^\s*\|') THEN 'table' WHEN regexp_matches(line, '^\s*(?:[-*+]|\d+[.)])\s+') THEN 'list' ELSE 'paragraph' END AS kind FROM l),
+ n AS (SELECT *, CASE WHEN kind = 'heading' OR kind <> lag(kind, 1, '') OVER w THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY p)), i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM n),
+ e AS (SELECT doc_id, island, kind, string_agg(line, chr(10) ORDER BY p) AS c FROM i WHERE kind <> 'blank' GROUP BY ALL),
+ o AS (SELECT doc_id, island, kind, CASE WHEN kind = 'heading' THEN length(regexp_extract(c, '^(#+)', 1)) ELSE 0 END AS level, CASE WHEN kind = 'heading' THEN regexp_extract(c, '^#{1,6}\s+(.+?)\s*#*$', 1) ELSE regexp_replace(c, '^\s+|\s+$', '', 'g') END AS content FROM e UNION ALL SELECT doc_id, 1000000, 'paragraph', 0, 'end' FROM documents UNION ALL SELECT doc_id, 1000001, 'code', 0, 'x = 1' FROM documents)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS pos, kind, level, content FROM o""",
     "strict_json": "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'duplicate key' WHEN 2 THEN 'constant NaN' WHEN 3 THEN 'type of k' END AS error FROM events",
     "decoded_texts": "WITH d AS (SELECT doc_id, '书 ' || regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS text_md5, length(regexp_replace(t, '[\\s\\x0b\\x1c-\\x1f]', '', 'g')) AS chars FROM d",
     "shallowest_files": "WITH f AS (SELECT repeat('/d', CAST(p_partkey % 4 + 1 AS INT)) || '/f' || CAST(p_partkey AS VARCHAR) AS path, p_partkey % 97 AS sha, p_partkey % 4 AS depth FROM part) SELECT path, first_value(path) OVER (PARTITION BY sha ORDER BY depth, path) AS keeper FROM f",

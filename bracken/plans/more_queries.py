@@ -197,6 +197,20 @@ _TURNS = "tp AS (SELECT conv_id, turn, text AS question, role, lead(role) OVER w
 _F = "regexp_replace(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), chr(10), ' ', 'g')"
 
 ORACLES = {
+    "bid_loop": """WITH RECURSIVE rw AS (SELECT user_id % 40 AS run, event_id % 7 + 1 AS round, 's' || CAST(event_id % 4 AS VARCHAR) AS speaker, max(event_id % 5 <> 0) AS want, max(event_id % 3 + 1) AS urgency, bool_or(event_id % 6 = 0) AS bad FROM events WHERE (event_id % 7 + 1 + user_id % 40) % 5 <> 0 GROUP BY 1, 2, 3),
+ rb AS MATERIALIZED (SELECT run, list({'round': round, 'speaker': speaker, 'urgency': urgency}) FILTER (want AND NOT bad) AS bids FROM rw GROUP BY run),
+ se AS (SELECT run, unnest(range(0, run % 4 + 1)) AS seat FROM (SELECT DISTINCT user_id % 40 AS run FROM events)), ro AS (SELECT run, count(*) AS calls, list({'speaker': 's' || CAST(seat AS VARCHAR), 'speeches': 1::BIGINT, 'spoke': 0::BIGINT} ORDER BY seat) AS ledger FROM se GROUP BY run),
+ st AS (SELECT run, 0::BIGINT AS n, 0::BIGINT AS rounds, calls, '' AS last, '' AS reason, []::VARCHAR[] AS winners, ledger FROM ro
+ UNION ALL SELECT run, n + 1, CASE WHEN goes THEN n + 1 ELSE rounds END, CASE WHEN reason <> '' OR stop <> '' THEN calls WHEN goes THEN calls + len(free) + 1 ELSE calls + len(free) END, CASE WHEN goes THEN best ELSE last END,
+  CASE WHEN reason <> '' THEN reason WHEN stop <> '' THEN stop WHEN best IS NULL THEN 'host' ELSE '' END, CASE WHEN goes THEN list_append(winners, best) ELSE winners END,
+  CASE WHEN goes THEN list_transform(ledger, lambda x: CASE WHEN x.speaker = best THEN {'speaker': x.speaker, 'speeches': x.speeches + 1, 'spoke': n + 1} ELSE x END) ELSE ledger END
+  FROM (SELECT *, reason = '' AND stop = '' AND best IS NOT NULL AS goes FROM (SELECT *, CASE WHEN len(free) = 0 THEN 'quota' WHEN calls + len(free) + 1 > 20 THEN 'budget' ELSE '' END AS stop,
+   list_sort(list_transform(list_filter(coalesce(bids, []), lambda b: b.round = n + 1 AND list_contains(list_transform(free, lambda y: y.speaker), b.speaker)), lambda b: {'u': -b.urgency, 's': list_filter(ledger, lambda y: y.speaker = b.speaker)[1].spoke, 'who': b.speaker}))[1].who AS best
+   FROM (SELECT st.*, bids, list_filter(ledger, lambda x: x.speeches < 3 AND x.speaker <> last) AS free FROM st LEFT JOIN rb ON rb.run = st.run WHERE n < 6))))
+ SELECT run, array_to_string(winners, ',') AS winners, CASE reason WHEN '' THEN 'rounds' ELSE reason END AS reason, rounds, calls FROM st WHERE n = 6""",
+    "lease_fencing": """WITH RECURSIVE tm AS MATERIALIZED (SELECT user_id % 20 AS user_id, event_id, event_type AS owner, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events),
+ st AS (SELECT user_id, event_id, n, owner, t + 3600 AS until, TRUE AS accepted FROM tm WHERE n = 1
+ UNION ALL SELECT user_id, event_id, n, CASE WHEN ok THEN own ELSE owner END, CASE WHEN ok THEN t + 3600 ELSE until END, ok FROM (SELECT tm.user_id, tm.event_id, tm.n, tm.owner AS own, tm.t, st.owner, until, tm.owner = st.owner OR tm.t > until AS ok FROM st JOIN tm ON tm.user_id = st.user_id AND tm.n = st.n + 1)) SELECT user_id, event_id, accepted FROM st""",
     "page_lines": f"WITH {_LINES} SELECT * FROM lk",
     "page_elements": f"""WITH {_LINES}, hd AS (SELECT *, size = 14.0 AND length(text) <= 45 AS head FROM lk), il AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY page ORDER BY pos) AS island FROM hd)
  SELECT doc, page, min(pos) AS pos, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN head THEN 1::BIGINT END AS level, string_agg(text, ' ' ORDER BY pos) AS content FROM il GROUP BY doc, page, island, head""",

@@ -163,6 +163,11 @@ ORACLES = {
     "limiter_fixed": _FIXED,
     "limiter_sliding": _SLIDING,
     "answer_cache": _ANSWERS,
+    "memory_merge": f"""WITH RECURSIVE {_I}, s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY id) AS n FROM it),
+ f AS (SELECT user_id, kind, n, [{{'id': id, 'vec': vec, 'text': text, 'updates': 0::BIGINT}}] AS kept FROM s WHERE n = 1
+ UNION ALL SELECT user_id, kind, n, CASE WHEN list_max(sims) >= 0.5 THEN list_transform(kept, lambda k, i: CASE WHEN i = list_position(sims, list_max(sims)) THEN {{'id': k.id, 'vec': vec, 'text': text, 'updates': k.updates + 1}} ELSE k END) ELSE list_append(kept, {{'id': id, 'vec': vec, 'text': text, 'updates': 0::BIGINT}}) END
+ FROM (SELECT s.user_id, s.kind, s.n, s.id, s.vec, s.text, kept, list_transform(kept, lambda k: list_dot_product(k.vec, s.vec)) AS sims FROM f JOIN s ON s.user_id = f.user_id AND s.kind = f.kind AND s.n = f.n + 1)),
+ e AS (SELECT user_id, kind, unnest(kept) AS k FROM f WHERE n = (SELECT max(n) FROM s WHERE s.user_id = f.user_id AND s.kind = f.kind)) SELECT user_id, kind, k.id AS id, k.text AS text, k.updates AS updates FROM e""",
     "memory_topk": f"""WITH {_I}, q AS (SELECT id AS query_id, id % 400 // 20 AS user_id, vec AS qv FROM it WHERE id % 20 = 0), b AS (SELECT * FROM it JOIN q USING (user_id)),
  p AS (SELECT query_id, id, text, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, id DESC) AS rn, NULL::DOUBLE AS sim FROM b WHERE kind = 'profile'),
  s AS (SELECT query_id, id, text, 1 AS part, round(list_dot_product(vec, qv), 6) AS sim FROM b WHERE kind = 'topic'), t AS (SELECT query_id, id, text, part, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn, sim FROM s),
