@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q01", "q02", "q03", "q04", "q05", "q06", "q07", "q08", "q09", "q10")
+MODULES = ("q01", "q02", "q03", "q04", "q05", "q06", "q07", "q08", "q09", "q10", "q11", "q12", "q13")
 
 
 def _gather(what: str) -> dict:
