@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..functions import text as T
-from ..operators import chunk, fusion, lexical, vector
-from ..session import table
+from ..operators import chunk, fusion, segments, vector
+from ..session import shared_path, table
 
 POOL, FETCH = fusion.depths()
-_indexes: dict[tuple[str, str], lexical.Index] = {}
 
 
 def _docs(spark, sf) -> DataFrame:
@@ -22,20 +21,33 @@ def _queries(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _index(spark, sf) -> lexical.Index:
-    """The index of the documents, written once for an application."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _indexes:
-        _indexes[key] = lexical.index(_docs(spark, sf))
-    return _indexes[key]
+def _index(spark, sf) -> segments.Index:
+    """The index of the documents, which follows their files."""
+    return segments.following(_docs(spark, sf), sf)
 
 
 def bm25_term_stats(spark, sf):
     return _index(spark, sf).stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("doc").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
+
+
 def bm25_topk(spark, sf):
-    return lexical.top(lexical.bm25(_index(spark, sf), _queries(spark, sf)), 10).select("query_id", F.col("doc").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
+    return _ranked(segments.search(_index(spark, sf), _queries(spark, sf), 10))
+
+
+def bm25_after_changes(spark, sf):
+    """SNK-03, RET-01: an index of all sources but one gets that one appended, loses a language, is merged and loses another;
+    documents without a language stay."""
+    docs = _docs(spark, sf)
+    late = F.coalesce(F.col("source") == "src1", F.lit(False))
+    index = segments.create(docs.filter(~late), shared_path(spark, "changed-index"))
+    index = segments.append(index, docs.filter(late))
+    index = segments.merge(segments.delete(index, docs.filter("lang = 'de'")))
+    index = segments.delete(index, docs.filter("lang = 'fr'"))
+    return _ranked(segments.search(index, _queries(spark, sf), 10))
 
 
 def vector_topk(spark, sf):
@@ -71,7 +83,7 @@ def _routes(spark, sf) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf, "embeddings")
     known = v.join(_docs(spark, sf).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     near = vector.topk(known, v.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), FETCH, itself=True)
-    return near, lexical.top(lexical.bm25(_index(spark, sf), queries), FETCH)
+    return near, segments.search(_index(spark, sf), queries, FETCH)
 
 
 def _boards(spark, sf) -> DataFrame:
@@ -186,7 +198,7 @@ def page_chunks(spark, sf):
     return c.select("doc", "page_num", F.col("piece").cast("long").alias("piece"), F.col("char_length").cast("long").alias("char_length"), "has_overlap", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_topk, vector_topk, vector_validation, source_weights, source_distribution, retag_report, rrf_fusion, rrf_contrib, hybrid_two_segment, rank_swap, retrieval_modes, retrieval_trace, returned_sources, semantic_cache, page_chunks, numbering_two_series, context_assembly, cont_tail, fixed_slice_overlap, chunk_documents)}
+QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_topk, bm25_after_changes, vector_topk, vector_validation, source_weights, source_distribution, retag_report, rrf_fusion, rrf_contrib, hybrid_two_segment, rank_swap, retrieval_modes, retrieval_trace, returned_sources, semantic_cache, page_chunks, numbering_two_series, context_assembly, cont_tail, fixed_slice_overlap, chunk_documents)}
 
 _TOK = r"regexp_extract_all(regexp_replace(text, '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '\S+')"
 _STATS = f"""tok AS (SELECT doc_id, {_TOK} AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM tok), word AS (SELECT doc_id, unnest(w) AS term FROM tok),
@@ -258,7 +270,8 @@ _RT = r"regexp_replace(text, '\s+$', '')"
 _TAIL = r"regexp_replace(tail, '^\s+|\s+$', '', 'g')"
 
 ORACLES = {
-    "bm25_term_stats": f"WITH d AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), dfs AS (SELECT term, count(*) AS df FROM d GROUP BY term), raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs), m AS (SELECT avg(raw) AS m FROM raw) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END, 6) AS idf FROM raw, m",
+    "bm25_term_stats": f"""WITH d AS MATERIALIZED (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM d GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+ raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs CROSS JOIN n), m AS (SELECT avg(raw) AS m FROM raw) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END, 6) AS idf FROM raw CROSS JOIN m""",
     "retrieval_modes": f"""WITH {_SELECT}, {_LEXICAL} SELECT 'hybrid' AS mode, query_id, doc_id, rank FROM picked UNION ALL SELECT 'agent hybrid', query_id, doc_id, rank FROM picked UNION ALL SELECT 'vector_only', query_id, doc_id, rank FROM vsr WHERE rank < 6 UNION ALL SELECT 'lexical_only', query_id, doc_id, rank FROM lp WHERE rank < 6""",
     "retrieval_trace": f"WITH {_SELECT} SELECT query_id, doc_id, vector_rank, bm25_rank, rrf_rank, rank, rrf_rank - rank AS moved, rrf_rank < 3 AS anchor, 'hybrid' AS mode FROM picked",
     "returned_sources": f"WITH {_SELECT} SELECT query_id, {_KIND} AS source_type, count(*) AS n FROM picked GROUP BY ALL",
@@ -272,6 +285,7 @@ ORACLES = {
  fl AS (SELECT *, {_stripped("coalesce(before || chr(10), '') || text")} AS t FROM lk)
  SELECT source AS doc, doc_id AS page_num, piece, length(t) AS char_length, n > 1 AS has_overlap, md5(t) AS text_md5 FROM fl JOIN documents USING (doc_id)""",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM bmr WHERE rank < 10 AND score > 0",
+    "bm25_after_changes": f"WITH live AS MATERIALIZED (SELECT * FROM documents WHERE lang IS NULL OR lang NOT IN ('de', 'fr')), {_BM25.replace('FROM documents', 'FROM live')} SELECT query_id, doc_id, rank, score FROM bmr WHERE rank < 10 AND score > 0",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) SELECT query_id, vec_id, rank, score FROM r WHERE rank < 10""",
     "vector_validation": "SELECT vec_id, vec_id % 7 = 0 AS invalid FROM embeddings",
