@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ WINDOW = 256
 PROBE = 8
 #: Decimals of scores, and what rounding may add to one.
 PLACES, SLACK = 6, 1e-6
+#: Entries that a task hands on at once.
+HELD = 100_000
+#: TXT-01 as one pattern: a Chinese character, or a run of others that are no white space.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_TOKENS = re.compile(f"[\\u4e00-\\u9fff]|[^{_SPACE}\\u4e00-\\u9fff]+")
 _BLOCKS = "term string, block long, n long, max_tf long, min_dl long, entries array<struct<doc:long,tf:long,dl:long>>"
 
 
@@ -122,26 +128,31 @@ def opened(spark: SparkSession, path: str, version: int | None = None) -> Index:
 
 def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, doc, tf, dl), and a row without a term for each document; a text's words are counted where it lies."""
-    words = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), lexical.T.index_tokens(F.col(text_col)).alias("words"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, doc = b.column("words"), b.column("doc").to_numpy()
-            dl = np.diff(lists.offsets.to_numpy())
-            coded = lists.flatten().dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            at, tf = np.unique(np.repeat(np.arange(len(doc)), dl) * size + coded.indices.to_numpy(), return_counts=True)
-            row, code = at // size, at % size
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code)).cast(pa.string()), *(pa.array(x.astype(np.int64)) for x in (doc[row], tf, dl[row]))], ["term", "doc", "tf", "dl"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.string()), *(pa.array(x.astype(np.int64)) for x in (doc, np.zeros(len(doc)), dl))], ["term", "doc", "tf", "dl"])
-
-    return words.mapInArrow(run, "term string, doc long, tf long, dl long")
+            term, doc, tf, dl = [], [], [], []
+            for d, text in zip(b.column("doc").to_pylist(), b.column("text")):
+                words = _TOKENS.findall(text.as_py() or "")
+                found = Counter(words)
+                term += [None, *found]
+                tf += [0, *found.values()]
+                doc += [d] * (len(found) + 1)
+                dl += [len(words)] * (len(found) + 1)
+                if len(term) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), *(pa.array(x, pa.int64()) for x in (doc, tf, dl))], ["term", "doc", "tf", "dl"])
+                    term, doc, tf, dl = [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), *(pa.array(x, pa.int64()) for x in (doc, tf, dl))], ["term", "doc", "tf", "dl"])
+
+    return rows.mapInArrow(run, "term string, doc long, tf long, dl long")
 
 
 def _segment(index: Index, entries: DataFrame, window: int) -> tuple[str, DataFrame, int, int]:
     """Writes the blocks of (term, doc, tf, dl); (name, their (term, df), documents, words)."""
     name = f"segment-{uuid.uuid4().hex}"
-    blocks = entries.groupBy("term", F.floor(F.col("doc") / window).alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "dl"))).alias("entries"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    dealt = entries.withColumn("block", F.floor(F.col("doc") / window)).repartition("term", "block")  # a block's entries are few and distinct: nothing to fold before
+    blocks = dealt.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "dl"))).alias("entries"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     blocks = blocks.select("term", "block", F.size("entries").cast("long").alias("n"), "max_tf", "min_dl", "entries")
     blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{index.path}/{name}")
     made = index.spark.read.schema(_BLOCKS).parquet(f"{index.path}/{name}")
@@ -212,22 +223,18 @@ def vacuum(index: Index) -> None:
             fs.delete(s.getPath(), True)
 
 
-def _read(index: Index, asked: DataFrame) -> DataFrame:
-    """Blocks of the terms that are asked for; few terms are looked up in the files."""
-    few = [r[0] for r in asked.select("term").distinct().limit(lexical.FEW_TERMS + 1).collect()]
-    if len(few) <= lexical.FEW_TERMS:
-        return index.blocks.filter(F.col("term").isin(few))
-    return index.blocks.join(small(asked.select("term").distinct()), "term", "left_semi")
-
-
 def bounds(index: Index, queries: DataFrame, query_id: str = "query_id", text_col: str = "text", k1: float = P.BM25_K1, b: float = P.BM25_B) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((query_id, segment, block, bound), the asked terms (query_id, term, weight), their blocks)."""
-    asked = lexical._asked(queries, query_id, text_col)
-    asked = shared_table(small(asked).join(index.stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
-    blocks = _read(index, asked)
+    """((query_id, segment, block, bound), the asked terms (query_id, term, weight), their blocks). Few terms are looked up in
+    the files by value."""
+    asked = shared_table(lexical._asked(queries, query_id, text_col), "asked")
+    terms = [r[0] for r in asked.select("term").distinct().limit(lexical.FEW_TERMS + 1).collect()]
+    few = len(terms) <= lexical.FEW_TERMS
+    stats = index.stats.filter(F.col("term").isin(terms)) if few else index.stats
+    asked = small(shared_table(small(asked).join(stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights"))
+    blocks = index.blocks.filter(F.col("term").isin(terms)) if few else index.blocks
     most = _gain(index, F.col("max_tf"), F.col("min_dl"), k1, b)
     part = F.greatest(F.lit(0.0), F.col("weight") * most)
-    found = blocks.select("segment", "term", "block", "max_tf", "min_dl").join(small(asked), "term")
+    found = blocks.select("segment", "term", "block", "max_tf", "min_dl").join(asked, "term")
     return found.groupBy("query_id", "segment", "block").agg(F.sum(part).alias("bound")), asked, blocks
 
 
@@ -242,7 +249,7 @@ def search(index: Index, queries: DataFrame, k: int, query_id: str = "query_id",
     found = shared_table(found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block"))), "bounds")
 
     def scored(wanted: DataFrame) -> DataFrame:
-        need = small(wanted.select("query_id", "segment", "block")).join(small(asked), "query_id")
+        need = wanted.select("query_id", "segment", "block").join(asked, "query_id")
         hits = index.live(blocks.join(need, ["segment", "term", "block"]).select("segment", "query_id", "weight", "entries"))
         score = F.round(F.sum(F.col("weight") * _gain(index, F.col("tf"), F.col("dl"), k1, b)), PLACES)
         return hits.groupBy("query_id", "doc").agg(score.alias("score"))
