@@ -151,10 +151,11 @@ def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _segment(index: Index, entries: DataFrame, window: int) -> tuple[str, DataFrame, int, int]:
     """Writes the blocks of (term, doc, tf, dl); (name, their (term, df), documents, words)."""
     name = f"segment-{uuid.uuid4().hex}"
-    dealt = entries.withColumn("block", F.floor(F.col("doc") / window)).repartition("term", "block")  # a block's entries are few and distinct: nothing to fold before
+    # one shuffle by range: equal keys lie in one partition, where they are grouped and written in order
+    dealt = entries.withColumn("block", F.floor(F.col("doc") / window)).repartitionByRange("term", "block")
     blocks = dealt.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "dl"))).alias("entries"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     blocks = blocks.select("term", "block", F.size("entries").cast("long").alias("n"), "max_tf", "min_dl", "entries")
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{index.path}/{name}")
+    blocks.sortWithinPartitions("term", "block").write.parquet(f"{index.path}/{name}")
     made = index.spark.read.schema(_BLOCKS).parquet(f"{index.path}/{name}")
     n, words = made.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.aggregate("entries", F.lit(0).cast("long"), lambda s, e: s + e["dl"])), F.lit(0))).first()
     return name, made.groupBy("term").agg(F.sum("n").alias("df")), n, words
