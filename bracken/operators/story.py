@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import small
+from . import patterns
 
 OPEN, CLOSE = "<state>", "</state>"
 
@@ -89,6 +90,7 @@ def lorebook(queries: DataFrame, entries: DataFrame, most: int = 4) -> DataFrame
     """JN-17, MIS-01 over (query_id, scan) and (ord, keyword, content): entries whose keyword the scan has, in the
     order of the book, each keyword once."""
     e = entries.filter(F.trim(F.coalesce("keyword", F.lit(""))) != "").groupBy("keyword").agg(F.min("ord").alias("ord"), F.min_by("content", "ord").alias("content"))
-    hits = queries.join(small(e, 10_000), F.contains("scan", "keyword"))
+    found = patterns.hits(queries, e, "query_id", "scan", "keyword").select(F.col("id").alias("query_id"), F.col("pattern").alias("keyword")).distinct()
+    hits = found.join(e, "keyword")
     w = Window.partitionBy("query_id").orderBy("ord")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "rank", "keyword", "content")
