@@ -13,6 +13,8 @@ from ..functions import profiles as P
 
 #: Queries that are broadcast at once: 20,000 of 64 floats are 5 MB.
 QUERY_BLOCK = 20_000
+#: Vectors of a block, and so many groups of them at most, which the blocks of queries are copied to.
+VECTOR_BLOCK, MAX_GROUPS = 4096, 4096
 #: Products of a batch that are made at once: 16 MB.
 CELLS = 2_000_000
 
@@ -46,47 +48,77 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     """TOP-02: (query_id, doc, score, rank) of the k nearest of each query by cosine, all pairs considered; among
     rows that are equal in ``within`` if given. A query's own id is left out unless ``itself``.
 
-    Queries are dealt over blocks of bounded size by hash; each block is broadcast and every batch of
-    vectors gives its k best for each query of the block, so the shuffle carries k rows a query and task.
-    A batch is multiplied with as many queries at a time as make CELLS products.
+    Up to QUERY_BLOCK queries are broadcast. More are dealt in blocks, and each block of queries meets each block of vectors
+    in one row of a join on groups of vector blocks, so that no side is gathered. Of every pair of blocks the k best for
+    each query are shuffled. A batch is multiplied with as many queries at a time as make CELLS products.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    spark, out = vectors.sparkSession, None
     group = F.xxhash64(*within) if within else F.lit(0).cast("long")
-    for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == block).select(id_col, vec_col, group.alias("_g")).toArrow()
-        if not rows.num_rows:
-            continue
-        matrix = np.stack(rows[vec_col].to_pylist()).astype(np.float64)
-        held = spark.sparkContext.broadcast((rows[id_col].to_numpy(), rows["_g"].to_numpy(), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
-
-        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, groups, q = held.value
+    as_rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), group.alias("g"), F.col(vec_col).alias("v"))
+    n = queries.count()
+
+    def pairs(q_ids: np.ndarray, q_groups: np.ndarray, q: np.ndarray, ids: np.ndarray, groups: np.ndarray, v: np.ndarray) -> Iterator[pd.DataFrame]:
+        step = max(1, CELLS // len(ids))
+        for at in range(0, len(q_ids), step):
+            cosine = np.round(q[at : at + step] @ v.T, 6)
+            if not itself:
+                cosine[q_ids[at : at + step, None] == ids[None, :]] = -np.inf
+            if within:
+                cosine[q_groups[at : at + step, None] != groups[None, :]] = -np.inf
+            row, col = _best(cosine, ids, k)
+            yield pd.DataFrame({"query_id": q_ids[at + row], "doc": ids[col], "score": cosine[row, col]})
+
+    schema = "query_id long, doc long, score double"
+    if n <= QUERY_BLOCK:
+        rows = as_rows(queries).toArrow()
+        held = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), rows["g"].to_numpy(), _units(rows["v"].to_pylist())))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                if not len(b):
-                    continue
-                own, of = b["id"].to_numpy(), b["g"].to_numpy()
-                v = np.stack(b["v"].to_list()).astype(np.float64)
-                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                step = max(1, CELLS // len(own))
-                for at in range(0, len(ids), step):
-                    cosine = np.round(q[at : at + step] @ v, 6)
-                    if not itself:
-                        cosine[ids[at : at + step, None] == own[None, :]] = -np.inf
-                    if within:
-                        cosine[groups[at : at + step, None] != of[None, :]] = -np.inf
-                    row, col = _best(cosine, own, k)
-                    yield pd.DataFrame({"query_id": ids[at + row], "doc": own[col], "score": cosine[row, col]})
-
-        part = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), group.alias("g")).mapInPandas(best, "query_id long, doc long, score double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return vectors.limit(0).select(F.col(id_col).cast("long").alias("query_id"), F.col(id_col).cast("long").alias("doc"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+                if len(b) and len(held.value[0]):
+                    yield from pairs(*held.value, b["id"].to_numpy(), b["g"].to_numpy(), _units(b["v"].to_list()))
+
+        out = as_rows(vectors).mapInPandas(best, schema)
+    else:
+        groups = max(1, min(MAX_GROUPS, -(-vectors.count() // VECTOR_BLOCK)))
+        left = as_rows(queries).mapInPandas(_packed(QUERY_BLOCK // 16), _PACKED).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        right = as_rows(vectors).mapInPandas(_packed(VECTOR_BLOCK), _PACKED).withColumn("at", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+        met = left.select("at", *[F.col(c).alias(f"q_{c}") for c in ("ids", "gs", "vs")]).join(right, "at")
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples():
+                    yield from pairs(*_unpacked(r.q_ids, r.q_gs, r.q_vs), *_unpacked(r.ids, r.gs, r.vs))
+
+        out = met.mapInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return out.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
+def _units(rows: list) -> np.ndarray:
+    v = np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+_PACKED = "ids binary, gs binary, vs binary"
+
+
+def _packed(size: int):
+    """Rows (id, g, v) of a task as blocks of at most ``size``, their unit vectors in double precision."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), size):
+                part = b.iloc[at : at + size]
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "gs": [part["g"].to_numpy(np.int64).tobytes()], "vs": [_units(part["v"].to_list()).tobytes()]})
+
+    return run
+
+
+def _unpacked(ids: bytes, groups: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = np.frombuffer(ids, np.int64)
+    return found, np.frombuffer(groups, np.int64), np.frombuffer(vectors, np.float64).reshape(len(found), -1)
+
+
 def cache_hits(cached: DataFrame, queries: DataFrame, least: float = P.CACHE_SIMILAR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """SET-05: (query_id, hit, score): the nearest cached question if it is near enough, else a null hit."""
     best = topk(cached, queries, 1, id_col, vec_col)
