@@ -37,6 +37,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from . import common
 from .common import small
 
@@ -365,10 +366,8 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     cut = cut.withColumn("_bk_new", made)
     pairs = F.zip_with(F.col("_bk_pieces"), F.col("_bk_new"), lambda p, n: F.concat(p, F.coalesce(n["new"], F.lit(""))))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    spans = F.aggregate(
-        F.zip_with(F.slice("_bk_pieces", F.lit(1), F.size("_bk_new")), F.col("_bk_new"), lambda p, n: F.struct(F.length(p).alias("skip"), n["kind"].alias("kind"), F.length(n["new"]).alias("size"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct((acc["at"] + x["skip"] + x["size"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(x["kind"].alias("kind"), (acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + x["size"]).alias("end")))).alias("spans")),
-    )["spans"]
+    sizes = F.zip_with(F.slice("_bk_pieces", F.lit(1), F.size("_bk_new")), F.col("_bk_new"), lambda p, n: F.struct(F.length(p).alias("skip"), n["kind"].alias("kind"), F.length(n["new"]).alias("size")))
+    span = lambda at, x: (at + x["skip"] + x["size"], F.struct(x["kind"].alias("kind"), (at + x["skip"]).alias("start"), (at + x["skip"] + x["size"]).alias("end")))
+    spans = arrays.folded(sizes, F.lit(0), span, "struct<kind:string,start:int,end:int>")
     text = F.when(F.col("_bk_new").isNotNull(), F.concat_ws("", pairs)).otherwise(F.col(f"`{text_col}`"))
     return cut.select(*[(text if c == text_col else F.col("`" + c.replace("`", "``") + "`")).alias(c) for c in names], F.coalesce(F.size("_bk_new"), F.lit(0)).cast("int").alias("pii_count"), F.coalesce(F.when(F.col("_bk_new").isNotNull(), spans), empty).alias("pii_spans"))

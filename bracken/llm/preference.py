@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+
 HEAD, AFTER_ROLE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
 _TURNS = "array<struct<role:string,text:string>>"
@@ -38,16 +40,12 @@ def render(turns: Column) -> Column:
 def trained_spans(turns: Column) -> Column:
     """Spans [start, end) in code points of the rendering of ``turns`` that belong to the loss."""
     sizes = F.transform(turns, lambda t: F.struct(F.length(_header(t)).alias("head"), F.length(_rest(t)).alias("rest"), (t["role"] == TRAINED).alias("on")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    fold = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["head"] + s["rest"]).alias("at"),
-            F.when(s["on"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["head"]).alias("start"), (acc["at"] + s["head"] + s["rest"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return fold["spans"]
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        after = at + s["head"] + s["rest"]
+        return after, F.when(s["on"], F.struct((at + s["head"]).alias("start"), after.alias("end")))
+
+    return arrays.folded(sizes, F.lit(0), step, "struct<start:int,end:int>")
 
 
 def _clean(turns: Column) -> Column:
