@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions import profiles as P
 from ..functions import text as T
 
@@ -23,27 +24,21 @@ def elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), "source", element.alias("elements"))
 
 
-def _bound(value: Column, then) -> Column:
-    """``then(value)`` with the value evaluated once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def starts(sizes: Column, most: int) -> Column:
     """Where runs start in an array of (n, alone): one ends before what would make it exceed ``most``, and before and
     after what stands alone."""
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("at"))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), F.lit(True).alias("closed"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
         new = s["closed"] | x["alone"] | (s["held"] + x["n"] > most)
-        at = F.when(new, F.concat(s["at"], F.array(s["i"]))).otherwise(s["at"])
-        return F.struct((s["i"] + 1).alias("i"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), x["alone"].alias("closed"), at.alias("at"))
+        return F.struct((s["i"] + 1).alias("i"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), x["alone"].alias("closed")), F.when(new, s["i"])
 
-    return F.aggregate(sizes, zero, step)["at"]
+    return arrays.folded(sizes, zero, step, "int")
 
 
 def runs(items: Column, at: Column) -> Column:
     """The slices of ``items`` that start at ``at``."""
-    return _bound(F.struct(items.alias("items"), at.alias("at")), lambda b: F.transform(b["at"], lambda a, i: F.slice(b["items"], a + 1, F.coalesce(F.get(b["at"], i + 1), F.size(b["items"])) - a)))
+    return arrays.bound(F.struct(items.alias("items"), at.alias("at")), lambda b: F.transform(b["at"], lambda a, i: F.slice(b["items"], a + 1, F.coalesce(F.get(b["at"], i + 1), F.size(b["items"])) - a)))
 
 
 def with_tail(pieces: Column, least: int) -> Column:
@@ -59,7 +54,7 @@ def with_tail(pieces: Column, least: int) -> Column:
         one = F.struct(F.array_join(F.transform(tail, lambda p: p["text"]), "\n\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.transform(tail, lambda p: p["kinds"])))).alias("kinds"))
         return F.when(b["k"] > 1, F.concat(head, F.array(one))).otherwise(b["p"])
 
-    return _bound(F.struct(pieces.alias("p"), last.alias("k")), cut)
+    return arrays.bound(F.struct(pieces.alias("p"), last.alias("k")), cut)
 
 
 def _sentence_pieces(content: Column, kind: Column, most: int, least: int) -> Column:
@@ -71,7 +66,7 @@ def _sentence_pieces(content: Column, kind: Column, most: int, least: int) -> Co
         at = starts(F.transform(u, lambda x: F.struct(F.length(x["s"]).alias("n"), x["alone"].alias("alone"))), most)
         return F.transform(runs(u, at), lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["s"]), "").alias("text"), F.array(kind).alias("kinds")))
 
-    return with_tail(_bound(units, packed), least)
+    return with_tail(arrays.bound(units, packed), least)
 
 
 def body_pieces(body: Column, most: int = P.CHUNK_MAX, least: int = P.CHUNK_MIN) -> Column:
@@ -84,19 +79,18 @@ def body_pieces(body: Column, most: int = P.CHUNK_MAX, least: int = P.CHUNK_MIN)
         one = lambda r: F.array(F.struct(F.array_join(F.transform(r, lambda x: x["content"]), "\n\n").alias("text"), F.array_distinct(F.transform(r, lambda x: x["kind"])).alias("kinds")))
         return F.flatten(F.transform(runs(u, at), lambda r: F.when(r[0]["long"], r[0]["own"]).otherwise(one(r))))
 
-    return with_tail(_bound(items, packed), least)
+    return with_tail(arrays.bound(items, packed), least)
 
 
 def paths(headings: Column) -> Column:
     """WIN-04: of headings (level, content) in order the path of each: it goes back to above its level and appends."""
-    zero = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<array<string>>").alias("every"))
 
-    def step(s: Column, h: Column) -> Column:
+    def step(so_far: Column, h: Column) -> tuple[Column, Column]:
         level = F.when(F.coalesce(h["level"], F.lit(0)) > 0, h["level"]).otherwise(2)
-        path = F.concat(F.slice(s["path"], F.lit(1), level - 1), F.array(h["content"]))
-        return F.struct(path.alias("path"), F.concat(s["every"], F.array(path)).alias("every"))
+        path = F.concat(F.slice(so_far, F.lit(1), level - 1), F.array(h["content"]))
+        return path, path
 
-    return F.aggregate(headings, zero, step)["every"]
+    return arrays.folded(headings, F.array().cast("array<string>"), step, "array<string>")
 
 
 def chunked(docs: DataFrame, most: int = P.CHUNK_MAX, least: int = P.CHUNK_MIN, overlap: int = P.CHUNK_OVERLAP) -> DataFrame:
