@@ -137,8 +137,14 @@ def secret_key(key: str | None) -> str:
     return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
-def _digest(parts: list[Column], key: str | None) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(secret_key(key)), *parts), 512)
+def with_key(df: DataFrame, key: str | None) -> DataFrame:
+    """``df`` with the key as the column _bk_key of a one-row table: plans, and all that shows them, name the column only."""
+    return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(secret_key(key),)], "_bk_key string")))
+
+
+def _digest(parts: list[Column], key: str | Column | None) -> Column:
+    """Of a key as a string the plan shows it; a column of ``with_key`` keeps it out."""
+    return F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(secret_key(key)), *parts), 512)
 
 
 def _draw(digest: Column, i: Column, n: int | Column) -> Column:
@@ -201,7 +207,7 @@ def script(name: Column) -> Column:
     return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def surrogates(entries: Column, key: str | None = None) -> Column:
+def surrogates(entries: Column, key: str | Column | None = None) -> Column:
     """The canonical surrogates of an array of entities (kind, canon, attempt): lower case for names and addresses,
     digits alone for numbers. Each step is a list of its own, so that digests and digits are made once."""
 
@@ -252,11 +258,11 @@ def _family(canon: Column, d: Column, extra: Column) -> Column:
     return F.when(script(canon) == "cyrillic", made["cyrillic"]).when(script(canon) == "greek", made["greek"]).otherwise(made["latin"])
 
 
-def surrogate(kind_: Column, canon: Column, attempt: Column, key: str | None = None) -> Column:
+def surrogate(kind_: Column, canon: Column, attempt: Column, key: str | Column | None = None) -> Column:
     return F.get(surrogates(F.array(F.struct(kind_.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))), key), F.lit(0))
 
 
-def given(person: Column, gender_: Column, attempt: Column, key: str | None = None) -> Column:
+def given(person: Column, gender_: Column, attempt: Column, key: str | Column | None = None) -> Column:
     """The surrogate, lower case, of the given name of a person (full name, lower case); from the third attempt on
     with syllables added."""
     d = _digest([F.lit("given"), person, gender_, attempt.cast("string")], key)
@@ -329,8 +335,8 @@ def entities(docs: DataFrame, text_col: str = "text", key: str | None = None) ->
     table = found.select("m.kind", "m.canon", "m.gender").groupBy("kind", "canon").agg(told.alias("gender"), (sum(h.cast("int") for h in has.values()) > 1).alias("mixed")).filter("canon IS NOT NULL").withColumn("attempt", F.lit(0))
     person = F.col("kind") == "person"
     table = table.withColumn("scope", F.when(person, F.substring_index("canon", " ", -1)).otherwise("")).withColumn("real", F.when(person, F.substring_index("canon", " ", 1)).otherwise(F.col("canon")))
-    drawn = F.when(person, given(F.col("canon"), F.col("gender"), F.col("attempt"), key)).otherwise(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
-    table = common.shared_table(table.withColumn("surrogate", drawn), "entities")
+    drawn = F.when(person, given(F.col("canon"), F.col("gender"), F.col("attempt"), F.col("_bk_key"))).otherwise(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("_bk_key")))
+    table = common.shared_table(with_key(table, key).withColumn("surrogate", drawn).drop("_bk_key"), "entities")
     while True:
         best = table.groupBy("kind", "scope", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).filter("n > 1")
         shared = table.join(best, ["kind", "scope", "surrogate"]).filter(F.struct("attempt", "canon") != F.col("first")).select("kind", "canon")
@@ -340,7 +346,7 @@ def entities(docs: DataFrame, text_col: str = "text", key: str | None = None) ->
         if again.isEmpty():
             return table
         raised = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(False)).cast("int"))
-        raised = raised.withColumn("surrogate", F.when(F.col("bad"), drawn).otherwise(F.col("surrogate"))).drop("bad")
+        raised = with_key(raised, key).withColumn("surrogate", F.when(F.col("bad"), drawn).otherwise(F.col("surrogate"))).drop("bad", "_bk_key")
         old, table = table, common.shared_table(raised, "entities")
         common.release(old, again)
 
@@ -357,11 +363,12 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         looked = rows.select("_bk_id", "_bk_hash", "m.kind", "m.canon").join(small(exceptions), ["kind", "canon"]).distinct()
         by_doc = common.shared_table(looked.groupBy("_bk_id", "_bk_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), F.struct("attempt", "gender")))).alias("_bk_attempts")), "exceptions-by-document")
         cut = cut.withColumn("_bk_text", F.xxhash64(text_col)).join(small(by_doc, 20_000), F.col("_bk_text").eqNullSafe(F.col("_bk_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_bk_id")), "left")
+    cut = with_key(cut, key)
     known = lambda kind_, canon: F.element_at("_bk_attempts", F.concat_ws("|", kind_, canon))
     nth = lambda m: F.coalesce(known(m["kind"], m["canon"])["attempt"], F.lit(0))
     tried = F.transform("_bk_mentions", lambda m: F.struct(m["kind"].alias("kind"), m["canon"].alias("canon"), nth(m).alias("attempt")))
-    both = F.zip_with(F.col("_bk_mentions"), surrogates(tried, key), lambda m, s: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["person"].alias("person"), m["gender"].alias("gender"), known(F.lit("person"), m["person"]).alias("known"), s.alias("made")))
-    first = lambda m: F.when(m["person"].isNotNull(), given(m["person"], F.coalesce(m["known"]["gender"], m["gender"]), F.coalesce(m["known"]["attempt"], F.lit(0)), key))
+    both = F.zip_with(F.col("_bk_mentions"), surrogates(tried, F.col("_bk_key")), lambda m, s: F.struct(m["kind"].alias("kind"), m["mention"].alias("mention"), m["person"].alias("person"), m["gender"].alias("gender"), known(F.lit("person"), m["person"]).alias("known"), s.alias("made")))
+    first = lambda m: F.when(m["person"].isNotNull(), given(m["person"], F.coalesce(m["known"]["gender"], m["gender"]), F.coalesce(m["known"]["attempt"], F.lit(0)), F.col("_bk_key")))
     made = F.transform(both, lambda m: F.struct(m["kind"].alias("kind"), rendered(m["kind"], m["mention"], m["made"], first(m)).alias("new")))
     cut = cut.withColumn("_bk_new", made)
     pairs = F.zip_with(F.col("_bk_pieces"), F.col("_bk_new"), lambda p, n: F.concat(p, F.coalesce(n["new"], F.lit(""))))
