@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import state_queries
-from ..streaming import keyed, windows
+from ..session import table
+from ..streaming import keyed, leases, windows
 from ..streaming.run import drained, stream
 
 
@@ -52,9 +53,24 @@ def stream_markers(spark, sf):
     return out.select("msg", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_hourly_closed, stream_limiter, stream_sliding, stream_answers, stream_sessions, stream_markers)}
+def stream_leases(spark, sf):
+    """STR-05 in five triggers: what each beat was, and when leases lapsed, some by a timer alone."""
+    e = table(spark, sf, "events")
+    t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    beats = e.select((F.col("user_id") % 20).alias("run"), "event_id", t.alias("t"), F.col("event_type").alias("owner"))
+    with leases.rocks(spark):
+        return drained(spark, leases.leased(leases.sliced(beats, "t", 5), 3_600_000))
+
+
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_hourly_closed, stream_limiter, stream_sliding, stream_answers, stream_sessions, stream_markers, stream_leases)}
 _TOKEN = "CASE turn % 3 WHEN 1 THEN '<state>' || text WHEN 2 THEN text || '</state>' ELSE text END"
 ORACLES = {
+    "stream_leases": """WITH RECURSIVE tm AS MATERIALIZED (SELECT user_id % 20 AS run, event_id, event_type AS own, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY floor(epoch_us(ts) / 1000), event_id) AS n FROM events),
+ st AS (SELECT run, event_id, n, own, own AS owner, t, t + 3600000 AS until, TRUE AS ok FROM tm WHERE n = 1
+ UNION ALL SELECT run, event_id, n, own, CASE WHEN ok THEN own ELSE owner END, t, CASE WHEN ok THEN t + 3600000 ELSE until END, ok FROM (SELECT tm.run, tm.event_id, tm.n, tm.own, tm.t, st.owner, until, tm.own = st.owner OR tm.t > until AS ok FROM st JOIN tm ON tm.run = st.run AND tm.n = st.n + 1)),
+ a AS (SELECT *, lead(t) OVER w AS nt, row_number() OVER w AS k FROM st WHERE ok WINDOW w AS (PARTITION BY run ORDER BY n)),
+ l AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY run ORDER BY n), 0) AS beats FROM a WHERE nt > until OR (nt IS NULL AND until <= (SELECT max(t) FROM tm) - 600000))
+ SELECT run, event_id, ok AS accepted, NULL::BIGINT AS lapsed, own AS owner, NULL::BIGINT AS beats FROM st UNION ALL SELECT run, NULL, NULL, until, owner, beats FROM l""",
     "stream_hourly_closed": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES GROUP BY 1, 2, date_trunc('hour', ts)",
     "stream_limiter": state_queries._FIXED,
     "stream_sliding": state_queries._SLIDING,
