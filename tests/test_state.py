@@ -293,3 +293,31 @@ def test_numbering(spark):
     e = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, False), (1, 3, True)], "query_id int, pos int, inferred boolean")
     assert [r.label for r in fusion.numbered(e).orderBy("pos").collect()] == ["[1]", "[G1]", "[2]", "[G2]"]
     assert F is not None
+
+
+def test_leases_lapse_without_new_beats(spark, tmp_path):
+    """A timer tells the end of a lease when only another run is heard of; then the run holds no state. A stale owner is
+    fenced off, and a later trigger finds the lease of the one before."""
+    from bracken.streaming import leases
+    from bracken.streaming.run import drained
+
+    minute, start = 60_000, 1_700_000_000_000  # a watermark starts at 1970, where rows would be late
+    slices = [
+        [(1, 10, 0, "a"), (1, 11, minute // 2, "b"), (2, 12, 0, "a")],
+        [(1, 20, minute, "a"), (1, 21, minute + 1, "b")],
+        [(3, 30, 30 * minute, "c")],  # runs 1 and 2 are silent
+        [(3, 40, 60 * minute, "c"), (3, 41, 60 * minute + 1, "d")],
+        [(4, 50, 600 * minute, "z")],
+    ]
+    source = str(tmp_path / "in")
+    with leases.rocks(spark):
+        out = None
+        for part in slices:
+            spark.createDataFrame([(r, e, start + t, o) for r, e, t, o in part], "run long, event_id long, t long, owner string").coalesce(1).write.mode("append").parquet(source)
+            beats = spark.readStream.schema("run long, event_id long, t long, owner string").option("maxFilesPerTrigger", 1).parquet(source)
+            out = drained(spark, leases.leased(beats, minute), at=str(tmp_path / "q"))
+        rows = sorted(tuple(r) for r in out.filter("event_id IS NOT NULL").select("run", "event_id", "accepted").collect())
+        assert rows == [(1, 10, True), (1, 11, False), (1, 20, True), (1, 21, False), (2, 12, True), (3, 30, True), (3, 40, True), (3, 41, False), (4, 50, True)]
+        lapsed = sorted(tuple(r) for r in out.filter("event_id IS NULL").selectExpr("run", f"lapsed - {start}", "owner", "beats").collect())
+        assert lapsed == [(1, 2 * minute, "a", 2), (2, minute, "a", 1), (3, 31 * minute, "c", 1), (3, 61 * minute, "c", 1)]
+        assert [tuple(r) for r in leases.held(spark, str(tmp_path / "q")).collect()] == [(4, "z", start + 601 * minute)]
