@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,48 @@ def publish(df: DataFrame, path: str, form: str = "parquet") -> None:
         fs.delete(hadoop(old), True)
 
 
+class Conflict(RuntimeError):
+    """The version that a write was meant for is not the current one."""
+
+
+def _versions(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{path}/versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, hadoop, sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """SNK-06: the version of a table that is written by ``replace_if``, and its rows; (0, None) before the first."""
+    _, _, names = _versions(spark, path)
+    if not names:
+        return 0, None
+    data = spark.read.text(f"{path}/versions/{names[-1]}").first()[0]
+    return int(names[-1]), spark.read.parquet(f"{path}/{data}")
+
+
+def replace_if(df: DataFrame, path: str, version: int) -> int:
+    """SNK-06: writes ``df`` as the next version if ``version`` is still the current one, else ``Conflict``, upon which a writer
+    reads again. The rows are written first; the version is a file that only one writer can create, so that of several
+    with one version one succeeds. Readers keep what they read."""
+    spark, data = df.sparkSession, f"rows-{uuid.uuid4().hex}"
+    fs, hadoop, names = _versions(spark, path)
+    if (int(names[-1]) if names else 0) != version:
+        raise Conflict(f"{path}: version {version} is not the current one")
+    df.write.parquet(f"{path}/{data}")
+    marker = hadoop(f"{path}/versions/{version + 1:09d}")
+    try:
+        out = fs.create(marker, False)
+    except Exception as e:  # noqa: BLE001  whatever the file system throws for a file that is there
+        fs.delete(hadoop(f"{path}/{data}"), True)
+        if fs.exists(marker):
+            raise Conflict(f"{path}: version {version + 1} is another writer's") from e
+        raise
+    out.write(bytearray(data.encode()))
+    out.close()
+    return version + 1
+
+
 def swapped(writes: DataFrame) -> DataFrame:
     """SNK-06, STR-06 over (key, ord, value): (key, version, value): writers that read again until their version is the
     current one end with all writes applied in order; that end is folded at once."""

@@ -86,3 +86,28 @@ def test_rerank_and_embedding_cache(spark):
     cache = t.filter("id = 1").select(rerank.cache_key("v", "m", F.col("text")).alias("key"), F.array(F.lit(9.0).cast("float")).alias("vec"))
     got = {r.id: list(r.vec) for r in rerank.embedded(t, cache, lambda x: [[1.0]] * len(x), "v", "m").collect()}
     assert got == {1: [9.0], 2: [1.0]}
+
+
+def test_a_write_for_an_old_version_is_refused(spark, tmp_path, monkeypatch):
+    """Two writers read one version; one wins, the other reads again. A writer that passes the first look loses at the marker."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from bracken.sources import sinks
+
+    at = str(tmp_path / "t")
+    assert sinks.current(spark, at) == (0, None)
+    assert sinks.replace_if(spark.range(3), at, 0) == 1
+    version, rows = sinks.current(spark, at)
+    assert sinks.replace_if(rows.select(F.col("id") + 10), at, version) == 2
+    with pytest.raises(sinks.Conflict):
+        sinks.replace_if(rows.limit(1), at, version)
+    assert rows.count() == 3  # readers keep what they read
+    found = sinks._versions
+    monkeypatch.setattr(sinks, "_versions", lambda *a: (*found(*a)[:2], ["000000001"]))
+    with pytest.raises(sinks.Conflict):
+        sinks.replace_if(rows, at, 1)
+    monkeypatch.undo()
+    version, rows = sinks.current(spark, at)
+    assert version == 2 and sorted(r[0] for r in rows.collect()) == [10, 11, 12]
+    assert len(list((tmp_path / "t").glob("rows-*"))) == 2
