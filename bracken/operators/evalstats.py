@@ -101,6 +101,45 @@ def injection_report(traces: DataFrame) -> DataFrame:
     return t.groupBy("character").agg(F.count("*").alias("questions"), F.sum("n").alias("injected"), F.sum("g").alias("from_graph"), F.sum("c").alias("cited"), F.round(F.sum("c") / F.sum("n"), 4).alias("cited_share"))
 
 
+def flattened(traces: DataFrame) -> DataFrame:
+    """AGG-16, one row a question: traces (character, question, boundary array<struct<kind, chars, ends>>, top_k, overlap,
+    graph_on, edges, added, seeds array<string>, answer) with counts of bodies and evidence, of seeds, and of citations;
+    [n] counts bodies, [Gn] evidence, and a number beyond the bodies is ``over``."""
+    of = lambda kind: F.filter("boundary", lambda x: x["kind"] == kind)
+    chars = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["chars"])
+    cites = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"\[(\d+)\]")), lambda c: c.cast("long"))
+    rows = traces.select("character", "question", of("source").alias("_b"), of("infer").alias("_e"), "top_k", "overlap", "graph_on", "edges", "added", "seeds", cites.alias("_c"), F.regexp_count(F.coalesce("answer", F.lit("")), F.lit(r"\[G\d+\]")).alias("gcites"))
+    return rows.select(
+        "character", "question", F.size("_b").alias("body_n"), F.size("_e").alias("ev_n"), chars("_b").alias("body_chars"), chars("_e").alias("ev_chars"), (chars("_b") + chars("_e")).alias("chars"),
+        F.size(F.filter("_b", lambda x: x["ends"])).alias("ends_ok"), "overlap", (F.col("top_k") - F.col("overlap")).alias("swapped"), "graph_on", "edges", "added",
+        F.size(F.filter("seeds", lambda s: F.length(s) == 1)).alias("single_seeds"), F.size("seeds").alias("seeds"), F.size("_c").alias("cites"), F.size(F.array_distinct("_c")).alias("distinct_cites"),
+        ((F.size("_b") > 0) & (F.size("_c") > 0) & (F.coalesce(F.array_max("_c"), F.lit(0)) > F.size("_b"))).alias("over"), "gcites",
+    )
+
+
+def injection_levels(traces: DataFrame) -> DataFrame:
+    """AGG-16 in full: a row for all questions (a null ``character``, ``total`` is true) and one for each character, of one pass with
+    grouping sets: sums, medians, shares with four decimals, and how often each overlap occurs, as a map."""
+    rows = flattened(traces)
+    share = lambda a, b: F.round(F.when(b > 0, a / b), 4)
+    s = lambda c: F.sum(F.col(c).cast("long"))
+    known = F.count("graph_on")
+    mid = lambda c: F.median(c).alias(f"{c}_median")  # noqa: E731  holds a count for each different value
+    sets = rows.groupingSets([[F.col("character")], []], F.col("character"))
+    out = sets.agg(
+        (F.grouping_id() == 1).alias("total"), F.count("*").alias("questions"), *[s(c).alias(c) for c in ("body_n", "ev_n", "body_chars", "ev_chars")],
+        *[mid(c) for c in ("body_n", "body_chars", "ev_n", "ev_chars", "chars", "overlap", "swapped")],
+        share(s("ev_n"), s("ev_n") + s("body_n")).alias("ev_share"), share(s("ev_chars"), s("chars")).alias("ev_char_share"), share(s("ends_ok"), s("body_n")).alias("ends_share"),
+        F.count_if("graph_on").alias("graph_on"), known.alias("graph_known"), share(F.count_if("graph_on"), known).alias("graph_share"), F.median(F.when(F.col("graph_on").isNotNull(), F.col("edges"))).alias("edges_median"), F.median(F.when(F.col("graph_on").isNotNull(), F.col("added"))).alias("added_median"),
+        share(F.sum(F.when(F.col("graph_on").isNotNull(), F.col("single_seeds"))), F.sum(F.when(F.col("graph_on").isNotNull(), F.col("seeds")))).alias("single_seed_share"),
+        F.count_if(F.col("cites") > 0).alias("cited"), mid("distinct_cites"), F.count_if("over").alias("over"), F.count_if(F.col("gcites") > 0).alias("graph_cited"),
+    )
+    counted = rows.filter("overlap IS NOT NULL").groupingSets([[F.col("character"), F.col("overlap")], [F.col("overlap")]], F.col("character"), F.col("overlap"))
+    counted = counted.agg((F.grouping("character") == 1).alias("_total"), F.count("*").alias("n"))
+    maps = counted.groupBy("_total", F.col("character").alias("_character")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("overlap", "n")))).alias("overlap_counts"))
+    return out.join(maps, out["total"].eqNullSafe(maps["_total"]) & out["character"].eqNullSafe(maps["_character"]), "left").drop("_total", "_character")
+
+
 def lengths(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """AGG-17."""
     n = F.length(text_col)
