@@ -9,8 +9,8 @@ and variants are shuffled; two fingerprints within the radius share a variant in
 them. Over the whole 64 bits a radius of 4 takes 1 + 64 + 2016 = 2081 variants of each fingerprint,
 about 33 KB of shuffle against a document of 2 KB. ``blocks`` therefore first splits the bits: of two
 halves of fingerprints within 4 bits, one half differs in 2 bits at most, so that balls of radius 1 in
-both halves (66 variants) meet as surely. ``blocks=1`` is the undivided form; both are exact. Unless ``blocks``
-is given, the halves are taken up to ``HALVES`` distinct fingerprints and the undivided form beyond.
+both halves (66 variants) meet as surely. ``blocks=1`` is the undivided form; both are exact, and the default is the same at
+every size.
 
 Fingerprints that share a variant are verified inside their group with a frontier that links what it
 reaches, so a group of g members gives at most g - 1 links, not all pairs. Groups over ``HOT_GROUP``
@@ -40,9 +40,8 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 HOT_GROUP = 32_768
-#: Distinct fingerprints up to which halves are compared: the pairs that share a half by chance grow with the
-#: square of their number, and beyond cost more than the variants of whole fingerprints.
-HALVES = 10**10
+#: Parts of the bits whose balls are shuffled.
+BLOCKS = 2
 #: Hashes that are counted at once; longer texts are counted in pieces.
 AT_ONCE = 1 << 16
 
@@ -210,14 +209,13 @@ def stars(edges: DataFrame) -> DataFrame:
         common.release(old, large)
 
 
-def components(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def components(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(fp, component_id, best) of every fingerprint with more than one row or with a link.
 
     component_id is the smallest id of the component; best names one row of it by (doc_id, text_hash).
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     own = common.shared_table(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), best.alias("best")), "fingerprints")
-    blocks = blocks or (2 if own.count() <= HALVES else 1)
     roots = common.shared_table(stars(links(own, radius, blocks)), "roots")
     linked = own.join(roots, own["fp"] == roots["node"]).select("fp", "id", "best", "root")
     of = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.min("best").alias("best"))
@@ -226,7 +224,7 @@ def components(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None)
     return common.shared_table(grouped.union(copies), "components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, stays) of every row; of rows with equal (doc_id, text_hash) all stay or none."""
     fps = fingerprints(docs, id_col, text_col, shingle)
     groups = components(fps, radius, blocks)
