@@ -46,37 +46,46 @@ def synced(state: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 class MarkerFilter:
-    """STR-08 on a stream: text between the markers is held back; a block that never closes is given back."""
+    """STR-08 on a stream: text between the markers is held back; a block that never closes is given back.
+
+    Of what is held only as many last characters as a marker may have begun with are looked at again, so that time is in
+    proportion to the tokens.
+    """
 
     def __init__(self, state: tuple[str, bool] = ("", False)):
-        self.held, self.inside = state
+        held, self.inside = state
+        self.block = [held] if self.inside else []
+        self.tail = held[len(OPEN) :][-(len(CLOSE) - 1) :] if self.inside else held
+
+    @property
+    def held(self) -> str:
+        return "".join(self.block) if self.inside else self.tail
 
     def feed(self, token: str) -> str:
-        self.held += token
-        out = ""
+        out, rest = [], token
         while True:
-            mark = CLOSE if self.inside else OPEN
-            at = self.held.find(mark)
-            if at >= 0:
-                if not self.inside:
-                    out += self.held[:at]
-                    self.held = self.held[at:]
-                    self.inside = True
-                    if (end := self.held.find(CLOSE, len(OPEN))) < 0:
-                        return out
-                    self.held, self.inside = self.held[end + len(CLOSE) :], False
-                else:
-                    self.held, self.inside = self.held[at + len(CLOSE) :], False
-                continue
-            if self.inside:
-                return out
-            keep = next((n for n in range(min(len(OPEN) - 1, len(self.held)), 0, -1) if OPEN.startswith(self.held[-n:])), 0)
-            out += self.held[: len(self.held) - keep]
-            self.held = self.held[len(self.held) - keep :]
-            return out
+            window = self.tail + rest
+            at = window.find(CLOSE if self.inside else OPEN)
+            if at >= 0 and self.inside:
+                rest = window[at + len(CLOSE) :]
+                self.block, self.tail, self.inside = [], "", False
+            elif at >= 0:
+                out.append(window[:at])
+                rest = window[at + len(OPEN) :]
+                self.block, self.tail, self.inside = [OPEN], "", True
+            elif self.inside:
+                self.block.append(rest)
+                self.tail = window[-(len(CLOSE) - 1) :]
+                return "".join(out)
+            else:
+                keep = next((n for n in range(min(len(OPEN) - 1, len(window)), 0, -1) if OPEN.startswith(window[-n:])), 0)
+                out.append(window[: len(window) - keep])
+                self.tail = window[len(window) - keep :]
+                return "".join(out)
 
     def end(self) -> str:
-        out, self.held, self.inside = self.held, "", False
+        out = self.held
+        self.block, self.tail, self.inside = [], "", False
         return out
 
 

@@ -1,10 +1,13 @@
-"""Queries of decisions and tombstones on streams of several triggers, with late rows."""
+"""Queries of decisions, tombstones and markers on streams of several triggers."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import stream_queries
 from ..session import table
+from ..streaming import keyed
 from ..streaming.once import claimed, in_parts, restored
 
 
@@ -25,11 +28,23 @@ def stream_restores(spark, sf):
     return in_parts(spark, sources, lambda restores, tombstones: restored(restores, tombstones, "client_id")).select("change_id", "client_id", "part")
 
 
-QUERIES = {f.__name__: f for f in (stream_decisions, stream_restores)}
+def stream_markers_held(spark, sf):
+    """STR-08 in four triggers: markers and blocks that are open at the end of one are closed, or given back, in a later one."""
+    c, turn = table(spark, sf, "conversations"), F.col("turn")
+    token = F.when(turn % 3 == 1, F.concat(F.lit("<state>"), "text")).when(turn % 3 == 2, F.concat("text", F.lit("</state>"))).otherwise(F.col("text"))
+    last = turn == F.max("turn").over(Window.partitionBy("conv_id"))
+    rows = c.select(F.col("conv_id").alias("msg"), turn.alias("ord"), token.alias("token"), last.alias("last"), F.least(turn, F.lit(3)).cast("int").alias("part"))
+    shown = in_parts(spark, {"tokens": rows}, lambda tokens: keyed.filtered(tokens))
+    pieces = F.sort_array(F.collect_list(F.struct("ord", "text")))
+    return shown.groupBy("msg").agg(F.md5(F.array_join(F.transform(pieces, lambda x: x["text"]), "")).alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (stream_decisions, stream_restores, stream_markers_held)}
 _DAY = 86_400_000
 #: The watermark that rows of a part meet is that of all parts before, in milliseconds.
 _BEFORE = "coalesce(max(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 ORACLES = {
+    "stream_markers_held": stream_queries.ORACLES["stream_markers"],
     "stream_decisions": f"""WITH c AS (SELECT client_id AS run, kind AS decision, strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) AS us, CAST(month(coalesce(arrived_at, ts)) AS INT) AS part FROM clicks WHERE ts IS NOT NULL),
  m AS (SELECT part, max(us) // 1000 - {2 * _DAY} AS top FROM c GROUP BY part), w AS (SELECT part, {_BEFORE} AS mark FROM m)
  SELECT run, decision, day, min(part) AS part FROM c JOIN w USING (part) WHERE us > mark * 1000 GROUP BY run, decision, day""",

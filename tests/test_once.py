@@ -57,3 +57,34 @@ def test_a_tombstone_of_a_later_trigger_still_blocks(spark):
 def test_nothing_comes_of_nothing(spark):
     none = frame(spark, [], "run long, decision string, ts timestamp, part int")
     assert in_parts(spark, {"d": none}, lambda d: claimed(d, ["run"])).count() == 0
+
+
+def test_markers_cut_anywhere_in_time_that_grows_with_the_tokens():
+    import random
+    import re
+    import time
+
+    from bracken.operators.story import CLOSE, OPEN, MarkerFilter
+
+    draw = random.Random(1)
+    for _ in range(3000):
+        text = "".join(draw.choices([OPEN, CLOSE, "a", "<", "<st", "</state", "e>", ">"], k=draw.randrange(12)))
+        cuts = sorted(draw.randrange(len(text) + 1) for _ in range(draw.randrange(8)))
+        out, state = "", ("", False)
+        for i, j in zip([0, *cuts], [*cuts, len(text)]):
+            f = MarkerFilter(state)
+            out += f.feed(text[i:j])
+            state = (f.held, f.inside)
+        out += MarkerFilter(state).end()
+        assert out == re.sub(f"(?s){OPEN}.*?{CLOSE}", "", text), (text, cuts)
+
+    def took(n):
+        f, began = MarkerFilter(), time.perf_counter()
+        f.feed(OPEN)
+        for _ in range(n):
+            assert f.feed("some text ") == ""
+        assert len(f.end()) == len(OPEN) + 10 * n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(200_000) < 4 * took(100_000) + 0.2
