@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..functions import text as T
+from ..session import small
 
 CLASS_WEIGHTS = {"vector": 1.0, "bm25": 1.0}
 
@@ -36,7 +37,8 @@ def fused(boards: DataFrame, weights: DataFrame | None = None, class_weights: di
     for name, w in (class_weights or CLASS_WEIGHTS).items():
         cw = F.when(F.col("class") == name, w).otherwise(cw)
     if weights is not None:
-        best = best.join(weights.select("doc", "weight"), "doc", "left")
+        weights = weights.select("doc", "weight").join(small(best.select("doc").distinct()), "doc", "left_semi")
+        best = best.join(weights, "doc", "left")
         cw = cw * F.coalesce("weight", F.lit(1.0))
     best = best.withColumn("part", cw / (k + F.col("rank") + 1))
     by = best.groupBy("query_id", "doc").agg(
@@ -86,7 +88,9 @@ def depths(top_k: int = P.TOP_STRONG, reranks: bool = True) -> tuple[int, int]:
 
 def with_metadata(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """JN-02 over (doc, ...) and (doc, source, text): a candidate without metadata stays, with empty ones."""
-    out = candidates.join(docs.select("doc", "source", "text"), "doc", "left")
+    # an outer join cannot broadcast its left side: the few documents that are candidates are taken first, so that no text is shuffled
+    named = docs.select("doc", "source", "text").join(small(candidates.select("doc").distinct()), "doc", "left_semi")
+    out = candidates.join(named, "doc", "left")
     return out.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
 
 
