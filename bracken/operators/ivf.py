@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_path, shared_table, small
-from .vector import invalid
+from .vector import invalid, topk
 
 #: Rows that the model is fitted on; 20,000 vectors of 64 floats are 5 MB.
 SAMPLE = 20_000
@@ -161,6 +161,13 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return Index(model, spark.read.schema("list int, ids binary, codes binary").parquet(f"{path}/codes"), written.select("list", "id", "vec"))
 
 
+def search_all(index: Index, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", itself: bool = False) -> DataFrame:
+    """RET-02: (query_id, doc, score, rank from 0) of the ``k`` best by exact cosine: all lists are read and every vector in them is
+    scored, so that nothing depends on codes. Queries are not copied by list."""
+    asked = queries.filter(~invalid(F.col(vec_col), index.model.centroids.shape[1])).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    return topk(index.vectors.select("id", "vec"), asked, k, "id", "vec", itself=itself)
+
+
 def search(index: Index, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probe: int | None = None, rerank: int = RERANK, itself: bool = False) -> DataFrame:
     """TOP-02: (query_id, doc, score, rank from 0) of the ``k`` best by exact cosine among ``rerank`` times ``k`` candidates. A query's
     own id is left out unless ``itself``."""

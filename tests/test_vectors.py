@@ -124,3 +124,16 @@ def test_all_hits(spark, monkeypatch, bound):
     got = sorted(map(tuple, patterns.hits(df, p, bound=bound).collect()))
     assert got == sorted((i, w, k) for i, t in texts if t for w in words for k in range(len(t)) if t.startswith(w, k))
     assert patterns.hits(df, p.limit(0)).count() == 0 and patterns.hits(df.limit(0), p).count() == 0
+
+
+def test_all_lists_are_exact_where_codes_are_equal(spark):
+    """3,000 vectors differ by less than their codes tell: candidates by code would be drawn among equals."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, [float(x) for x in base + rng.normal(size=16) * 0.004]) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc, r.score) for r in df.collect())
+    q = v.filter("vec_id % 300 = 0")
+    assert key(ivf.search_all(ivf.build(v, sample=200), q)) == key(vector.topk(v, q, 10))
