@@ -34,6 +34,8 @@ MAX_LISTS = 4096
 PARTS, CODES = 16, 256
 BLOCK, QUERY_BLOCK = 1024, 256
 RERANK = 20
+#: Copies of queries, one for each list that they probe, that are made at once.
+COPIES = 32_768
 K, RECALL, ASKED = 10, 0.97, 200
 
 
@@ -161,6 +163,16 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return Index(model, spark.read.schema("list int, ids binary, codes binary").parquet(f"{path}/codes"), written.select("list", "id", "vec"))
 
 
+def _copies(model: Model, ids: pa.Array, v: np.ndarray, probe: int) -> Iterator[pa.RecordBatch]:
+    """(list, query_id, q) of unit vectors for each of their ``probe`` lists, at most about COPIES rows at once."""
+    step = max(1, COPIES // min(probe, len(model.centroids)))
+    for lo in range(0, len(v), step):
+        lists = model.lists(v[lo : lo + step], probe)
+        at = np.repeat(np.arange(len(lists)), lists.shape[1])
+        raw = [x.tobytes() for x in v[lo : lo + step].astype(np.float32)]
+        yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), ids.slice(lo, step).take(pa.array(at)), pa.array([raw[i] for i in at], pa.binary())], ["list", "query_id", "q"])
+
+
 def search_all(index: Index, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", itself: bool = False) -> DataFrame:
     """RET-02: (query_id, doc, score, rank from 0) of the ``k`` best by exact cosine: all lists are read and every vector in them is
     scored, so that nothing depends on codes. Queries are not copied by list."""
@@ -179,11 +191,7 @@ def search(index: Index, queries: DataFrame, k: int = K, id_col: str = "vec_id",
         for b in batches:
             if b.num_rows:
                 v = _unit(np.stack(b.column("v").to_numpy(zero_copy_only=False)).astype(np.float64))
-                lists = held.value.lists(v, probe)
-                n = lists.shape[1]
-                at = np.repeat(np.arange(len(v)), n)
-                raw = [x.tobytes() for x in v.astype(np.float32)]
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), b.column("id").take(pa.array(at)), pa.array([raw[i] for i in at], pa.binary())], ["list", "query_id", "q"])
+                yield from _copies(held.value, b.column("id"), v, probe)
 
     asked = queries.filter(~invalid(F.col(vec_col), model.centroids.shape[1])).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     rows = asked.mapInArrow(placed, "list int, query_id long, q binary")
@@ -196,7 +204,7 @@ def search(index: Index, queries: DataFrame, k: int = K, id_col: str = "vec_id",
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            for r in b.to_pylist():
+            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # the queries of one block at a time
                 ids = np.frombuffer(r["ids"], np.int64)
                 asks = np.array([x["query_id"] for x in r["qs"]], np.int64)
                 q = np.frombuffer(b"".join(x["q"] for x in r["qs"]), np.float32).reshape(len(asks), -1)

@@ -137,3 +137,13 @@ def test_all_lists_are_exact_where_codes_are_equal(spark):
     key = lambda df: sorted((r.query_id, r["rank"], r.doc, r.score) for r in df.collect())
     q = v.filter("vec_id % 300 = 0")
     assert key(ivf.search_all(ivf.build(v, sample=200), q)) == key(vector.topk(v, q, 10))
+
+
+def test_queries_are_copied_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    v = np.eye(8)[np.arange(3000) % 8]
+    model = ivf.Model(np.random.default_rng(1).normal(size=(500, 8)), np.zeros((8, 256, 1)), 400, 1.0)
+    batches = list(ivf._copies(model, pa.array(np.arange(3000)), v, 400))
+    assert sum(b.num_rows for b in batches) == 3000 * 400 and max(b.num_rows for b in batches) <= ivf.COPIES
