@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,17 +118,20 @@ def summaries(raw: DataFrame, words: tuple[str, ...] = P.SUMMARY_BANNED) -> Data
     """TOP-14, MIS-12 over (run, names, clashes (a, b, point), positions (name, stance), open, closing, applications (name,
     scenario, application)): entries without a verdict word, of known speakers, in their caps; a closing that is empty or
     has a verdict word is replaced. Null names let every name pass."""
-    ok = lambda c: (_flat(c) != "") & (verdict_word(_flat(c), words) == "")
-    known = lambda c: (_flat(c) != "") & (F.col("names").isNull() | F.coalesce(F.array_contains("names", _flat(c)), F.lit(False)))
+    # each text is flattened once, before the conditions that look at it several times
+    flat = lambda items, *names: F.transform(items, lambda x: F.struct(*[_flat(x[n]).alias(n) for n in names]))
+    banned = "|".join(map(re.escape, words)) or "(?!)"
+    ok = lambda c: (c != "") & ~F.rlike(c, F.lit(banned))
+    known = lambda c: (c != "") & (F.col("names").isNull() | F.coalesce(F.array_contains("names", c), F.lit(False)))
     first = lambda c, n: F.slice(c, 1, n)
-    clashes = F.filter("clashes", lambda x: known(x["a"]) & known(x["b"]) & (_flat(x["a"]) != _flat(x["b"])) & ok(x["point"]))
-    clashes = F.transform(clashes, lambda x: F.struct(_flat(x["a"]).alias("a"), _flat(x["b"]).alias("b"), _flat(x["point"]).alias("point")))
-    positions = F.transform(F.filter("positions", lambda x: known(x["name"]) & ok(x["stance"])), lambda x: F.struct(_flat(x["name"]).alias("name"), _flat(x["stance"]).alias("stance")))
-    opens = F.transform(F.filter("open", ok), _flat)
-    uses = F.filter("applications", lambda x: known(x["name"]) & ok(x["scenario"]) & ok(x["application"]))
-    cut = lambda c: F.left(_flat(c), F.lit(P.SUMMARY_CHARS))
-    uses = F.transform(uses, lambda x: F.struct(_flat(x["name"]).alias("name"), cut(x["scenario"]).alias("scenario"), cut(x["application"]).alias("application")))
-    closing = F.when(ok(F.col("closing")), F.left(_flat(F.col("closing")), F.lit(P.CLOSING_CHARS))).otherwise(P.CLOSING)
+    clashes = F.filter(flat("clashes", "a", "b", "point"), lambda x: known(x["a"]) & known(x["b"]) & (x["a"] != x["b"]) & ok(x["point"]))
+    positions = F.filter(flat("positions", "name", "stance"), lambda x: known(x["name"]) & ok(x["stance"]))
+    opens = F.filter(F.transform("open", _flat), ok)
+    uses = F.filter(flat("applications", "name", "scenario", "application"), lambda x: known(x["name"]) & ok(x["scenario"]) & ok(x["application"]))
+    cut = lambda c: F.left(c, F.lit(P.SUMMARY_CHARS))
+    uses = F.transform(uses, lambda x: F.struct(x["name"].alias("name"), cut(x["scenario"]).alias("scenario"), cut(x["application"]).alias("application")))
+    end = _flat(F.col("closing"))
+    closing = F.when(ok(end), F.left(end, F.lit(P.CLOSING_CHARS))).otherwise(P.CLOSING)
     return raw.select("run", first(clashes, P.SUMMARY_CLASHES).alias("clashes"), positions.alias("positions"), first(opens, P.SUMMARY_OPEN).alias("open"), closing.alias("closing"), first(uses, P.SUMMARY_APPLICATIONS).alias("applications"))
 
 

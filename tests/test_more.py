@@ -153,3 +153,17 @@ def test_pages_of_large_part_keys(spark, sf, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
     same(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name])
+
+
+def test_work_of_small_rows_is_dealt_over_the_cores(spark, sf):
+    """A table of one file: what is made of its rows is made in many tasks."""
+    for name in ("meeting_summary",):
+        assert registry.queries()[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_text_of_a_summary_is_flattened_once(spark):
+    """One trim for each of the nine kinds of text in arrays, and three for the closing; not one for each condition."""
+    text = "struct<a:string,b:string,point:string>"
+    df = spark.createDataFrame([], f"run long, names array<string>, clashes array<{text}>, positions array<struct<name:string,stance:string>>, open array<string>, closing string, applications array<struct<name:string,scenario:string,application:string>>")
+    plan = meeting.summaries(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("btrim(") + plan.count("BTrim") <= 12
