@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import dealt, table
 from ..sources import code
 
 #: The same expression in Spark and DuckDB: a class with a method (which holds a function in every third part), a function, and lines outside.
@@ -21,7 +21,7 @@ _CODE = f"concat('import os', chr(10), {_CLASS}, {_NOTE}, {_METHOD}, {_BETWEEN},
 
 
 def _files(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.expr(_CODE).alias("code"))
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size")).select("p_partkey", F.expr(_CODE).alias("code"))
 
 
 def code_bodies(spark, sf):

@@ -9,13 +9,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 HEADER = re.compile(r"(async\s+def|def|class)\s+([^\W\d]\w*)")
 TAB = 8
+#: Characters of bodies that a task hands on at once.
+HELD = 16 << 20
 QUOTES = ('"""', "'''")
 
 
@@ -109,20 +113,44 @@ class Definitions:
 def definitions(docs: DataFrame, text: str = "text", bodies: bool = True) -> DataFrame:
     """TXT-15: the rows of ``docs``, each with the definitions (name, kind, depth, first_line, last_line, body) of its text; rows
     without any are left out. Columns of ``docs`` of the same names go before: the new ones are in a struct ``definition`` then."""
-    table_function = F.udtf(Definitions, useArrow=True)
-    found = docs.lateralJoin(table_function(F.col(text).outer(), F.lit(bodies)))
-    new = ["name", "kind", "depth", "first_line", "last_line", *(["body"] if bodies else [])]
-    if not set(new) & set(docs.columns):
-        return found
-    taken = [c for c in docs.columns]
-    renamed = docs.toDF(*[f"_c{i}" for i in range(len(taken))])
-    found = renamed.lateralJoin(table_function(F.col(f"_c{taken.index(text)}").outer(), F.lit(bodies)))
-    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(taken)], F.struct(*new).alias("definition"))
+    if not isinstance(docs.schema[text].dataType, StringType):
+        raise AnalysisException(f"definitions are read from text, not from {docs.schema[text].dataType.simpleString()}")
+    own = [(n, t) for n, t in (("name", "string"), ("kind", "string"), ("depth", "int"), ("first_line", "int"), ("last_line", "int"), ("body", "string")) if bodies or n != "body"]
+    new = pa.schema([(n, pa.string() if t == "string" else pa.int32()) for n, t in own])
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch at a time, not a call for each row
+        for b in batches:
+            rows, made, size = [], [], 0
+            for i, t in enumerate(b.column(at)):
+                for u in units(t.as_py()):
+                    rows.append(i)
+                    made.append(u)
+                    size += len(u[5])
+                if size > HELD:
+                    yield out(b, rows, made)
+                    rows, made, size = [], [], 0
+            yield out(b, rows, made)
+
+    def out(b: pa.RecordBatch, rows: list, made: list) -> pa.RecordBatch:
+        columns = [pa.array([u[j] for u in made], f.type) for j, f in enumerate(new)]
+        taken = b.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([*taken.columns, *columns], names=[*(f"_c{i}" for i in range(b.num_columns)), *new.names])
+
+    renamed = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    schema = StructType([*renamed.schema, *(StructField(n, StringType() if t == "string" else IntegerType()) for n, t in own)])
+    found = renamed.mapInArrow(run, schema)
+    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    if not set(new.names) & set(docs.columns):
+        return found.select(*back, *new.names)
+    return found.select(*back, F.struct(*new.names).alias("definition"))
 
 
 def register(docs: DataFrame, name: str = "code_definitions") -> None:
     """Gives SQL the table function: SELECT ... FROM files, LATERAL code_definitions(text, true)."""
-    docs.sparkSession.udtf.register(name, F.udtf(Definitions, useArrow=True))
+    # rows, not Arrow: an Arrow table function makes a table of every single row
+    docs.sparkSession.udtf.register(name, F.udtf(Definitions, useArrow=False))
 
 
 def names(found: DataFrame, key: str) -> DataFrame:

@@ -157,7 +157,7 @@ def test_pages_of_large_part_keys(spark, sf, tmp_path, name):
 
 def test_work_of_small_rows_is_dealt_over_the_cores(spark, sf):
     """A table of one file: what is made of its rows is made in many tasks."""
-    for name in ("meeting_summary",):
+    for name in ("meeting_summary", "code_bodies"):
         assert registry.queries()[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
