@@ -43,10 +43,12 @@ def runs(items: Column, at: Column) -> Column:
 
 def with_tail(pieces: Column, least: int) -> Column:
     """WIN-07 over (text, kinds): as many of the last pieces as it takes to reach ``least``, or all, are one."""
-    back = F.transform(F.reverse(pieces), lambda p: F.length(p["text"]))
     zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
-    # the size of the tail with its two line ends between pieces
-    last = F.aggregate(back, zero, lambda s, n: F.when((s["k"] > 0) & (s["n"] >= least), s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["n"] + n + F.when(s["k"] > 0, 2).otherwise(0)).alias("n"))))["k"]
+
+    def last(p: Column) -> Column:
+        # the size of the tail with its two line ends between pieces
+        back = F.transform(F.reverse(p), lambda x: F.length(x["text"]))
+        return F.aggregate(back, zero, lambda s, n: F.when((s["k"] > 0) & (s["n"] >= least), s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["n"] + n + F.when(s["k"] > 0, 2).otherwise(0)).alias("n"))))["k"]
 
     def cut(b: Column) -> Column:
         head = F.slice(b["p"], F.lit(1), F.size(b["p"]) - b["k"])
@@ -54,7 +56,8 @@ def with_tail(pieces: Column, least: int) -> Column:
         one = F.struct(F.array_join(F.transform(tail, lambda p: p["text"]), "\n\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.transform(tail, lambda p: p["kinds"])))).alias("kinds"))
         return F.when(b["k"] > 1, F.concat(head, F.array(one))).otherwise(b["p"])
 
-    return arrays.bound(F.struct(pieces.alias("p"), last.alias("k")), cut)
+    # the pieces are used twice and made once
+    return arrays.bound(pieces, lambda p: arrays.bound(F.struct(p.alias("p"), last(p).alias("k")), cut))
 
 
 def _sentence_pieces(content: Column, kind: Column, most: int, least: int) -> Column:
